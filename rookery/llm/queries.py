@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, media, mixing, sharding, toxicity
+from . import bpe, jaccard, licenses, media, mixing, sharding, substring, toxicity
 from ._common import table
 
 
@@ -21,6 +21,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_bpe": op4_bpe,
+    "op5_jaccard": op5_jaccard,
+    "op6_substring": op6_substring,
     "op7_media": op7_media,
     "op8_licenses": op8_licenses,
     "op9_sharding": op9_sharding,
