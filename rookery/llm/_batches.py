@@ -18,6 +18,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ._common import blocks, cut, partitions, utf8
 
@@ -54,20 +56,22 @@ def opened_keys(b: bytes) -> np.ndarray:
 
 @dataclass
 class Batch:
-    """ids: of the texts, ascending (NO_ID: null). data and offsets: their bytes."""
+    """ids: of the texts, ascending (NO_ID: null). data and offsets: their bytes. carried: their other columns, if packed."""
 
     batch: int
     ids: np.ndarray
     data: np.ndarray
     offsets: np.ndarray
     extra: bytes
+    carried: bytes = b""
 
 
-PACKED = "batch long, n long, ids binary, lengths binary, text binary, extra binary"
+PACKED = "batch long, n long, ids binary, lengths binary, text binary, extra binary, carried binary"
 
 
-def pack(docs: DataFrame, extra: Callable[[Batch], bytes] | None = None, limit: int = BATCH_BYTES) -> DataFrame:
-    """doc_id and text in batches (null text: empty), by ascending doc_id; texts compressed, cut from their lineage."""
+def pack(docs: DataFrame, extra: Callable[[Batch], bytes] | None = None, limit: int = BATCH_BYTES, carry: bool = False) -> DataFrame:
+    """doc_id and text in batches (null text: empty), by ascending doc_id; texts compressed, cut from their lineage.
+    carry: all other columns too, for restored()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -76,17 +80,48 @@ def pack(docs: DataFrame, extra: Callable[[Batch], bytes] | None = None, limit:
             order = np.argsort(ids, kind="stable")
             data, offsets = utf8(block.column(1).take(pa.array(order)))
             own = Batch(number, ids[order], data, offsets, b"")
-            row = [number, len(ids), own.ids.tobytes(), squeezed(np.diff(offsets)), zstandard.ZstdCompressor(1).compress(data.tobytes()), extra(own) if extra else b""]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["batch", "n", "ids", "lengths", "text", "extra"])
+            held = b""
+            if carry:
+                others = [i for i, name in enumerate(block.schema.names) if name != "text"]
+                kept = pa.RecordBatch.from_arrays([*(block.column(i).take(pa.array(order)) for i in others), block.column(1).is_null().take(pa.array(order))], [*(f"c{i}" for i in others), "no_text"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, kept.schema) as out:
+                    out.write_batch(kept)
+                held = zstandard.ZstdCompressor(1).compress(sink.getvalue().to_pybytes())
+            row = (number, len(ids), own.ids.tobytes(), squeezed(np.diff(offsets)), zstandard.ZstdCompressor(1).compress(data.tobytes()), extra(own) if extra else b"", held)
+            yield rows_of(PACKED, [row])
             number += 1
 
-    return cut(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, PACKED))
+    rest = [docs[c] for c in docs.columns if c not in ("doc_id", "text")] if carry else []
+    return cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *rest).mapInArrow(run, PACKED))
+
+
+def restored(own: Batch, chosen: np.ndarray, texts: list[bytes] | None = None) -> pa.RecordBatch:
+    """The chosen rows of a batch packed with carry, in the order doc_id, text, others; with other texts if given."""
+    held = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(own.carried)).read_all().combine_chunks().to_batches()[0]
+    whole, at = own.data.tobytes(), np.flatnonzero(chosen)
+    no = held.column(held.num_columns - 1).to_pylist()
+    text = [None if no[k] else (texts[k] if texts is not None else whole[int(own.offsets[k]) : int(own.offsets[k + 1])]).decode("utf-8", "ignore") for k in at.tolist()]
+    columns = [held.column(i).take(pa.array(at)) for i in range(held.num_columns - 1)]
+    return pa.RecordBatch.from_arrays([columns[0], pa.array(text, pa.string()), *columns[1:]], [f"c{i}" for i in range(held.num_columns)])
+
+
+def restored_schema(docs: DataFrame) -> str:
+    """For with_answers; restored rows bear the names of docs again after named_as()."""
+    rest = [f.dataType.simpleString() for f in docs.schema if f.name not in ("doc_id", "text")]
+    return ", ".join(f"c{i} {kind}" for i, kind in enumerate(["long", "string", *rest]))
+
+
+def named_as(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    names = ["doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    back = rows.toDF(*names)
+    return back.select(*(back[f.name].cast(f.dataType).alias(f.name) for f in docs.schema))
 
 
 def unpacked(row: dict) -> Batch:
     lengths = opened(row["lengths"]).astype(np.int64)
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), np.uint8) if row["text"] else np.zeros(0, np.uint8)
-    return Batch(row["batch"], np.frombuffer(row["ids"], np.int64), data, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), row["extra"])
+    return Batch(row["batch"], np.frombuffer(row["ids"], np.int64), data, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), row["extra"], row["carried"])
 
 
 def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -150,13 +185,14 @@ def answered(rows: list[dict]) -> np.ndarray:
 
 def with_answers(packed: DataFrame, got: DataFrame, run: Callable[[Batch, list[list[dict]]], Iterator[pa.RecordBatch]], schema: str, kinds: int = 1) -> DataFrame:
     """run(batch, answers of each kind) for each batch. got: rows of ANSWERED, with a column kind from 0 if there are several."""
+    nothing = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         held = right.to_pylist()
         out = []
         for row in left.to_pylist():
             out += list(run(unpacked(row), [[r for r in held if r.get("kind", 0) == k] for k in range(kinds)]))
-        return pa.Table.from_batches(out or [rows_of(schema, [])])
+        return pa.Table.from_batches(out) if out else nothing
 
     return packed.groupBy("batch").cogroup(got.groupBy("batch")).applyInArrow(both, schema)
 

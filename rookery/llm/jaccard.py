@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._batches import ANSWERED, ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, each, opened, pack, rows_of, squeezed, union_kinds, unpacked, with_answers
+from ._batches import ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, named_as, pack, restored, restored_schema, rows_of, with_answers
 from ._common import cut, mixed
 from ._components import components
 
@@ -194,8 +194,29 @@ def join(docs: DataFrame, frequent: int = FREQUENT, block: int = BLOCK) -> DataF
     with nothing. A null doc_id takes no part and is its own (null) component. Rows with one doc_id are one vertex.
     An empty table gives an empty one. Only doc_id and text are read.
     """
-    buckets = buckets_of(docs.sparkSession)
-    packed = pack(docs, sized)
+    return _joined(pack(docs, sized), frequent, block).drop("batch", "place")
+
+
+def representatives(docs: DataFrame, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
+    """The rows of docs whose doc_id is the least of its component, or null, or whose text has no words."""
+    packed = pack(docs, sized, carry=True)
+    rows = _joined(packed, frequent, block)
+    chosen = rows.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy("batch").agg(F.collect_list("place").alias("places"))
+
+    def keep(own: Batch, got: list[list[dict]]) -> Iterator[pa.RecordBatch]:
+        yield restored(own, flagged(own, got[0]))
+
+    return named_as(with_answers(packed, chosen, keep, restored_schema(docs)), docs)
+
+
+def flagged(batch: Batch, rows: list[dict]) -> np.ndarray:
+    out = np.zeros(len(batch.ids), bool)
+    out[[p for r in rows for p in (r["places"] or ())]] = True
+    return out
+
+
+def _joined(packed: DataFrame, frequent: int, block: int) -> DataFrame:
+    buckets = buckets_of(packed.sparkSession)
     sets = sets_of(packed)
     same = ["d1", "d2", "n_shingles"]
     whole = (F.col("n_shingles") > 0) & (F.col("doc_id") != NO_ID)
@@ -203,11 +224,6 @@ def join(docs: DataFrame, frequent: int = FREQUENT, block: int = BLOCK) -> DataF
     chosen = least.groupBy(F.col("r.batch").alias("batch")).agg(F.collect_list("r.place").alias("places"))
     flags = cut(packed.select("batch").join(chosen, "batch", "left"))
 
-    def flagged(batch: Batch, rows: list[dict]) -> np.ndarray:
-        out = np.zeros(len(batch.ids), bool)
-        out[[p for r in rows for p in (r["places"] or ())]] = True
-        return out
-
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     bits = min(64, max(32, int(total).bit_length() + 13))
     drop = 64 - bits
@@ -261,4 +277,4 @@ def join(docs: DataFrame, frequent: int = FREQUENT, block: int = BLOCK) -> DataF
     firsts = least.select(*same, F.col("r.doc_id").alias("copy_of")).join(found.select(F.col("node").alias("copy_of"), "component"), "copy_of", "left")
     ids = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     rows = sets.join(firsts, same, "left")
-    return rows.select(ids.alias("doc_id"), "n_shingles", F.when(whole, F.coalesce("component", "copy_of")).otherwise(ids).alias("component_id"), F.when(whole, F.col("copy_of")).otherwise(ids).alias("copy_of"))
+    return rows.select("batch", "place", ids.alias("doc_id"), "n_shingles", F.when(whole, F.coalesce("component", "copy_of")).otherwise(ids).alias("component_id"), F.when(whole, F.col("copy_of")).otherwise(ids).alias("copy_of"))

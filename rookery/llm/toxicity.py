@@ -240,3 +240,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, n_passages long, passages array<struct<first_word:long,words:long,score:double,expected:double>>")
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below threshold, with all their columns. Null and empty texts score like others
+    without passages."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES bounds it
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        scores = Scores(model.tokens)
+        for batch in blocks(batches):
+            stay = []
+            for text in batch.column(place).to_pylist():
+                words = words_of(text)
+                x = model.slope * math.log1p(weight(segments([scores[w] for w in words]), max(1, len(words)), model)) + model.base
+                stay.append(1 / (1 + math.exp(-max(-700.0, min(700.0, x)))) < threshold)
+            yield batch.filter(pa.array(stay))
+
+    return docs.mapInArrow(run, docs.schema)
