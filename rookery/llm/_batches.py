@@ -159,8 +159,8 @@ def ask(batch: int, keys: np.ndarray, values: np.ndarray, buckets: int, drop_bit
     return rows_of(ASKED, rows)
 
 
-def answers(asked: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np.ndarray], drop_bits: int = 0) -> DataFrame:
-    """fold(number of the distinct key of each entry, value of each entry) gives the answer to each entry."""
+def folded(fold: Callable[[np.ndarray, np.ndarray], np.ndarray], drop_bits: int = 0) -> Callable[[pa.Table], pa.Table]:
+    """What a bucket does. fold(number of the distinct key of each entry, value of each entry) gives the answer to each entry."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, values, batches = [], [], table.column("batch").to_pylist()
@@ -175,7 +175,11 @@ def answers(asked: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np.ndarra
         out = [(batch, bucket, squeezed(part)) for batch, part in zip(batches, np.split(got, ends[:-1]), strict=True)]
         return pa.Table.from_batches([rows_of(ANSWERED, out)])
 
-    return asked.groupBy("bucket").applyInArrow(run, ANSWERED)
+    return run
+
+
+def answers(asked: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np.ndarray], drop_bits: int = 0) -> DataFrame:
+    return asked.groupBy("bucket").applyInArrow(folded(fold, drop_bits), ANSWERED)
 
 
 def answered(rows: list[dict]) -> np.ndarray:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import ANSWERED, ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, each, named_as, pack, restored, restored_schema, rows_of, squeezed, unpacked, with_answers
+from ._batches import ANSWERED, ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, each, folded, named_as, pack, restored, restored_schema, rows_of, squeezed, unpacked, with_answers
 from ._common import cut, mixed
 
 LENGTH = 200
@@ -35,7 +35,7 @@ REACH = 64
 #: Bytes that a string has from its sample on, at least.
 BASE = LENGTH - REACH + 1
 #: Suffixes merged as one group, at most.
-HOT = 4_096
+HOT = 1_024
 #: Groups up to so many suffixes are compared in pairs.
 FEW = 8
 BATCH = 4 << 20
@@ -54,12 +54,11 @@ def doubled(data: np.ndarray, start: np.ndarray | None, n: int, to: int) -> np.n
 
 
 class Samples:
-    """start: places at which LENGTH bytes of one text begin, in the chosen texts. at: the sample of each, ascending.
-    place: the distinct samples; number: of each start's sample; first: of the starts of each sample. next: the hash of
-    a sample's next BASE bytes."""
+    """start: places at which LENGTH bytes of one text begin. place: the distinct samples, ascending; number: of each start's
+    sample. next: the hash of a sample's next BASE bytes."""
 
-    def __init__(self, own: Batch, chosen: np.ndarray):
-        n = np.where(chosen, np.maximum(np.diff(own.offsets) - LENGTH + 1, 0), 0)
+    def __init__(self, own: Batch):
+        n = np.maximum(np.diff(own.offsets) - LENGTH + 1, 0)
         self.start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(own.offsets[:-1], n)
         self.own = own
         if not len(self.start):
@@ -82,6 +81,17 @@ class Samples:
     def keys(self, drop: int) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(self.next >> np.uint64(drop) << np.uint64(drop), return_inverse=True)
 
+    def occurrence(self, group: np.ndarray, n: int) -> np.ndarray:
+        """For each of n distinct hashes: its number of samples above 40 bits, and below them a hash of where they stand in
+        which text, or 0 if they differ in that; whole copies of a text don't."""
+        doc = np.searchsorted(self.own.offsets, self.place, "right") - 1
+        text = np.frombuffer(self.own.extra, np.uint64).reshape(-1, 2)[doc, 0]
+        stand = (mixed(text + (self.place - self.own.offsets[doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) | np.uint64(1)
+        low, high = np.full(n, np.iinfo(np.uint64).max), np.zeros(n, np.uint64)
+        np.minimum.at(low, group, stand)
+        np.maximum.at(high, group, stand)
+        return np.where(low == high, low, np.uint64(0)) | (np.bincount(group, minlength=n).astype(np.uint64) << np.uint64(40))
+
     def strings(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts under hot samples, the distinct hashes of their strings, and the number of each one's hash."""
         start = self.start[hot[self.number]]
@@ -190,7 +200,27 @@ def merged(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int, int
 
 def group_masks(suffixes: list[bytes], befores: list[bytes], prefixes: list[int]) -> list[int]:
     """For each suffix of a group, bit o is set if the LENGTH bytes from o before it occur elsewhere in the group.
-    prefixes: common with the suffix before, in order."""
+    prefixes: common with the suffix before, in order. What is alike on both sides is looked at once."""
+    number: dict[tuple[bytes, bytes], int] = {}
+    kind, first, shared, least = [], [], [], LENGTH
+    for i, key in enumerate(zip(suffixes, befores, strict=True)):
+        least = min(least, prefixes[i])
+        if key not in number:
+            number[key] = len(first)
+            first.append(i)
+            shared.append(least)
+            least = LENGTH
+        kind.append(number[key])
+    masks = distinct_masks([suffixes[i] for i in first], [befores[i] for i in first], shared) if len(first) > 1 else [0]
+    count = np.bincount(kind).tolist()
+    for k, i in enumerate(first):
+        if count[k] > 1:  # its own copies: whatever it is long enough for
+            low, high = max(0, LENGTH - len(suffixes[i])), len(befores[i])
+            masks[k] |= (1 << high + 1) - (1 << low) if high >= low else 0
+    return [masks[k] for k in kind]
+
+
+def distinct_masks(suffixes: list[bytes], befores: list[bytes], prefixes: list[int]) -> list[int]:
     n = len(suffixes)
     masks = [0] * n
     if n <= FEW:
@@ -198,8 +228,6 @@ def group_masks(suffixes: list[bytes], befores: list[bytes], prefixes: list[int]
             right = LENGTH
             for j in range(i + 1, n):
                 right = min(right, prefixes[j])
-                if right < BASE:
-                    break
                 left = common(befores[i], befores[j])
                 if left >= LENGTH - right:
                     held = (1 << left + 1) - (1 << LENGTH - right)
@@ -256,15 +284,27 @@ def text_digests(own: Batch) -> bytes:
 
 
 def often(limit: int):
-    """0 for a hash that occurs once, 2 for one that occurs more than limit times, else 1."""
+    """0 for a hash that stands in one place of one text, 2 for one of more than limit samples, else 1. Values as from
+    Samples.occurrence."""
 
     def fold(group: np.ndarray, value: np.ndarray) -> np.ndarray:
-        total = np.bincount(group, value.astype(np.float64))
-        return ((total > 1).astype(np.uint64) + (total > limit).astype(np.uint64))[group]
+        n = int(group.max()) + 1
+        stand = value & np.uint64((1 << 40) - 1)
+        low, high = np.full(n, np.iinfo(np.uint64).max), np.zeros(n, np.uint64)
+        np.minimum.at(low, group, stand)
+        np.maximum.at(high, group, stand)
+        twice = (low != high) | (low == 0)
+        total = np.bincount(group, (value >> np.uint64(40)).astype(np.float64))
+        return (twice.astype(np.uint64) * np.where(total > limit, 2, 1).astype(np.uint64))[group]
 
     return fold
 
 
+def twice(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """1 for a string that occurs more than once."""
+    return (np.bincount(group, value.astype(np.float64)) > 1).astype(np.uint64)[group]
+
+
 def borders(packed: DataFrame, ranges: int) -> list[bytes]:
     """Suffixes between ranges, from a bounded number of batches."""
     found: list[bytes] = []
@@ -277,7 +317,7 @@ def borders(packed: DataFrame, ranges: int) -> list[bytes]:
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in each(batches):
         own = unpacked(row)
-        samples = Samples(own, np.ones(len(own.ids), bool))
+        samples = Samples(own)
         chosen = samples.place[np.argsort(samples.next)[:512]]
         data = own.data.tobytes()
         yield rows_of("suffix binary", [(data[p : p + 24],) for p in chosen.tolist()])
@@ -318,18 +358,21 @@ def remove(docs: DataFrame, hot: int = HOT, texts: bool = True, rows: bool = Fal
     size = packed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     drop = 64 - min(64, max(32, int(size).bit_length() + 10))
 
-    def send(own: Batch, got: list[list[dict]]) -> Iterator[pa.RecordBatch]:
-        keys, group = Samples(own, own_texts(own, got[0])[0]).keys(drop)
-        yield ask(own.batch, keys, np.bincount(group, minlength=len(keys)), buckets, drop)
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each(batches):
+            samples = Samples(own := unpacked(row))
+            keys, group = samples.keys(drop)
+            yield ask(own.batch, keys, samples.occurrence(group, len(keys)), buckets, drop)
 
-    counts = cut(answers(with_answers(packed, flags, send, ASKED), often(hot), drop)).withColumn("kind", F.lit(1))
+    counts = cut(answers(packed.mapInArrow(send, ASKED), often(hot), drop)).withColumn("kind", F.lit(1))
     at = borders(packed, buckets)
 
     def known(own: Batch, got: list[list[dict]]):
         stands, copied = own_texts(own, got[0])
-        samples = Samples(own, stands)
+        samples = Samples(own)
         step = answered(got[1])[samples.keys(drop)[1]] if len(samples.place) else np.zeros(0, np.uint64)
-        return samples, step, copied
+        # copies are left out: the text that stands for them has the same
+        return samples, step * stands[np.searchsorted(own.offsets, samples.place, "right") - 1], copied
 
     def ranged(run: list[tuple[bytes, bytes, int]]) -> list[tuple[int, list[tuple[bytes, bytes, int]]]]:
         parts: dict[int, list] = {}
@@ -345,9 +388,15 @@ def remove(docs: DataFrame, hot: int = HOT, texts: bool = True, rows: bool = Fal
         yield pa.RecordBatch.from_arrays([*asked.columns, pa.array(np.full(asked.num_rows, 3), pa.int32())], [*asked.schema.names, "kind"])
 
     first = flags.unionByName(counts, allowMissingColumns=True)
-    sent = cut(with_answers(packed, first, sort, ASKED + ", kind int", 2))
-    merges = sent.where("kind = 2").select("bucket", "batch", "blob").groupBy("bucket").applyInArrow(merge, ANSWERED).withColumn("kind", F.lit(2))
-    repeats = answers(sent.where("kind = 3").select("bucket", "batch", "blob"), often(1 << 62)).withColumn("kind", F.lit(3))
+    sent = with_answers(packed, first, sort, ASKED + ", kind int", 2)
+    count_strings = folded(twice)
+
+    def settle(table: pa.Table) -> pa.Table:
+        kind = table.column("kind")[0].as_py()
+        got = merge(table) if kind == 2 else count_strings(table)
+        return got.append_column("kind", pa.array(np.full(got.num_rows, kind), pa.int32()))
+
+    settled = sent.groupBy("bucket", "kind").applyInArrow(settle, ANSWERED + ", kind int")
 
     def drop_bytes(own: Batch, got: list[list[dict]]) -> Iterator[pa.RecordBatch]:
         samples, step, copied = known(own, got)
@@ -357,11 +406,11 @@ def remove(docs: DataFrame, hot: int = HOT, texts: bool = True, rows: bool = Fal
             order = [x[2] for _, part in ranged(samples.run(step == 1)) for x in part]
             mask[order] = answered(got[2])
             offset = (samples.place[samples.number] - samples.start).astype(np.uint64)
-            twice = [samples.start[mask[samples.number] >> offset & np.uint64(1) > 0]]
+            found = [samples.start[mask[samples.number] >> offset & np.uint64(1) > 0]]
             start, _, group = samples.strings(step == 2)
             if len(start):
-                twice.append(start[answered(got[3])[group] > 0])
-            for s in twice:
+                found.append(start[answered(got[3])[group] > 0])
+            for s in found:
                 edge[: len(own.data)] += np.bincount(s, minlength=len(own.data)).astype(np.int32)
                 edge[: len(own.data) + 1] -= np.bincount(s + LENGTH, minlength=len(own.data) + 1).astype(np.int32)
         gone = np.cumsum(edge[:-1]) > 0
@@ -379,6 +428,6 @@ def remove(docs: DataFrame, hot: int = HOT, texts: bool = True, rows: bool = Fal
             out.append((None if own.ids[k] == NO_ID else int(own.ids[k]), b - a, int(mine.sum()), len(turns) // 2, hashlib.sha256(kept).hexdigest(), turns.tobytes(), kept if texts else None))
         yield restored(own, np.ones(len(own.ids), bool), left) if rows else rows_of(REMOVED, out)
 
-    got = first.unionByName(merges, allowMissingColumns=True).unionByName(repeats, allowMissingColumns=True)
+    got = first.unionByName(settled, allowMissingColumns=True)
     done = with_answers(packed, got, drop_bytes, restored_schema(docs) if rows else REMOVED, 4)
     return named_as(done, docs) if rows else done

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bits, pawns
-from ..operators import analysis, search, store
+from ..functions import bits, boards, features, pawns
+from ..operators import analysis, moves, search, store
 from . import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -549,3 +549,42 @@ def union_all_scans(spark, d):
 def distinct_union(spark, d):
     p = b.positions(spark, d).select("id", "white", "black")
     return p.where("id < 500").unionAll(p.where("id > 400")).select("white", "black").distinct()
+
+
+# Positions from FEN; no SQL of the other engine says the same, tests hold them against published values.
+
+
+def _fens(spark):
+    rows = [(1, boards.START), (2, "r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1"), (3, "r4rk1/1pp1qppp/p1np1n2/8/2BPP3/P1N2N2/1P2QPPP/R4RK1 w - - 0 10")]
+    return boards.with_masks(spark.createDataFrame(rows, "id int, fen string"))
+
+
+@query()
+def feature_vectors(spark, d):
+    return features.extract(_fens(spark), "id", ["material", "pawns", "king"])
+
+
+@query()
+def feature_compare(spark, d):
+    first = features.extract(_fens(spark), "id", ["pawns", "center"])
+    return features.compared(first, "id", features.extract(boards.color_swapped(_fens(spark)), "id", ["pawns", "center"]))
+
+
+@query()
+def digest_atoms(spark, d):
+    return features.atoms(features.extract(_fens(spark), "id", ["goals", "squares", "placement"]), "id")
+
+
+@query()
+def perft(spark, d):
+    return moves.perft(_fens(spark), "id", 2)
+
+
+@query()
+def legal_moves(spark, d):
+    return moves.legal(_fens(spark)).select("id", "uci", "castling", "ep")
+
+
+@query()
+def position_records(spark, d):
+    return _fens(spark).select("id", boards.record().alias("record"), boards.to_fen().alias("fen4"), boards.zobrist().alias("hash"))
