@@ -194,14 +194,17 @@ def join(docs: DataFrame, frequent: int = FREQUENT, block: int = BLOCK) -> DataF
     with nothing. A null doc_id takes no part and is its own (null) component. Rows with one doc_id are one vertex.
     An empty table gives an empty one. Only doc_id and text are read.
     """
-    return _joined(pack(docs, sized), frequent, block).drop("batch", "place")
+    return _joined(pack(docs, sized), frequent, block).drop("batch", "place", "d1", "d2")
 
 
 def representatives(docs: DataFrame, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component, or null, or whose text has no words."""
+    """The rows of docs whose doc_id is the least of its component, or null, or whose text has no words. Of rows alike in
+    doc_id and set one stays."""
     packed = pack(docs, sized, carry=True)
     rows = _joined(packed, frequent, block)
-    chosen = rows.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).groupBy("batch").agg(F.collect_list("place").alias("places"))
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    first = rows.where(~alone & (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id", "d1", "d2", "n_shingles").agg(F.min(F.struct("batch", "place")).alias("r")).select("r.batch", "r.place")
+    chosen = first.unionByName(rows.where(alone).select("batch", "place")).groupBy("batch").agg(F.collect_list("place").alias("places"))
 
     def keep(own: Batch, got: list[list[dict]]) -> Iterator[pa.RecordBatch]:
         yield restored(own, flagged(own, got[0]))
@@ -277,4 +280,4 @@ def _joined(packed: DataFrame, frequent: int, block: int) -> DataFrame:
     firsts = least.select(*same, F.col("r.doc_id").alias("copy_of")).join(found.select(F.col("node").alias("copy_of"), "component"), "copy_of", "left")
     ids = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     rows = sets.join(firsts, same, "left")
-    return rows.select("batch", "place", ids.alias("doc_id"), "n_shingles", F.when(whole, F.coalesce("component", "copy_of")).otherwise(ids).alias("component_id"), F.when(whole, F.col("copy_of")).otherwise(ids).alias("copy_of"))
+    return rows.select("batch", "place", "d1", "d2", ids.alias("doc_id"), "n_shingles", F.when(whole, F.coalesce("component", "copy_of")).otherwise(ids).alias("component_id"), F.when(whole, F.col("copy_of")).otherwise(ids).alias("copy_of"))

@@ -49,7 +49,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, taken (words, repeats counted).
+    """One row for each row of docs: doc_id, size, source_size, target, taken (words, repeats counted), source.
 
     A null text has size 0; null is a source of its own, last in order; documents of size 0 take 0. Repeated
     rows are rows of their own, equal ones in any order. An empty table gives an empty one. Extra columns of
@@ -84,7 +84,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
         "finish", F.lit(0).cast("long"),
         lambda n, t: n + F.when(F.col("cut_step").isNull() | (step(t) < F.col("cut_step")) | ((step(t) == F.col("cut_step")) & (F.struct(t.alias("time"), "key", "source", "size") <= F.col("rim"))), F.col("size")).otherwise(0),
     )
-    return placed.join(F.broadcast(edge), F.lit(True), "left").select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+    return placed.join(F.broadcast(edge), F.lit(True), "left").select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "source")
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    """The rows of docs with all their columns, each as often as the mix takes it; those not taken go.
+
+    Rows alike in doc_id, source and size share what the mix takes of them as evenly as it can be; only where there are
+    such rows are they numbered."""
+    same = ["doc_id", "source", "size"]
+    times = (F.col("taken") / F.col("size")).cast("long")
+    held = mix(docs, weights, epochs).where("size > 0").groupBy(*same).agg(F.sum(times).alias("times"), F.count("*").alias("alike")).where("times > 0")
+    held = cut(held.select(*[F.col(c).alias(f"_{c}") for c in same], F.col("times").alias("_times"), F.col("alike").alias("_alike")))
+    sized = docs.withColumn("_own", word_count(docs["text"]))
+    on = sized["doc_id"].eqNullSafe(held["_doc_id"]) & sized["source"].eqNullSafe(held["_source"]) & (sized["_own"] == held["_size"])
+    rows, own = sized.join(held, on), F.col("_times")
+    if not held.where("_alike > 1").isEmpty():
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_doc_id", "_source", "_size").orderBy(F.xxhash64("text"))))
+        own = F.floor(F.col("_times") / F.col("_alike")) + F.when(F.col("_n") <= F.col("_times") % F.col("_alike"), 1).otherwise(0)
+    rows = rows.withColumn("_time", F.explode(F.when(own > 0, F.sequence(F.lit(1).cast("long"), own.cast("long"))).otherwise(F.array().cast("array<long>"))))
+    return rows.select(*[sized[c] for c in docs.columns])
 
 
 #: The same in one pass for small tables: whole sources and the whole corpus are ordered at once.
@@ -100,5 +119,5 @@ c AS (SELECT d.*, t.source_size, t.target, t.total, CAST(sum(size) OVER (PARTITI
 p AS (SELECT doc_id, key, source, size, total, (e * source_size + cum) / target AS time FROM c, (SELECT unnest([0, 1, 2]) AS e) WHERE size > 0 AND target > 0),
 q AS (SELECT doc_id, size, sum(size) OVER (ORDER BY time, key, source NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS spent, total FROM p),
 k AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM q WHERE spent <= total GROUP BY doc_id)
-SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(k.taken, 0) AS taken FROM c LEFT JOIN k ON c.doc_id = k.doc_id
+SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(k.taken, 0) AS taken, c.source FROM c LEFT JOIN k ON c.doc_id = k.doc_id
 """

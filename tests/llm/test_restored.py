@@ -13,6 +13,8 @@ def test_rows_come_back_with_their_columns(spark):
     got = jaccard.representatives(df)
     assert got.schema == df.schema
     assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([r for r in rows if r[3] != 4], SCHEMA).collect()))
+    again = jaccard.representatives(df.unionAll(df))
+    assert again.where("doc_id = 2").count() == 1 and again.where("doc_id = 8").count() == 2 and again.where("doc_id is null").count() == 2
     got = suffixes.remove(df, rows=True)
     assert got.schema == df.schema
     assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str(r) for r in [(*r[:2], "" if r[2] == text else r[2], *r[3:]) for r in rows])
