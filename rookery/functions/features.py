@@ -9,12 +9,13 @@ name in other places are kept apart by section.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import attacks, bits
+from . import attacks, bits, geometry
 from .attacks import signed
 
 CENTER = sum(1 << 8 * r + f for r in range(2, 6) for f in range(2, 6))
@@ -256,26 +257,41 @@ def fore_enemy(mask: str) -> str:
 
 
 CATALOGUE = {f.id: f for f in _catalogue()}
+CATALOGUE |= {i: Feature(i, text, kind, sided) for i, text, kind, sided in geometry.definitions({f.id: f.text for f in CATALOGUE.values()})}
 MASK_KINDS = {"squares": lambda t: bits.names(f"({t})"), "int": lambda t: f"CAST({t} AS INT)", "bool": lambda t: f"({t})", "other": lambda t: f"({t})"}
 
 
 def staged(positions: DataFrame) -> DataFrame:
     """Positions with masks, and all columns that features build on."""
     held = attacks.with_destinations(attacks.with_attacks(attacks.with_reach(positions)))
-    for stage in stages():
+    held = held.withColumn("_rays", F.lit([attacks.TABLES[f"_ray{d}"] for d in range(8)]))
+    for stage in [*stages(), *geometry.stages()]:
         held = held.withColumns({k: F.expr(v) for k, v in stage.items()})
     return held
 
 
+#: Columns of played-out moves in a text.
+_MOVED = re.compile(rf"\b(?:legal_moves|[wb]_(?:{'|'.join(geometry.FROM_MOVES)}))\b")
+
+
+def rendered(f: Feature) -> str:
+    """A feature's value as SQL over staged positions."""
+    value = MASK_KINDS[f.kind]
+    return f"named_struct('white', {value(side_text(f.text, 'w'))}, 'black', {value(side_text(f.text, 'b'))})" if f.per_side else value(f.text)
+
+
 def extract(positions: DataFrame, key: str, ids: list[str] | None = None) -> DataFrame:
-    """key and a column for each feature (all, or those of ids or of sections)."""
+    """key and a column for each feature (all, or those of ids or of sections). Moves are played out, counted and joined by
+    key only where a chosen feature reads them; then keys must be distinct and not null."""
     chosen = [f for f in CATALOGUE.values() if ids is None or f.id in ids or f.section in ids]
-    columns = []
-    for f in chosen:
-        value = MASK_KINDS[f.kind]
-        text = f"named_struct('white', {value(side_text(f.text, 'w'))}, 'black', {value(side_text(f.text, 'b'))})" if f.per_side else value(f.text)
-        columns.append(F.expr(text).alias(f.id))
-    return staged(positions).select(key, *columns)
+    columns = [F.expr(rendered(f)).alias(f.id) for f in chosen]
+    texts = " ".join(side_text(f.text, s) if f.per_side else f.text for f in chosen for s in "wb")
+    held = staged(positions)
+    if _MOVED.search(texts):
+        from ..operators import moves
+
+        held = held.join(moves.forcing(positions, key), key)
+    return held.select(key, *columns)
 
 
 #: Sections and features that give no atoms.

@@ -79,6 +79,33 @@ def legal(positions: DataFrame) -> DataFrame:
     return safe.withColumn("uci", F.expr(f"concat({name('source')}, {name('target')}, IF(promotion > 0, substr('nbrq', promotion - 1, 1), ''))"))
 
 
+def forcing(positions: DataFrame, key: str) -> DataFrame:
+    """key, legal_moves (of the side to move) and, as {w,b}_ columns for each side as if it were to move: checks (moves that
+    leave the own king safe and attack the other), captures (of men other than the king), forcing (either), quiet_threats
+    (no captures, but the man attacks one afterwards), active (capture, check or such an attack), and check_from and
+    capture_from (masks of where they begin)."""
+    turn = positions.select(key, *STATE).withColumn("_turn", F.lit(True))
+    other = turn.withColumns({"side": F.expr("IF(side = 'w', 'b', 'w')"), "ep": F.lit(None).cast("int"), "_turn": F.lit(False)})
+    tried = pseudo(turn.unionByName(other)).withColumns({"_mover": F.col("side"), "_prey": F.expr("IF(side = 'w', b & ~bk, w & ~wk)")})
+    done = applied(tried).drop("w", "b", "occ")
+    done = attacked(done, "IF(_mover = 'w', wk, bk)", "_mover = 'w'").withColumnRenamed("check", "_unsafe")
+    done = attacked(done, "IF(_mover = 'w', bk, wk)", "_mover = 'b'")
+    held = settled(attacks.with_tables(settled(done, {"occ": bits.either(*MASKS), "_man": "IF(promotion > 0, promotion, (code - 1) % 6 + 1)"})), {
+        "_sees": f"CASE _man WHEN 1 THEN IF(_mover = 'w', _wpawn[target], _bpawn[target]) WHEN 2 THEN _knight[target] WHEN 3 THEN {attacks.slider('bishop', 'target')} WHEN 4 THEN {attacks.slider('rook', 'target')} WHEN 5 THEN {attacks.slider('queen', 'target')} ELSE _kingstep[target] END",
+    })
+    flags = {"_checks": "check AND NOT _unsafe", "_captures": "(shiftleft(1L, target) & _prey) <> 0", "_hits": "(_sees & _prey) <> 0"}
+    held = settled(held, flags).select(key, "_turn", "_unsafe", "_mover", "source", *flags)
+    counts = [F.count_if(F.expr("_turn AND NOT _unsafe")).cast("int").alias("legal_moves")]
+    for s in "wb":
+        tests = {"checks": "_checks", "captures": "_captures", "forcing": "_checks OR _captures", "quiet_threats": "_hits AND NOT _captures", "active": "_checks OR _captures OR _hits"}
+        counts += [F.count_if(F.expr(f"_mover = '{s}' AND ({test})")).cast("int").alias(f"{s}_{name}") for name, test in tests.items()]
+        counts += [F.expr(f"coalesce(bit_or(IF(_mover = '{s}' AND _{of}, shiftleft(1L, source), 0L)), 0L)").alias(f"{s}_{name}") for name, of in (("check_from", "checks"), ("capture_from", "captures"))]
+    got = held.groupBy(key).agg(*counts)
+    names = [c for c in got.columns if c != key]
+    # a position without any move still has its row
+    return positions.select(key).join(got, key, "left").select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
+
+
 def perft(positions: DataFrame, key: str, depth: int) -> DataFrame:
     """key and nodes: the number of legal move sequences of a length."""
     held = positions.select(key, *STATE)
