@@ -22,7 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: No source's target, and so no document, exceeds this many times its size.
 EPOCHS = 3
-#: Steps of virtual time in the histogram that finds the cut.
+#: Steps of virtual time in the histogram that finds the cut, and within one of them in the next; only copies of one of the
+#: last steps are put in order.
 STEPS = 4096
 
 
@@ -48,6 +49,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return levels.select("source", "source_size", F.least(F.lit(float(epochs)) * F.col("source_size"), F.coalesce(first["level"], F.lit(0.0)) * F.col("weight")).alias("target"), "total")
 
 
+def _cut(rows: DataFrame, by: str) -> DataFrame:
+    """The value of by in which the sizes of rows, in its order, pass their budget, and left: what is left of the budget where
+    it begins. No row if they don't. One row of sums for each value, of which there are at most 2 * STEPS."""
+    run = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.groupBy(by).agg(F.sum("size").alias("tokens"), F.max("budget").alias("budget")).withColumn("upto", F.sum("tokens").over(run))
+    first = sums.where(F.col("upto") > F.col("budget")).agg(F.min(F.struct(by, (F.col("budget") - F.col("upto") + F.col("tokens")).alias("left"))).alias("cut"))
+    return first.where("cut is not null").select("cut.*")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """One row for each row of docs: doc_id, size, source_size, target, taken (words, repeats counted), source.
 
@@ -69,20 +79,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     finish = F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda p: (p * F.col("source_size") + F.col("offset") + F.col("sum")) / F.col("target"))
     placed = cut(placed.select("doc_id", "source", "key", "size", "source_size", "target", "total", F.when((F.col("size") > 0) & (F.col("target") > 0), finish).alias("finish")))
 
-    step = lambda t: F.floor(F.least(t, F.lit(2.0)) * STEPS)
-    copies = placed.select("size", "key", "source", "doc_id", "total", F.explode("finish").alias("time")).withColumn("step", step(F.col("time")))
-    run = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    histogram = copies.groupBy("step").agg(F.sum("size").alias("tokens"), F.max("total").alias("total")).withColumn("upto", F.sum("tokens").over(run))
-    # the step in which the budget ends, and what is left of the budget when it begins
-    last = histogram.where(F.col("upto") > F.col("total")).agg(F.min(F.struct("step", (F.col("total") - F.col("upto") + F.col("tokens")).alias("left"))).alias("cut"))
-    last = last.select(F.col("cut.step").alias("cut_step"), F.col("cut.left").alias("left"))
+    fine = lambda t: F.floor(F.least(t, F.lit(2.0)) * (STEPS * STEPS))
+    copies = placed.select("size", "key", "source", "doc_id", "total", F.explode("finish").alias("time")).withColumn("fine", fine(F.col("time"))).withColumn("step", F.floor(F.col("fine") / STEPS))
+    step = _cut(copies.withColumnRenamed("total", "budget"), "step")
+    inside = copies.join(F.broadcast(step.select("step", F.col("left").alias("budget"))), "step")
+    last = _cut(inside, "fine").select(F.col("fine").alias("cut_fine"), "left")
     order = Window.orderBy("time", "key", "source", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rim = copies.join(F.broadcast(last), F.col("step") == F.col("cut_step")).withColumn("spent", F.sum("size").over(order)).where(F.col("spent") <= F.col("left"))
+    rim = copies.join(F.broadcast(last), F.col("fine") == F.col("cut_fine")).withColumn("spent", F.sum("size").over(order)).where(F.col("spent") <= F.col("left"))
     rim = rim.agg(F.max(F.struct("time", "key", "source", "size")).alias("rim"))
     edge = last.crossJoin(rim)  # one row
     taken = F.aggregate(
         "finish", F.lit(0).cast("long"),
-        lambda n, t: n + F.when(F.col("cut_step").isNull() | (step(t) < F.col("cut_step")) | ((step(t) == F.col("cut_step")) & (F.struct(t.alias("time"), "key", "source", "size") <= F.col("rim"))), F.col("size")).otherwise(0),
+        lambda n, t: n + F.when(F.col("cut_fine").isNull() | (fine(t) < F.col("cut_fine")) | ((fine(t) == F.col("cut_fine")) & (F.struct(t.alias("time"), "key", "source", "size") <= F.col("rim"))), F.col("size")).otherwise(0),
     )
     return placed.join(F.broadcast(edge), F.lit(True), "left").select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "source")
 
