@@ -28,7 +28,7 @@ def attacked(df: DataFrame, king: str, white: str) -> DataFrame:
     from the king, so no piece's reach is needed."""
     enemy = {p: f"IF({white}, b{p}, w{p})" for p in "pnbrqk"}
     held = settled(df, {"occ": bits.either(*MASKS), "_king": king, "_white": white} | {f"_e{p}": text for p, text in enemy.items()})
-    held = settled(held, {"_at": "CAST(IF(_king < 0, 63, bit_count(_king - 1)) AS INT)"})
+    held = settled(held, {"_at": "CAST(IF(_king < 0, 63, least(63, bit_count(_king - 1))) AS INT)"})
     held = settled(attacks.with_tables(held), {"_rook": attacks.slider("rook", "_at"), "_bishop": attacks.slider("bishop", "_at"), "_knights": "_knight[_at]", "_kings": "_kingstep[_at]", "_pawns": "IF(_white, _wpawn[_at], _bpawn[_at])"})
     check = "(_pawns & _ep) <> 0 OR (_knights & _en) <> 0 OR (_kings & _ek) <> 0 OR (_rook & (_er | _eq)) <> 0 OR (_bishop & (_eb | _eq)) <> 0"
     return held.withColumn("check", F.expr(check)).drop(*attacks.TABLES, "occ", "_king", "_white", "_at", "_rook", "_bishop", "_knights", "_kings", "_pawns", *(f"_e{p}" for p in "pnbrqk"))
@@ -130,3 +130,21 @@ def status(positions: DataFrame, key: str) -> DataFrame:
 def played(positions: DataFrame, uci: str) -> DataFrame:
     """The position after the legal move that the column names; rows whose move isn't legal go."""
     return legal(positions).where(F.col("uci") == F.col(uci))
+
+
+def validated(positions: DataFrame) -> DataFrame:
+    """Adds fault: null, or what first makes a position impossible: side, kings, adjacent_kings, pawn_rank, promotions (more
+    men than pawns can have become), opponent_in_check, castling, or en_passant."""
+    tables = attacks.with_tables(positions.withColumn("occ", F.expr(bits.either(*MASKS))))
+    at = "CAST(IF({k} < 0, 63, least(63, bit_count({k} - 1))) AS INT)"
+    spare = lambda s: " + ".join(f"greatest(bit_count({s}{p}) - {n}, 0)" for p, n in (("n", 2), ("b", 2), ("r", 2), ("q", 1))) + f" + bit_count({s}p)"
+    rook = lambda bit, king, rook_at, k, r: f"((castling & {bit}) > 0 AND (({k} & shiftleft(1L, {king})) = 0 OR ({r} & shiftleft(1L, {rook_at})) = 0))"
+    rights = " OR ".join((rook(1, 4, 7, "wk", "wr"), rook(2, 4, 0, "wk", "wr"), rook(4, 60, 63, "bk", "br"), rook(8, 60, 56, "bk", "br")))
+    passing = "ep IS NOT NULL AND ((shiftrightunsigned(occ, ep) & 1) = 1 OR ep DIV 8 <> IF(side = 'w', 5, 2) OR (shiftrightunsigned(IF(side = 'w', bp, wp), IF(side = 'w', ep - 8, ep + 8)) & 1) = 0)"
+    sound = "side IN ('w', 'b') AND bit_count(wk) = 1 AND bit_count(bk) = 1"
+    first = f"""CASE WHEN side NOT IN ('w', 'b') OR side IS NULL THEN 'side' WHEN bit_count(wk) <> 1 OR bit_count(bk) <> 1 THEN 'kings' WHEN {sound} AND (_kingstep[{at.format(k='wk')}] & bk) <> 0 THEN 'adjacent_kings'
+        WHEN ((wp | bp) & {bits.num(255 - (1 << 56))}) <> 0 THEN 'pawn_rank' WHEN {spare('w')} > 8 OR {spare('b')} > 8 THEN 'promotions' WHEN {rights} THEN 'castling' WHEN {passing} THEN 'en_passant' END"""
+    held = tables.withColumn("_first", F.expr(first)).drop(*attacks.TABLES, "occ")
+    both = attacked(held, "IF(side = 'w', bk, wk)", "side = 'b'")
+    late = F.col("_first").isin("castling", "en_passant") | F.col("_first").isNull()
+    return both.withColumn("fault", F.when(late & F.col("check"), "opponent_in_check").otherwise(F.col("_first"))).drop("_first", "check")

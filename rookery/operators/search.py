@@ -168,3 +168,23 @@ def int_between(metadata: Column, key: str, low: int | None, high: int | None) -
 def player(metadata: Column, name: str, color: str = "either") -> Column:
     seats = {"white": ["white"], "black": ["black"]}.get(color, ["white", "black"])
     return some(*[value_contains(metadata, s, name) for s in seats])
+
+
+def filters(metadata: Column, wanted: dict) -> Column:
+    """What a search form asks of a record: player and color, result, eco, opening, event (parts of text), min_rating and
+    max_rating (of both players), since and until (dates as yyyy.mm.dd). Keys that are absent or None ask nothing."""
+    terms = []
+    asked = {k: v for k, v in wanted.items() if v not in (None, "")}
+    unknown = set(asked) - {"player", "color", "result", "eco", "opening", "event", "min_rating", "max_rating", "since", "until"}
+    if unknown:
+        raise ValueError(f"unknown filters: {', '.join(sorted(unknown))}")
+    if "player" in asked:
+        terms.append(player(metadata, asked["player"], asked.get("color", "either")))
+    if "result" in asked:
+        terms.append(contains(metadata, {"result": asked["result"]}))
+    terms += [value_contains(metadata, k, asked[k]) for k in ("eco", "opening", "event") if k in asked]
+    if {"min_rating", "max_rating"} & set(asked):
+        terms += [int_between(metadata, k, asked.get("min_rating"), asked.get("max_rating")) for k in ("white_elo", "black_elo")]
+    if {"since", "until"} & set(asked):
+        terms.append(value_between(metadata, "date", asked.get("since"), asked.get("until")))
+    return every(*terms)
