@@ -9,22 +9,26 @@ from rookery.llm import bpe, jaccard, mixing, suffixes, toxicity
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go. Null and empty texts score like texts without toxic passages; repeated rows go or
+    stay together."""
     return toxicity.clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by word shingles, the least doc_id stays."""
+    """Of documents linked by word shingles, the least doc_id stays, and of repeated rows one. Texts without words (null ones
+    too) and rows without doc_id link with nothing and stay."""
     return jaccard.representatives(docs)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under strings that repeat go; n_chars follows the text."""
+    """Bytes under strings that repeat go; n_chars follows the text. Null texts stay null, and a text of which nothing is
+    left becomes empty."""
     return suffixes.remove(docs, rows=True).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; those not taken go."""
+    """Each document as often as the mix takes it; those not taken, and those without words, go. A null source is a source of
+    its own."""
     return mixing.mixed_rows(docs)
 
 
