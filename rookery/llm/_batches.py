@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from ._common import blocks, cut, partitions, utf8
 
 #: Text in a batch; a longer document is a batch of its own.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 NO_ID = np.iinfo(np.int64).max
 ASKED = "bucket int, batch long, blob binary"
 ANSWERED = "batch long, bucket int, blob binary"
