@@ -1,6 +1,6 @@
 """Documents in batches, and questions that batches ask about their hashes.
 
-A batch holds a few megabytes of text. To learn something about all its hashes
+A batch holds some megabytes of text. To learn something about all its hashes
 (how many documents have each, or who has it first) it sends a sorted, packed
 list of its distinct ones to each bucket of the hash space; the bucket answers
 with one packed value for each. Texts stay with their batch, rows stay few, and a
@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from ._common import blocks, cut, partitions, utf8
 
 #: Text in a batch; a longer document is a batch of its own.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 2 << 20
 NO_ID = np.iinfo(np.int64).max
 ASKED = "bucket int, batch long, blob binary"
 ANSWERED = "batch long, bucket int, blob binary"

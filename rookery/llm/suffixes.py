@@ -38,7 +38,7 @@ BASE = LENGTH - REACH + 1
 HOT = 1_024
 #: Groups up to so many suffixes are compared in pairs.
 FEW = 8
-BATCH = 2 << 20
+BATCH = 1 << 20
 #: Batches whose suffixes give the borders of the ranges; borders only balance the work.
 SPLIT_BATCHES = 32
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, kept binary"
