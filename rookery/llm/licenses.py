@@ -1,12 +1,14 @@
 """License scans by sentence rules.
 
-Sentences of a text are normalised and mapped to identifiers of known licence
-sentences; the sequence of identifiers is then matched against ordered rules,
+Texts are normalised, and known licence sentences in them, wrapped or not, mapped
+to identifiers; the sequence of identifiers is then matched against ordered rules,
 of which the first that fits names the licence. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,16 +79,57 @@ ANCHORS = ("license", "licensed", "permission", "warranty", "redistribution", "c
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences in order: lines, split again after . ! ? ; and white space."""
-    lines = F.regexp_replace(F.translate(text, UPPER, LOWER), r"([.!?;])[\x20\x09-\x0D]+", "$1\n")
-    return F.transform(F.split(lines, "[\n\r]+"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+#: Known sentences whose official wording has an end of a sentence (or a colon and a line break) within: the words before it.
+WITHIN = {
+    "gpl_free": ("free software", "software foundation"),
+    "gpl2_free": ("free software", "software foundation"),
+    "lgpl_free": ("free software", "software foundation"),
+    "gpl_hope": ("without any warranty",),
+    "mpl2_subject": ("license v",),
+}
+#: Stands for an end of a sentence: no lowered text has it.
+END = "E"
+
+
+def marked(text: Column) -> Column:
+    """The normalised text: words joined by a blank, by a line break where the text has one that may be wrapping, or by END
+    after . ! ? ; and white space, after a colon that ends a line, at blank lines and around bullets."""
+    out = F.regexp_replace(F.translate(text, UPPER, LOWER), "\r\n?", "\n")
+    for pattern, by in (
+        (r"(?md)^[^a-z0-9\n]*(?<![-+])[-+•][ \t]+", END),  # bullets, but not the comment mark --
+        (r"(?md)^[^a-z0-9\nE]+", ""),  # comment marks, so that lines of them alone are blank
+        (r"(?md)^(?:dnl|rem)[ \t]+", ""),
+        (r"(?md)^([0-9a-z]{1,2}\))[ \t]+", f"{END}$1{END}"),
+        (r"[.!?;][\x20\x09-\x0D]+|:[ \t]*\n|\n[\x20\x09-\x0D]*\n", END),
+        (r"[^a-z0-9\nE]+", " "),
+        (r"[ \nE]*E[ \nE]*", END),
+        (r" ?\n[ \n]*", "\n"),
+    ):
+        out = F.regexp_replace(out, pattern, by)
+    return F.concat(F.lit(END), F.trim(out), F.lit(END))
+
+
+def _one_of(known: dict[str, str]) -> str:
+    """Known sentences, the longest first, as they occur in a marked text: from a line's or sentence's begin to such an end,
+    wrapped anywhere, with ends within only where WITHIN has them."""
+
+    def gaps(name: str, sentence: str) -> str:
+        done, parts = "", []
+        for word in sentence.split(" "):
+            parts += [f"[ \n{END}]" if done.endswith(WITHIN.get(name, ())) else "[ \n]"] * bool(parts) + [re.escape(word)]
+            done = f"{done} {word}"
+        return "".join(parts)
+
+    longest = sorted(known.items(), key=lambda x: -len(x[1]))
+    return f"(?<=[\n{END}])(?:{'|'.join(gaps(*x) for x in longest)})(?=[\n{END}])"
 
 
 def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_sentences (known ones, repeats counted), sentence_ids (joined by
     a blank, in text order), license (that of the first rule that fits, else null), rule (its number from 1, or null).
 
+    A known sentence counts where it is whole lines or sentences of the text, wrapped or not; of those that begin at one
+    place the longest counts. SCAN_SQL states the same for sentences that stand on one line and hold no end within.
     Null and empty texts hold no sentence; repeated rows each get a row; an empty table gives an empty one; only
     doc_id and text are read. Whole texts are scanned; nothing is shuffled.
     """
@@ -94,7 +137,8 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple
     names = F.create_map(*[F.lit(x) for name, sentence in known.items() for x in (sentence, name)])
     lowered = F.translate("text", UPPER, LOWER)
     anchored = F.rlike(lowered, F.lit("|".join(ANCHORS))) if known is SENTENCES else F.col("text").isNotNull()
-    found = F.when(anchored, F.filter(F.transform(sentences(F.col("text")), lambda s: F.element_at(names, s)), lambda i: i.isNotNull()))
+    hits = F.regexp_extract_all(marked(F.col("text")), F.lit(_one_of(known)), F.lit(0))
+    found = F.when(anchored, F.transform(hits, lambda s: F.element_at(names, F.translate(s, f"\n{END}", "  "))))
     rows = docs.select("doc_id", F.coalesce(F.array_join(found, " "), F.lit("")).alias("sentence_ids"))
     padded = F.concat(F.lit(" "), F.col("sentence_ids"), F.lit(" "))
     fits = F.coalesce(*[F.when(padded.rlike(" " + " (?:.* )?".join(ids) + " "), F.lit(n)) for n, (_, ids) in enumerate(rules, 1)])

@@ -33,3 +33,93 @@ def test_earlier_rules_win_and_order_counts(spark):
     df = spark.createDataFrame([(1, "First.\nthird\nSECOND", "", 0), (2, "second\nfirst", "", 0), (3, "third", "", 0), (4, "firstsecond", "", 0), (4, "firstsecond", "", 0)], SCHEMA)
     assert sorted((r["doc_id"], r["license"]) for r in licenses.scan(df, known, rules).collect() if r["license"]) == [(1, "AB"), (2, "BA"), (3, "C")]
     assert licenses.scan(df.limit(0)).collect() == []
+
+
+#: The official texts as their publishers wrap them.
+WRAPPED = {
+    "MIT": """Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "BSD-3-Clause": """Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "CC0-1.0": """To the extent possible under law, the author has waived all copyright
+and related or neighboring rights to this work.""",
+    "Unlicense": "This is free and unencumbered software released into\nthe public domain.",
+}
+
+
+def test_official_texts_count_however_they_are_wrapped_and_commented(spark):
+    styles = {
+        "plain": lambda t: t,
+        "one line": lambda t: "\n".join(" ".join(p.split("\n")) for p in t.split("\n\n")),
+        "dos": lambda t: t.replace("\n", "\r\n"),
+        **{m: lambda t, m=m: "\n".join(f"{m} {x}".rstrip() for x in t.split("\n")) for m in ("//", "#", ";;", "--", "rem", ">")},
+        "block": lambda t: "/*\n" + "\n".join(f" * {x}".rstrip() for x in t.split("\n")) + "\n */\nint x;",
+        "box": lambda t: "\n".join(f"/* {x:<80} */" for x in t.split("\n")),
+    }
+    cases = [(name, style, f(text)) for name, text in WRAPPED.items() for style, f in styles.items()]
+    got = scanned(spark, [c[2] for c in cases])
+    assert [(n, s, r[2]) for (n, s, _), r in zip(cases, got, strict=True)] == [(n, s, n) for n, s, _ in cases]
+    plain = {n: r[1] for (n, s, _), r in zip(cases, got, strict=True) if s == "plain"}
+    assert plain["MIT"] == "mit_grant mit_notice as_is" and plain["Apache-2.0"] == "apache2_header apache2_comply apache2_basis"
+    assert plain["GPL-3.0-or-later"] == "gpl_free gpl_hope" and plain["BSD-3-Clause"] == "all_rights bsd_redistribution bsd_endorse"
+
+
+def test_ends_of_sentences_and_blank_lines_still_part(spark):
+    got = scanned(spark, ["Licensed under the Apache.\nLicense, Version 2.0", "Released under\n\nthe MIT License", "- Released under\n- the MIT License", "Released under the MIT License. All rights\nreserved.", "a) All rights\nreserved"])
+    assert [r[1] for r in got] == ["", "", "", "mit_released all_rights", "all_rights"]
