@@ -6,6 +6,7 @@ vector's adjacency lists are united over its shards. Every vector is then search
 for in its home shard: greedily from the medoids, and from there through all that is
 in or near its range. Cosines that count are verified in double precision, recall is
 audited against brute force on a stated query set, and the overlap grows if it lacks.
+If the largest overlap lacks as well, every vector is compared with all that can be in its range.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from ._components import components
 COSINE = 0.95
 #: Vectors that the centroids are fitted on, and centroids, at most; vectors per centroid and per block aimed at.
 SAMPLE, CENTROIDS, PER_CENTROID, PER_BLOCK = 16_384, 4_096, 1_000, 4_096
-#: Shards that a vector belongs to at first; doubled while the audit falls short of RECALL, to OVERLAPS at most.
+#: Shards that a vector belongs to at first; doubled while the audit falls short of RECALL, to OVERLAPS at most. After that, exhaustive().
 OVERLAP, OVERLAPS, RECALL = 4, 16, 0.99
 #: Out-degree within a shard, candidates for it, and the prune's factor on distances.
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
@@ -33,7 +35,11 @@ BEAM, SLACK = 24, 0.06
 #: Vectors whose id this divides are the audit's queries.
 AUDITED = 50
 
+#: Vectors sent to a ball in one row, and the slack in angles that covers their rounding.
+PACK, ROUNDING = 512, 1e-6
+
 UNIT = "vec_id long, unit binary"
+SENT = "dims int, shard int, block int, ids binary, units binary, id long, n long, a long, b long"
 
 
 def units(vectors: DataFrame) -> DataFrame:
@@ -145,7 +151,8 @@ def searched(query: np.ndarray, v: np.ndarray, adjacent: np.ndarray, begin: np.n
 
 def near(vectors: DataFrame) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links (other rows with cosine COSINE or more), component_id (least
-    vec_id reached by links, its own included), kept (vec_id = component_id), overlap and recall (of the audit).
+    vec_id reached by links, its own included), kept (vec_id = component_id), overlap and recall (of the audit; where the last
+    overlap falls short of RECALL, links and recall are those of exhaustive()).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor does a vector
     with another number of components. Equal vectors are searched for once. A null vec_id takes no part. An empty
@@ -155,15 +162,16 @@ def near(vectors: DataFrame) -> DataFrame:
     held = cut(units(vectors))
     some = held.where("unit is not null and vec_id is not null")
     classes = cut(some.groupBy("unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("dims", F.octet_length("unit")))
-    overlap = OVERLAP
+    overlap, exact = OVERLAP, False
     while True:
-        links, edges = linked(classes, overlap)
+        links, edges = exhaustive(classes) if exact else linked(classes, overlap)
         found = classes.join(links.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").select("id", "unit", "dims", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
         found = cut(found)
         recall = audit(found)
-        if recall >= RECALL or overlap >= OVERLAPS:
+        if recall >= RECALL or exact:
             break
-        overlap *= 2
+        exact = overlap >= OVERLAPS
+        overlap = overlap if exact else overlap * 2
     parts = components(edges)
     by_class = found.join(parts.withColumnRenamed("node", "id"), "id", "left").select("unit", "n", F.coalesce("component", "id").alias("component_id"))
     rows = held.join(by_class, "unit", "left")
@@ -171,15 +179,19 @@ def near(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"), F.lit(overlap).alias("overlap"), F.lit(recall).alias("recall"))
 
 
-def linked(classes: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n: copies of others linked, found in a block) and edges (a, b) that connect what is linked."""
-    spark = classes.sparkSession
+def fitted(classes: DataFrame) -> Broadcast:
+    """Centroids by dims."""
     total = {r["dims"]: r["n"] for r in classes.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
-    fitted = {}
+    held = {}
     for dims, n in total.items():
         sample = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("unit").collect()
-        fitted[dims] = centroids(matrix([r["unit"] for r in sample]), max(1, min(CENTROIDS, len(sample), -(-n // PER_CENTROID))))
-    shared = spark.sparkContext.broadcast(fitted)  # CENTROIDS bounds it
+        held[dims] = centroids(matrix([r["unit"] for r in sample]), max(1, min(CENTROIDS, len(sample), -(-n // PER_CENTROID))))
+    return classes.sparkSession.sparkContext.broadcast(held)  # CENTROIDS bounds it
+
+
+def linked(classes: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n: copies of others linked, found in a block) and edges (a, b) that connect what is linked."""
+    shared = fitted(classes)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,6 +271,99 @@ def linked(classes: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
     return out.where("id is not null").select("id", "n"), out.where("id is null").select("a", "b")
 
 
+def exhaustive(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same as linked(), with nothing missed. The blocks of the home shards are balls of angles; a vector links with all
+    of a ball that lies within its range, with none of one outside, and is sent to each other ball to be compared with all
+    its members. Counts leave a block, and edges that connect, but no pairs."""
+    spark = classes.sparkSession
+    shared = fitted(classes)
+    reach = float(np.arccos(COSINE))
+    begin = "id long, dims int, unit binary, copies long"
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column(1).to_numpy(zero_copy_only=False)
+            for d in np.unique(dims):
+                own = b.filter(pa.array(dims == d))
+                home = np.argmax(matrix(own.column(2).to_pylist()) @ shared.value.get(int(d), np.zeros((1, int(d) // 8))).T, 1)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(home.astype(np.int32))], ["id", "dims", "unit", "copies", "shard"])
+
+    homes = cut(classes.select("id", "dims", "unit", "copies").mapInArrow(settle, f"{begin}, shard int"))
+    blocks = homes.groupBy("dims", "shard").agg(F.ceil(F.count("*") / PER_BLOCK).cast("int").alias("blocks"))
+    members = homes.join(blocks, ["dims", "shard"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def measure(table: pa.Table) -> pa.Table:
+        v, ids = matrix(table.column("unit").to_pylist()), table.column("id").to_numpy()
+        mean = v.mean(0)
+        center = mean / np.linalg.norm(mean) if np.linalg.norm(mean) > 1e-9 else v[0]
+        radius = float(np.arccos(np.clip(v @ center, -1, 1)).max())
+        place = [table.column(c)[0].as_py() for c in ("dims", "shard", "block")]
+        return pa.Table.from_batches([rows_of("dims int, shard int, block int, center binary, radius double, copies long, id long", [(*place, center.tobytes(), radius, int(table.column("copies").to_numpy().sum()), int(ids.min()))])])
+
+    rows = members.groupBy("dims", "shard", "block").applyInArrow(measure, "dims int, shard int, block int, center binary, radius double, copies long, id long").orderBy("dims", "shard", "block").collect()
+    balls = {d: [r for r in rows if r["dims"] == d] for d in {r["dims"] for r in rows}}
+    balls = spark.sparkContext.broadcast({d: (np.array([(r["shard"], r["block"], r["copies"], r["id"]) for r in of], np.int64), matrix([r["center"] for r in of]), np.array([r["radius"] for r in of])) for d, of in balls.items()})
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column(1).to_numpy(zero_copy_only=False)
+            for d in np.unique(dims).tolist():
+                about, centers, radius = balls.value[d]
+                own = b.filter(pa.array(dims == d))
+                for at in range(0, own.num_rows, PACK):
+                    part = own.slice(at, PACK)
+                    ids, v = part.column(0).to_numpy(), matrix(part.column(2).to_pylist())
+                    angle = np.arccos(np.clip(v @ centers.T, -1, 1))
+                    whole = angle + radius <= reach - ROUNDING
+                    some = ~whole & (angle - radius <= reach + ROUNDING)
+                    out = [(d, None, None, None, None, i, n, None, None) for i, n in zip(ids.tolist(), (whole @ about[:, 2]).tolist(), strict=True) if n]
+                    out += [(d, None, None, None, None, None, None, a, c) for a, c in spanning(whole, ids, about[:, 3])]
+                    for j in np.flatnonzero(some.any(0)).tolist():
+                        out.append((d, *about[j, :2].tolist(), ids[some[:, j]].tobytes(), v[some[:, j]].tobytes(), None, None, None, None))
+                        if len(out) >= 16:
+                            yield rows_of(SENT, out)
+                            out = []
+                    yield rows_of(SENT, out)
+
+    sent = cut(members.select("id", "dims", "unit", "copies").mapInArrow(send, SENT))
+    asked = sent.where("ids is not null").select("dims", "shard", "block", "ids", "units", F.xxhash64("ids").alias("salt"))
+    parts = asked.groupBy("dims", "shard", "block").agg(F.ceil(F.count("*") / 32).cast("int").alias("parts"))
+    asked = asked.join(parts, ["dims", "shard", "block"]).withColumn("part", F.pmod("salt", "parts").cast("int"))
+    held = members.join(parts, ["dims", "shard", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = asked.select("dims", "shard", "block", "part", "ids", "units", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("copies"))
+    both = both.unionByName(held.select("dims", "shard", "block", "part", F.lit(None).cast("binary").alias("ids"), F.col("unit").alias("units"), "id", "copies"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        own = table.filter(table.column("id").is_valid())
+        names, weights, v = own.column("id").to_numpy(), own.column("copies").to_numpy(), matrix(own.column("units").to_pylist())
+        out = []
+        for r in table.filter(table.column("ids").is_valid()).select(["ids", "units"]).to_batches(1):
+            ids = np.frombuffer(r.column(0)[0].as_py(), np.int64)
+            x = np.frombuffer(r.column(1)[0].as_py(), np.float64).reshape(len(ids), -1)
+            s = x @ v.T
+            hit = s >= COSINE
+            for i, j in np.argwhere(np.abs(s - COSINE) < 1e-12):
+                hit[i, j] = (v[j] * x[i]).sum() >= COSINE  # the same from both sides
+            out += [(i, n, None, None) for i, n in zip(ids.tolist(), (hit @ weights).tolist(), strict=True) if n]
+            out += [(None, None, a, c) for a, c in spanning(hit, ids, names)]
+        return pa.Table.from_batches([rows_of("id long, n long, a long, b long", out)])
+
+    out = cut(both.groupBy("dims", "shard", "block", "part").applyInArrow(compare, "id long, n long, a long, b long").unionByName(sent.where("ids is null").select("id", "n", "a", "b")))
+    counted = out.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).join(classes.select("id", "copies"), "id")
+    return counted.select("id", (F.col("n") - F.col("copies")).alias("n")), out.where("id is null").select("a", "b")
+
+
+def spanning(hit: np.ndarray, ids: np.ndarray, names: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect each of ids with the names that its row of hit has."""
+    label, out = np.arange(len(names)), []
+    for i, row in zip(ids.tolist(), hit, strict=True):
+        roots = np.unique(label[row])
+        out += [(i, int(names[r])) for r in roots]
+        if len(roots) > 1:
+            label[np.isin(label, roots)] = roots[0]
+    return out
+
+
 def audit(found: DataFrame) -> float:
     """Recall of n over the classes whose id AUDITED divides, each against all classes, in blocks. found: id, unit, dims,
     copies, n."""

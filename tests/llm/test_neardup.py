@@ -40,3 +40,22 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert neardup.near(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def results(got):
+    return {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in got}
+
+
+def test_short_recall_at_the_last_overlap_ends_in_an_exhaustive_search(spark, monkeypatch):
+    for name, value in {"OVERLAP": 1, "OVERLAPS": 1, "PER_CENTROID": 20, "PER_BLOCK": 16}.items():
+        monkeypatch.setattr(neardup, name, value)
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=3).astype(np.float32).tolist()) for i in range(700)]
+    rows += [(1000 + i, (np.array([1, 2, 3]) + 0.01 * r.normal(size=3)).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(2000 + i, rows[7][1]) for i in range(5)] + [(3000 + i, r.normal(size=2).tolist()) for i in range(60)] + [(4000, None)]
+    got = neardup.near(spark.createDataFrame([(i, v, 0, 1, 2) for i, v in rows], SCHEMA).repartition(4)).collect()
+    want = {4000: (0, 4000, True)}
+    for size in (2, 3):
+        want |= brute([x for x in rows if x[1] and len(x[1]) == size])
+    assert results(got) == want
+    assert got[0]["overlap"] == 1 and got[0]["recall"] == pytest.approx(1.0)
