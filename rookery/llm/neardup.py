@@ -32,14 +32,16 @@ OVERLAP, OVERLAPS, RECALL = 4, 16, 0.99
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 #: Width of the greedy search, and how far below the threshold a range still expands.
 BEAM, SLACK = 24, 0.06
-#: Vectors whose id this divides are the audit's queries.
+#: Vectors with a copy (or themselves) whose id this divides are the audit's queries.
 AUDITED = 50
 
 #: Vectors sent to a ball in one row, and the slack in angles that covers their rounding.
 PACK, ROUNDING = 512, 1e-6
 
 UNIT = "vec_id long, unit binary"
-SENT = "dims int, shard int, block int, ids binary, units binary, id long, n long, a long, b long"
+FOUND = "id long, n long, m long, a long, b long"
+SUMS = "found long, there long, shares double, queries long"
+SENT = "dims int, shard int, block int, ids binary, units binary, id long, n long, m long, a long, b long"
 
 
 def units(vectors: DataFrame) -> DataFrame:
@@ -161,11 +163,11 @@ def near(vectors: DataFrame) -> DataFrame:
     spark = vectors.sparkSession
     held = cut(units(vectors))
     some = held.where("unit is not null and vec_id is not null")
-    classes = cut(some.groupBy("unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("dims", F.octet_length("unit")))
+    classes = cut(some.groupBy("unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.max(F.col("vec_id") % AUDITED == 0).alias("audited")).withColumn("dims", F.octet_length("unit")))
     overlap, exact = OVERLAP, False
     while True:
         links, edges = exhaustive(classes) if exact else linked(classes, overlap)
-        found = classes.join(links.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").select("id", "unit", "dims", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
+        found = classes.join(links.groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "id", "left").select("id", "unit", "dims", "audited", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
         found = cut(found)
         recall = audit(found)
         if recall >= RECALL or exact:
@@ -190,7 +192,7 @@ def fitted(classes: DataFrame) -> Broadcast:
 
 
 def linked(classes: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n: copies of others linked, found in a block) and edges (a, b) that connect what is linked."""
+    """(id, n: copies of others linked, m: different ones, found in a block) and edges (a, b) that connect what is linked."""
     shared = fitted(classes)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,15 +262,15 @@ def linked(classes: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
             got = searched(x, v, adjacent, begin)
             got = got[(v[got] * x).sum(1) >= COSINE]
             got = got[names[got] != i]
-            rows.append((i, int(weights[got].sum()), None, None))
+            rows.append((i, int(weights[got].sum()), len(got), None, None))
             for j in names[got].tolist():
                 if root(i) != root(j):
-                    rows.append((None, None, i, j))
+                    rows.append((None, None, None, i, j))
                     parent[root(j)] = root(i)
-        return pa.Table.from_batches([rows_of("id long, n long, a long, b long", rows)])
+        return pa.Table.from_batches([rows_of(FOUND, rows)])
 
-    out = cut(both.groupBy("dims", "shard", "block").applyInArrow(search, "id long, n long, a long, b long"))
-    return out.where("id is not null").select("id", "n"), out.where("id is null").select("a", "b")
+    out = cut(both.groupBy("dims", "shard", "block").applyInArrow(search, FOUND))
+    return out.where("id is not null").select("id", "n", "m"), out.where("id is null").select("a", "b")
 
 
 def exhaustive(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -298,11 +300,11 @@ def exhaustive(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         center = mean / np.linalg.norm(mean) if np.linalg.norm(mean) > 1e-9 else v[0]
         radius = float(np.arccos(np.clip(v @ center, -1, 1)).max())
         place = [table.column(c)[0].as_py() for c in ("dims", "shard", "block")]
-        return pa.Table.from_batches([rows_of("dims int, shard int, block int, center binary, radius double, copies long, id long", [(*place, center.tobytes(), radius, int(table.column("copies").to_numpy().sum()), int(ids.min()))])])
+        return pa.Table.from_batches([rows_of("dims int, shard int, block int, center binary, radius double, copies long, size long, id long", [(*place, center.tobytes(), radius, int(table.column("copies").to_numpy().sum()), len(ids), int(ids.min()))])])
 
-    rows = members.groupBy("dims", "shard", "block").applyInArrow(measure, "dims int, shard int, block int, center binary, radius double, copies long, id long").orderBy("dims", "shard", "block").collect()
+    rows = members.groupBy("dims", "shard", "block").applyInArrow(measure, "dims int, shard int, block int, center binary, radius double, copies long, size long, id long").orderBy("dims", "shard", "block").collect()
     balls = {d: [r for r in rows if r["dims"] == d] for d in {r["dims"] for r in rows}}
-    balls = spark.sparkContext.broadcast({d: (np.array([(r["shard"], r["block"], r["copies"], r["id"]) for r in of], np.int64), matrix([r["center"] for r in of]), np.array([r["radius"] for r in of])) for d, of in balls.items()})
+    balls = spark.sparkContext.broadcast({d: (np.array([(r["shard"], r["block"], r["copies"], r["size"], r["id"]) for r in of], np.int64), matrix([r["center"] for r in of]), np.array([r["radius"] for r in of])) for d, of in balls.items()})
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,10 +318,10 @@ def exhaustive(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
                     angle = np.arccos(np.clip(v @ centers.T, -1, 1))
                     whole = angle + radius <= reach - ROUNDING
                     some = ~whole & (angle - radius <= reach + ROUNDING)
-                    out = [(d, None, None, None, None, i, n, None, None) for i, n in zip(ids.tolist(), (whole @ about[:, 2]).tolist(), strict=True) if n]
-                    out += [(d, None, None, None, None, None, None, a, c) for a, c in spanning(whole, ids, about[:, 3])]
+                    out = [(d, None, None, None, None, i, n, m, None, None) for i, (n, m) in zip(ids.tolist(), (whole @ about[:, 2:4]).tolist(), strict=True) if n]
+                    out += [(d, None, None, None, None, None, None, None, a, c) for a, c in spanning(whole, ids, about[:, 4])]
                     for j in np.flatnonzero(some.any(0)).tolist():
-                        out.append((d, *about[j, :2].tolist(), ids[some[:, j]].tobytes(), v[some[:, j]].tobytes(), None, None, None, None))
+                        out.append((d, *about[j, :2].tolist(), ids[some[:, j]].tobytes(), v[some[:, j]].tobytes(), None, None, None, None, None))
                         if len(out) >= 16:
                             yield rows_of(SENT, out)
                             out = []
@@ -344,13 +346,13 @@ def exhaustive(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
             hit = s >= COSINE
             for i, j in np.argwhere(np.abs(s - COSINE) < 1e-12):
                 hit[i, j] = (v[j] * x[i]).sum() >= COSINE  # the same from both sides
-            out += [(i, n, None, None) for i, n in zip(ids.tolist(), (hit @ weights).tolist(), strict=True) if n]
-            out += [(None, None, a, c) for a, c in spanning(hit, ids, names)]
-        return pa.Table.from_batches([rows_of("id long, n long, a long, b long", out)])
+            out += [(i, n, m, None, None) for i, n, m in zip(ids.tolist(), (hit @ weights).tolist(), hit.sum(1).tolist(), strict=True) if n]
+            out += [(None, None, None, a, c) for a, c in spanning(hit, ids, names)]
+        return pa.Table.from_batches([rows_of(FOUND, out)])
 
-    out = cut(both.groupBy("dims", "shard", "block", "part").applyInArrow(compare, "id long, n long, a long, b long").unionByName(sent.where("ids is null").select("id", "n", "a", "b")))
-    counted = out.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).join(classes.select("id", "copies"), "id")
-    return counted.select("id", (F.col("n") - F.col("copies")).alias("n")), out.where("id is null").select("a", "b")
+    out = cut(both.groupBy("dims", "shard", "block", "part").applyInArrow(compare, FOUND).unionByName(sent.where("ids is null").select("id", "n", "m", "a", "b")))
+    counted = out.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).join(classes.select("id", "copies"), "id")
+    return counted.select("id", (F.col("n") - F.col("copies")).alias("n"), (F.col("m") - 1).alias("m")), out.where("id is null").select("a", "b")
 
 
 def spanning(hit: np.ndarray, ids: np.ndarray, names: np.ndarray) -> list[tuple[int, int]]:
@@ -365,19 +367,20 @@ def spanning(hit: np.ndarray, ids: np.ndarray, names: np.ndarray) -> list[tuple[
 
 
 def audit(found: DataFrame) -> float:
-    """Recall of n over the classes whose id AUDITED divides, each against all classes, in blocks. found: id, unit, dims,
-    copies, n."""
+    """Recall of m over the audited classes, each against all classes, in blocks: of links between different vectors,
+    whatever their copies, over all of them or as the mean of the queries that have any, whichever is less. found: id,
+    unit, dims, audited, m."""
 
     def packed(df: DataFrame, size: int) -> DataFrame:
         def run(table: pa.Table) -> pa.Table:
             blob = b"".join(table.column("unit").to_pylist())
-            return pa.Table.from_batches([rows_of("dims int, units binary, copies binary, n binary", [(table.column("dims")[0].as_py(), blob, table.column("copies").to_numpy().astype(np.int64).tobytes(), table.column("n").to_numpy().astype(np.int64).tobytes())])])
+            return pa.Table.from_batches([rows_of("dims int, units binary, m binary", [(table.column("dims")[0].as_py(), blob, table.column("m").to_numpy().astype(np.int64).tobytes())])])
 
         rows = df.count()
-        return df.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows // size))))).groupBy("dims", "part").applyInArrow(run, "dims int, units binary, copies binary, n binary").withColumn("number", F.monotonically_increasing_id())
+        return df.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows // size))))).groupBy("dims", "part").applyInArrow(run, "dims int, units binary, m binary").withColumn("number", F.monotonically_increasing_id())
 
-    queries = cut(packed(found.where(F.col("id") % AUDITED == 0), 512))
-    rows = cut(packed(found, 8_192)).select("dims", "units", "copies")
+    queries = cut(packed(found.where("audited"), 512))
+    rows = cut(packed(found, 8_192)).select("dims", "units")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -385,14 +388,15 @@ def audit(found: DataFrame) -> float:
                 r = b.slice(i, 1).to_pylist()[0]
                 q, v = (np.frombuffer(r[c], np.float64).reshape(-1, r["dims"] // 8) for c in ("q_units", "units"))
                 hit = q @ v.T >= COSINE
-                yield rows_of("number long, hits binary", [(r["number"], (hit @ np.frombuffer(r["copies"], np.int64)).tobytes())])
+                yield rows_of("number long, hits binary", [(r["number"], hit.sum(1).astype(np.int64).tobytes())])
 
     pairs = rows.join(queries.select("dims", "number", F.col("units").alias("q_units")), "dims").mapInArrow(count, "number long, hits binary")
 
     def total(table: pa.Table) -> pa.Table:
         hits = sum(np.frombuffer(h, np.int64) for h in table.column("hits").to_pylist()) - 1
-        n = np.frombuffer(table.column("n")[0].as_py(), np.int64)
-        return pa.Table.from_batches([rows_of("found long, there long", [(int(np.minimum(n, hits).sum()), int(hits.sum()))])])
+        m = np.frombuffer(table.column("m")[0].as_py(), np.int64)
+        got, some = np.minimum(m, hits), hits > 0
+        return pa.Table.from_batches([rows_of(SUMS, [(int(got.sum()), int(hits.sum()), float((got[some] / hits[some]).sum()), int(some.sum()))])])
 
-    sums = pairs.join(queries.select("number", "n"), "number").groupBy("number").applyInArrow(total, "found long, there long").agg(F.sum("found"), F.sum("there")).first()
-    return 1.0 if not sums[1] else sums[0] / sums[1]
+    sums = pairs.join(queries.select("number", "m"), "number").groupBy("number").applyInArrow(total, SUMS).agg(*[F.sum(c) for c in ("found", "there", "shares", "queries")]).first()
+    return 1.0 if not sums[1] else min(sums[0] / sums[1], sums[2] / sums[3])

@@ -59,3 +59,20 @@ def test_short_recall_at_the_last_overlap_ends_in_an_exhaustive_search(spark, mo
         want |= brute([x for x in rows if x[1] and len(x[1]) == size])
     assert results(got) == want
     assert got[0]["overlap"] == 1 and got[0]["recall"] == pytest.approx(1.0)
+
+
+def test_the_audit_counts_links_between_different_vectors(spark):
+    unit = lambda *v: (np.array(v, float) / np.linalg.norm(v)).tobytes()
+    # a large class of copies; two vectors close to each other, whose link was not found; one that has its link with the large class
+    rows = [(1, unit(1, 0, 0), True, 4999, 1), (2, unit(0, 1, 0), True, 0, 0), (3, unit(0, 1, 0.1), False, 0, 0), (4, unit(1, 0.1, 0), True, 5000, 1)]
+    found = spark.createDataFrame([(i, u, 24, 5000 if i == 1 else 1, a, n, m) for i, u, a, n, m in rows], "id long, unit binary, dims int, copies long, audited boolean, n long, m long")
+    assert neardup.audit(found) == pytest.approx(2 / 3)
+
+
+def test_queries_are_all_classes_with_an_audited_row(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(neardup, "audit", lambda found: held.extend(found.where("audited").collect()) or 1.0)
+    rows = [(i, [1.0, float(i // 10)]) for i in (41, 42, 50, 61, 62, 103, 108, 150)] + [(151, [0.0, 1.0])]
+    rows += [(200, [1.0, 10.0])]  # a copy of 103
+    neardup.near(spark.createDataFrame([(i, v, 0, 1, 2) for i, v in rows], SCHEMA)).count()
+    assert sorted(x["id"] for x in held) == [50, 103, 150]
