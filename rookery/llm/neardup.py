@@ -192,7 +192,8 @@ def fitted(classes: DataFrame) -> Broadcast:
 
 
 def linked(classes: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n: copies of others linked, m: different ones, found in a block) and edges (a, b) that connect what is linked."""
+    """(id, n: copies of others linked, m: different ones, found in a block) and edges (a, b) that connect what is linked. A
+    pair counts for both, also where only one is in the other's home shard."""
     shared = fitted(classes)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +208,9 @@ def linked(classes: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
                 home = np.argmax(s, 1)
                 at = np.repeat(np.arange(len(s)), k)
                 columns = [own.column(i).take(pa.array(at)) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(top.ravel().astype(np.int32)), pa.array(top.ravel() == home[at])], ["id", "dims", "unit", "copies", "shard", "home"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(top.ravel().astype(np.int32)), pa.array(top.ravel() == home[at]), pa.array(home[at].astype(np.int32)), pa.array([x.tobytes() for x in top.astype(np.int32)], pa.binary()).take(pa.array(at))], ["id", "dims", "unit", "copies", "shard", "home", "home_shard", "shards"])
 
-    dealt = classes.select("id", "dims", "unit", "copies").mapInArrow(assign, "id long, dims int, unit binary, copies long, shard int, home boolean")
+    dealt = classes.select("id", "dims", "unit", "copies").mapInArrow(assign, "id long, dims int, unit binary, copies long, shard int, home boolean, home_shard int, shards binary")
     dealt = cut(dealt)
     blocks = dealt.groupBy("dims", "shard").agg(F.ceil(F.count("*") / PER_BLOCK).cast("int").alias("blocks"))
     members = dealt.join(blocks, ["dims", "shard"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -224,7 +225,7 @@ def linked(classes: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
     graph = members.groupBy("dims", "shard", "block").applyInArrow(build, "id long, near binary").groupBy("id").agg(F.collect_list("near").alias("near"))
     placed = members.join(graph, "id")
     asked = members.where("home").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["dims", "shard", "block", "id", "unit", "copies"]
+    columns = ["dims", "shard", "block", "id", "unit", "copies", "home_shard", "shards"]
     both = placed.select(*columns, "near").unionByName(asked.select(*columns, F.lit(None).cast("array<binary>").alias("near")))
 
     def search(table: pa.Table) -> pa.Table:
@@ -232,7 +233,9 @@ def linked(classes: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
         ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
         own = np.flatnonzero(~query)
         own = own[np.argsort(ids[own])]
-        names, weights = ids[own], copies[own]
+        names, weights, homes = ids[own], copies[own], table.column("home_shard").to_numpy()[own]
+        # what finds a member over a border, and so isn't in its home shard to be found by it
+        n_back, m_back = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
         v = matrix([table.column("unit")[int(i)].as_py() for i in own])
         lists = [np.frombuffer(b"".join(table.column("near")[int(i)].as_py()), np.int64) for i in own]
         spots = [np.searchsorted(names, x) for x in lists]
@@ -263,10 +266,14 @@ def linked(classes: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
             got = got[(v[got] * x).sum(1) >= COSINE]
             got = got[names[got] != i]
             rows.append((i, int(weights[got].sum()), len(got), None, None))
+            over = got[~np.isin(homes[got], np.frombuffer(table.column("shards")[q].as_py(), np.int32))]
+            n_back[over] += copies[q]
+            m_back[over] += 1
             for j in names[got].tolist():
                 if root(i) != root(j):
                     rows.append((None, None, None, i, j))
                     parent[root(j)] = root(i)
+        rows += [(int(names[j]), int(n_back[j]), int(m_back[j]), None, None) for j in np.flatnonzero(m_back).tolist()]
         return pa.Table.from_batches([rows_of(FOUND, rows)])
 
     out = cut(both.groupBy("dims", "shard", "block").applyInArrow(search, FOUND))

@@ -76,3 +76,17 @@ def test_queries_are_all_classes_with_an_audited_row(spark, monkeypatch):
     rows += [(200, [1.0, 10.0])]  # a copy of 103
     neardup.near(spark.createDataFrame([(i, v, 0, 1, 2) for i, v in rows], SCHEMA)).count()
     assert sorted(x["id"] for x in held) == [50, 103, 150]
+
+
+def test_pairs_over_borders_count_on_both_sides(spark, monkeypatch):
+    # shards of 20 degrees; of two vectors in range at least one is in the other's home shard, and often only one is
+    angle = np.radians(np.arange(0, 360, 20))
+    monkeypatch.setattr(neardup, "centroids", lambda sample, k: np.stack([np.cos(angle), np.sin(angle)], 1))
+    for name, value in {"OVERLAP": 2, "OVERLAPS": 2, "RECALL": 0}.items():
+        monkeypatch.setattr(neardup, name, value)
+    a = np.random.default_rng(7).uniform(0, 2 * np.pi, 400)
+    rows = [(i, [float(np.cos(x)), float(np.sin(x))]) for i, x in enumerate(a)]
+    rows += [(1000 + i, rows[i % 9][1]) for i in range(40)]
+    got = neardup.near(spark.createDataFrame([(i, v, 0, 1, 2) for i, v in rows], SCHEMA).repartition(4)).collect()
+    assert got[0]["overlap"] == 2 and got[0]["recall"] == pytest.approx(1.0)
+    assert results(got) == brute([(i, np.array(v, np.float32).tolist()) for i, v in rows])
