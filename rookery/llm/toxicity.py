@@ -1,36 +1,40 @@
 """Toxicity by maximum-scoring segments.
 
 Tokens (words, and stems of rare words) get log-odds between toxic and clean
-labelled texts under an informative Dirichlet prior. A linear-time scan finds all
-maximal scoring segments of a text; each is given an expected count under chance
-(extreme-value statistics whose scale and rate are fitted on clean texts), and
-their sum is calibrated to a probability on labelled texts kept apart.
+labelled texts under an informative Dirichlet prior, or 0 where their standard
+score is low. A linear-time scan over the log-odds of all tokens, negative ones
+too, finds all maximal scoring segments of a text; each is given an expected count
+under chance (extreme-value statistics whose scale and rate are fitted on clean
+texts), and their sum is calibrated to a probability on labelled texts kept apart.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._batches import rows_of
 from ._common import blocks, cut
 
 #: Bounds of the labelled samples, taken by hash: texts of each class to fit token scores, and texts to calibrate.
 FIT_TOXIC, FIT_CLEAN, CALIBRATE = 8_000, 12_000, 10_000
-#: Features of a model at most, and the standard scores and log-odds that they need.
-FEATURES, LEAST_Z, LEAST_ODDS = 20_000, 4.0, 1.0
+#: Bytes of a sample's texts at most; they bound the vocabulary, and with it what is collected and broadcast.
+SAMPLE_BYTES = 64 << 20
+#: The standard score that log-odds need, and the log-odds above 0; others count as 0. The grid that scores lie on.
+LEAST_Z, LEAST_ODDS, GRID = 4.0, 1.0, 64
 #: The prior's weight as a share of the counts, and its least pseudo-count.
 PRIOR, LEAST_PRIOR = 0.1, 0.01
 #: A word seen in fewer contexts than this is scored by its stem.
 OWN = 5
 STEMS = (6, 5, 4)
-#: What a token without a score takes off a running segment, and the most that one adds.
+#: What a token with log-odds of 0 takes off a running segment, and the most that one adds or takes off.
 DRIFT, MOST = 0.25, 8.0
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
@@ -38,8 +42,8 @@ WORD = re.compile(r"\w+")
 
 @dataclass
 class Model:
-    """tokens: log-odds of words and, under "stem~", of stems (0: known to be plain). scale and rate: of the extreme-
-    value law. slope and base: of the calibration."""
+    """tokens: log-odds of words and, under "stem~", of stems. scale and rate: of the extreme-value law. slope and base: of
+    the calibration."""
 
     tokens: dict[str, float]
     scale: float = 1.0
@@ -53,7 +57,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Scores(dict):
-    """Scores of words seen so far; forgotten beyond a bound."""
+    """Scores of words seen so far; forgotten beyond a bound. A token takes off DRIFT at least unless its log-odds are above 0."""
 
     def __init__(self, tokens: dict[str, float]):
         super().__init__()
@@ -65,32 +69,34 @@ class Scores(dict):
         got = self.tokens.get(word)
         if got is None:
             got = next((s for n in STEMS if len(word) >= n and (s := self.tokens.get(word[:n] + "~")) is not None), 0.0)
-        self[word] = got = min(got, MOST)
+        self[word] = got = min(got, MOST) if got > 0 else max(min(got, -DRIFT), -MOST)
         return got
 
 
 def segments(scores: list[float]) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments as (score, first, after last), where a 0 stands for -DRIFT. Linear: each positive
-    token joins a stack of candidates, and takes over those that it extends."""
-    stack: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, after last
-    total, seen = 0.0, 0
-    for i, s in enumerate(scores):
-        if s <= 0:
-            continue
-        total -= DRIFT * (i - seen)
-        low, high, first = total, total + s, i
-        total, seen = high, i + 1
-        while True:
-            # down to the last candidate that began lower; those above it stay candidates unless it joins
-            j = len(stack) - 1
-            while j >= 0 and stack[j][0] >= low:
-                j -= 1
-            if j < 0 or stack[j][1] >= high:
-                break
-            low, first = stack[j][0], stack[j][2]
-            del stack[j:]
-        stack.append((low, high, first, i + 1))
-    return [(high - low, first, last) for low, high, first, last in stack]
+    """All maximal scoring segments as (score, first, after last).
+
+    Linear: each positive token joins a stack of candidates and takes over those that it extends. A candidate knows the
+    last one before it that began lower, so those in between are passed over once."""
+    x = np.array(scores, np.float64)
+    after = np.cumsum(x)
+    at = np.flatnonzero(x > 0)
+    low: list[float] = []  # sums before a candidate and with it, where it begins and ends, and the last one that began lower
+    high, first, last, lower = [], [], [], []
+    for i, top, step in zip(at.tolist(), after[at].tolist(), x[at].tolist(), strict=True):
+        bottom, begin, j = top - step, i, len(low) - 1
+        while j >= 0 and low[j] >= bottom:
+            j = lower[j]
+        while j >= 0 and high[j] < top:
+            bottom, begin, k = low[j], first[j], lower[j]
+            del low[j:], high[j:], first[j:], last[j:], lower[j:]
+            j = k
+        low.append(bottom)
+        high.append(top)
+        first.append(begin)
+        last.append(i + 1)
+        lower.append(j)
+    return [(h - b, i, j) for b, h, i, j in zip(low, high, first, last, strict=True)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -103,11 +109,15 @@ def weight(found: list[tuple[float, int, int]], n: int, model: Model) -> float:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, n: int, part: int, toxic: int | None) -> DataFrame:
-    """Texts of n labelled rows at most; the bound makes the label side small enough to broadcast."""
+    """Texts of n labelled rows and SAMPLE_BYTES at most, by hash; the bounds make the label side small enough to broadcast."""
     own = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)).isin([0, 1] if part else [2]))
     if toxic is not None:
         own = own.where(F.col("toxic") == toxic)
-    return docs.select("doc_id", "text").join(F.broadcast(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)), "doc_id").select("text", "toxic")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    held = cut(docs.select("doc_id", "text").join(F.broadcast(own.orderBy(*order).limit(n)), "doc_id").select("doc_id", "text", "toxic"))
+    sizes = held.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    upto = F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return held.join(F.broadcast(sizes.withColumn("upto", upto).where(F.coalesce(F.col("upto") <= SAMPLE_BYTES, F.lit(True))).select("doc_id")), "doc_id", "left_semi").select("text", "toxic")
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
@@ -134,12 +144,14 @@ def _log_odds(counts: DataFrame, totals: tuple[int, int]) -> DataFrame:
     prior1, prior0 = F.greatest(rate * PRIOR * n1, F.lit(LEAST_PRIOR)), F.greatest(rate * PRIOR * n0, F.lit(LEAST_PRIOR))
     odds = lambda y, n, a: F.log((y + a) / (F.lit(n * (1 + PRIOR) + 1.0) - y))
     delta = odds(F.col("hits"), n1, prior1) - odds(F.col("misses"), n0, prior0)
-    return counts.withColumn("odds", delta).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("hits") + prior1) + 1 / (F.col("misses") + prior0)))
+    z = delta / F.sqrt(1 / (F.col("hits") + prior1) + 1 / (F.col("misses") + prior0))
+    telling = ((z >= LEAST_Z) & (delta >= LEAST_ODDS)) | (z <= -LEAST_Z)
+    return counts.withColumn("odds", F.when(telling, F.round(delta * GRID) / GRID).otherwise(0.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """labels: doc_id, toxic; held-out rows and null labels are left out here. Without labels of both classes the
-    model scores every text alike."""
+    """labels: doc_id, toxic; held-out rows and null labels are left out here. Without labels of both classes, as in an
+    empty table, the model scores every text alike."""
     labels = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labels = cut(labels)
     rows = _sample(docs, labels, FIT_TOXIC, 1, 1).unionAll(_sample(docs, labels, FIT_CLEAN, 1, 0))
@@ -148,24 +160,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not n1 or not n0:
         return Model({})
     stems = words.select(F.explode(F.array(*[F.when(F.length("word") >= n, F.concat(F.substring("word", 1, n), F.lit("~"))) for n in STEMS])).alias("word"), "hits", "misses").where("word is not null")
-    stems = _log_odds(stems.groupBy("word").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses")), (n1, n0))
-    own = _log_odds(words, (n1, n0))
-    telling = (F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)
-    found = {r["word"]: r["odds"] for r in own.unionAll(stems).where(telling).orderBy(F.desc("z"), "word").limit(FEATURES).collect()}
-    # frequent words that look plain themselves, under a stem that doesn't
-    begin = [w[:-1] for w in found if w.endswith("~")]
-    plain = own.where((F.col("hits") + F.col("misses") >= OWN) & ~telling)
-    if begin:
-        stem_rows = docs.sparkSession.createDataFrame([(b,) for b in begin], "stem string")
-        for n in STEMS:
-            own_stems = stem_rows.where(F.length("stem") == n)
-            found |= {r["word"]: 0.0 for r in plain.join(F.broadcast(own_stems), F.substring("word", 1, n) == F.col("stem"), "left_semi").orderBy(F.desc("misses"), "word").limit(FEATURES).select("word").collect()}
-    model = Model(found)
-    return calibrated(model, _sample(docs, labels, CALIBRATE, 0, None))
+    stems = _log_odds(stems.groupBy("word").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses")), (n1, n0)).where("odds > 0")
+    own = _log_odds(words.where(F.col("hits") + F.col("misses") >= OWN), (n1, n0))
+    # SAMPLE_BYTES bounds both
+    tokens = {r["word"]: r["odds"] for r in stems.select("word", "odds").collect()}
+    stemmed = lambda w: any(len(w) >= n and w[:n] + "~" in tokens for n in STEMS)
+    tokens |= {r["word"]: r["odds"] for r in own.select("word", "odds").collect() if r["odds"] or stemmed(r["word"])}
+    return calibrated(Model(tokens), cut(_sample(docs, labels, CALIBRATE, 0, None)))
 
 
-def calibrated(model: Model, rows: DataFrame) -> Model:
-    """Fits scale and rate on the clean rows and the calibration on all; rows are a bounded sample."""
+def _scanned(rows: DataFrame, model: Model, schema: str, row: Callable[[int, list[float], list[tuple[float, int, int]]], list[tuple]]) -> DataFrame:
+    """row(toxic, scores, segments) of each of rows(text, toxic)."""
     tokens = dict(model.tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,28 +178,35 @@ def calibrated(model: Model, rows: DataFrame) -> Model:
         for batch in blocks(batches):
             out = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                got = [scores[w] for w in words]
-                out.append((toxic, len(words), [s for s in got if s > 0], [s for s, _, _ in segments(got)]))
-            kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["toxic", "n", "positive", "segments"])
-
-    held = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, n long, positive array<double>, segments array<double>").collect()
-    clean = [r for r in held if not r["toxic"]]
-    n = sum(r["n"] for r in clean) + 1
-    chance = np.array([s for r in clean for s in r["positive"]] + [MOST])  # one more, as what wasn't seen isn't impossible
+                got = [scores[w] for w in words_of(text)]
+                out += row(toxic, got, segments(got))
+            yield rows_of(schema, out)
+
+    return rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, schema)
+
+
+def calibrated(model: Model, rows: DataFrame) -> Model:
+    """Fits scale and rate on the clean rows and the calibration on all; rows are a bounded sample. What is collected is a
+    count for each of the grid's scores, and two numbers for each row."""
+
+    def seen(toxic: int, got: list[float], found: list[tuple[float, int, int]]) -> list[tuple]:
+        values, counts = np.unique(np.round(np.array(got) * GRID).astype(np.int64), return_counts=True)
+        return [] if toxic else [("token", int(v), int(c), 0.0) for v, c in zip(values, counts, strict=True)] + [("segment", 0, 1, s) for s, _, _ in found]
+
+    sums = _scanned(rows, model, "kind string, value long, n long, s double", seen).groupBy("kind", "value").agg(F.sum("n").alias("n"), F.min("s").alias("s")).collect()
+    held = [(r["value"] / GRID, r["n"]) for r in sums if r["kind"] == "token"] + [(MOST, 1)]  # one more, as what wasn't seen isn't impossible
+    value, count = (np.array(c, np.float64) for c in zip(*held, strict=True))
+    n = float(count.sum())
     low, high = 1e-3, 50.0 / MOST
     for _ in range(60):  # the scale at which exp(scale * score) has mean 1 over clean tokens
         middle = (low + high) / 2
-        mean = (np.exp(middle * chance).sum() + (n - len(chance)) * math.exp(-middle * DRIFT)) / n
-        low, high = (middle, high) if mean < 1 else (low, middle)
+        low, high = (middle, high) if (count * np.exp(middle * value)).sum() < n else (low, middle)
     model.scale = low
-    found = np.array([s for r in clean for s in r["segments"]] + [MOST])
-    least = float(np.min(found))
-    model.rate = float((found >= least).sum() * math.exp(min(700.0, model.scale * least)) / n)
-    x = np.array([math.log1p(weight([(s, 0, 0) for s in r["segments"]], max(1, r["n"]), model)) for r in held])
-    y = np.array([float(r["toxic"]) for r in held])
-    model.slope, model.base = logistic(x, y)
+    # the count of clean segments of the least score or more, so of all of them
+    least, many = next(((r["s"], r["n"] + 1) for r in sums if r["kind"] == "segment"), (MOST, 1))
+    model.rate = float(many * math.exp(min(700.0, model.scale * least)) / n)
+    weighed = _scanned(rows, model, "x double, y double", lambda toxic, got, found: [(math.log1p(weight(found, max(1, len(got)), model)), float(toxic))]).collect()
+    model.slope, model.base = logistic(np.array([r["x"] for r in weighed]), np.array([r["y"] for r in weighed]))
     return model
 
 
@@ -220,7 +232,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of docs: doc_id, score (0 to 1), n_passages, passages (array of first word, words, score and
     expected count by chance, those below 1 only). Null and empty texts get the score of a text without passages;
     repeated rows repeat; an empty table gives an empty one. Only doc_id and text are read; nothing is shuffled."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES bounds it
+    held = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE_BYTES bounds it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -245,7 +257,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below threshold, with all their columns. Null and empty texts score like others
     without passages."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES bounds it
+    held = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE_BYTES bounds it
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
