@@ -148,27 +148,48 @@ def parts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
 
 
-def ask(batch: int, keys: np.ndarray, values: np.ndarray, buckets: int, drop_bits: int = 0) -> pa.RecordBatch:
-    """keys: sorted and distinct; values: a non-negative integer for each. drop_bits: lowest bits that are zero in all keys."""
+def distinct(keys: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct pair of hashes is first, in order, the number of each one's pair, and how often each occurs."""
+    order = np.lexsort((second, keys))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (second[order][1:] != second[order][:-1])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(fresh) - 1
+    return order[fresh], group, np.diff(np.append(np.flatnonzero(fresh), len(order)))
+
+
+def ask(batch: int, keys: np.ndarray, values: np.ndarray, buckets: int, drop_bits: int = 0, second: np.ndarray | None = None) -> pa.RecordBatch:
+    """keys: sorted and distinct, or distinct with second, other 64 bits of the same; values: a non-negative integer for each.
+    drop_bits: lowest bits that are zero in all keys."""
     at, rows = parts(keys, buckets), []
     for b in range(buckets):
         own = slice(at[b], at[b + 1])
         if at[b + 1] > at[b]:
-            k = packed_keys(keys[own] >> np.uint64(drop_bits))
-            rows.append((b, batch, len(k).to_bytes(8, "little") + k + squeezed(values[own])))
+            held = [packed_keys(keys[own] >> np.uint64(drop_bits)), squeezed(values[own])] + ([] if second is None else [squeezed(second[own])])
+            rows.append((b, batch, b"".join(len(x).to_bytes(8, "little") + x for x in held)))
     return rows_of(ASKED, rows)
 
 
+def asked_parts(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 8], "little")
+        out.append(blob[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
 def folded(fold: Callable[[np.ndarray, np.ndarray], np.ndarray], drop_bits: int = 0) -> Callable[[pa.Table], pa.Table]:
     """What a bucket does. fold(number of the distinct key of each entry, value of each entry) gives the answer to each entry."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, values, batches = [], [], table.column("batch").to_pylist()
+        keys, values, seconds, batches = [], [], [], table.column("batch").to_pylist()
         for blob in table.column("blob").to_pylist():
-            n = int.from_bytes(blob[:8], "little")
-            keys.append(opened_keys(blob[8 : 8 + n]) << np.uint64(drop_bits))
-            values.append(opened(blob[8 + n :]))
-        _, group = np.unique(np.concatenate(keys), return_inverse=True)
+            held = asked_parts(blob)
+            keys.append(opened_keys(held[0]) << np.uint64(drop_bits))
+            values.append(opened(held[1]))
+            seconds += [opened(x) for x in held[2:]]
+        group = distinct(np.concatenate(keys), np.concatenate(seconds))[1] if seconds else np.unique(np.concatenate(keys), return_inverse=True)[1]
         got = fold(group, np.concatenate(values))
         ends = np.cumsum([len(k) for k in keys])
         bucket = table.column("bucket")[0].as_py()

@@ -46,14 +46,14 @@ def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed(np.add.reduceat(value, np.cumsum(length) - length) ^ length.astype(np.uint64))
 
 
-def windows(word: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k words in a row (k - 1 fewer than words; across texts too)."""
+def windows(word: np.ndarray, k: int, step: np.uint64 = _STEP) -> np.ndarray:
+    """A hash of each k words in a row (k - 1 fewer than words; across texts too); another one for another odd step."""
     n = len(word) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for j in range(k):
-        out = out * _STEP + word[j : j + n]
+        out = out * step + word[j : j + n]
     return mixed(out)
 
 

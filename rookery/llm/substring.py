@@ -3,8 +3,8 @@
 Blocks of ANCHOR words in a row, one after another in each text, are the
 reference; every rolling window of ANCHOR words probes them. A window of WINDOW
 words holds a whole block wherever it begins, so where no probe hits, nothing
-repeats. Windows around hits extend them: each is looked up by its content, the
-earliest stays, and words covered by a later one go.
+repeats. Windows around hits extend them to maximal repeats: each is looked up by
+128 bits of its content, the earliest stays, and words covered by a later one go.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._batches import ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, each, pack, rows_of, union_kinds, unpacked, with_answers
-from ._common import cut
+from ._batches import ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, distinct, each, pack, rows_of, union_kinds, unpacked, with_answers
+from ._common import cut, mixed
 
 WINDOW = 20
 #: Any WINDOW words in a row hold a whole block: 2 * ANCHOR - 1 is at most WINDOW.
 ANCHOR = 10
+#: Makes a second, independent hash of a window.
+OTHER = np.uint64(0xD1342543DE82EF95)
 REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans binary, kept binary"
 
 
@@ -57,11 +59,15 @@ class Probes:
         at = _words.starts(self.first, WINDOW)
         return at[total[at + WINDOW - ANCHOR + 1] > total[at]] if len(at) else at
 
-    def candidates(self, hit: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of windows around hits, their distinct hashes, the number of each one's hash, and the first start of each hash."""
+    def candidates(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of windows around hits, their distinct contents as two hashes, the number of each one's content, and the first
+        start of each content."""
         at = self.near(hit)
-        keys, first, group = np.unique(_words.windows(self.word, WINDOW)[at] if len(at) else np.zeros(0, np.uint64), return_index=True, return_inverse=True)
-        return at, keys, group, at[first]
+        if not len(at):
+            return at, np.zeros(0, np.uint64), np.zeros(0, np.uint64), at, at
+        keys, other = _words.windows(self.word, WINDOW)[at], _words.windows(mixed(self.word ^ OTHER), WINDOW, OTHER)[at]
+        first, group, _ = distinct(keys, other)
+        return at, keys[first], other[first], group, at[first]
 
 
 def repeated(group: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -106,15 +112,15 @@ def remove(docs: DataFrame, texts: bool = True) -> DataFrame:
 
     def extend(own: Batch, got: list[list[dict]]) -> Iterator[pa.RecordBatch]:
         probes = Probes(own, bits)
-        _, keys, _, first = probes.candidates(answered(got[0]), own.ids)
+        _, keys, other, _, first = probes.candidates(answered(got[0]))
         doc = np.searchsorted(probes.first, first, "right") - 1
-        yield ask(own.batch, keys, unsigned(own.ids)[doc], buckets)
+        yield ask(own.batch, keys, unsigned(own.ids)[doc], buckets, second=other)
 
     owners = answers(with_answers(packed, hits, extend, ASKED), later)
 
     def drop(own: Batch, got: list[list[dict]]) -> Iterator[pa.RecordBatch]:
         probes = Probes(own, bits)
-        at, keys, group, first = probes.candidates(answered(got[0]), own.ids)
+        at, _, _, group, first = probes.candidates(answered(got[0]))
         there = answered(got[1]).astype(bool)
         # the first place of a hash stays if no other batch has it in a smaller document; so do the same places of rows with the same doc_id
         going = there[group] | (at != first[group])

@@ -10,8 +10,8 @@ in the merged order; what their left and right contexts share decides, for each
 offset, which strings of LENGTH bytes repeat.
 
 Whole copies are one text until the end. Where more than HOT suffixes share their
-next bytes, their strings are counted by hash over all buckets instead, so that no
-task gets a group that grows with the corpus.
+next bytes, no task may get the group that grows with the corpus: its strings are
+dealt to all buckets and counted there by 128 bits of their content.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import ANSWERED, ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, each, folded, named_as, pack, restored, restored_schema, rows_of, squeezed, unpacked, with_answers
+from ._batches import ANSWERED, ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, distinct, each, folded, named_as, pack, restored, restored_schema, rows_of, squeezed, unpacked, with_answers
 from ._common import cut, mixed
 
 LENGTH = 200
@@ -39,16 +39,20 @@ HOT = 1_024
 #: Groups up to so many suffixes are compared in pairs.
 FEW = 8
 BATCH = 1 << 20
-#: Batches whose suffixes give the borders of the ranges; borders only balance the work.
-SPLIT_BATCHES = 32
+#: Suffixes of a batch that help to give the borders of the ranges, and for each range; borders only balance the work.
+SPLIT, PER_RANGE = 512, 8
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, kept binary"
 
 
-def doubled(data: np.ndarray, start: np.ndarray | None, n: int, to: int) -> np.ndarray:
-    """At each place, a hash of the next to bytes, from that of the next n; fewer at the end."""
-    h = mixed(np.arange(1, 257, dtype=np.uint64))[data] if start is None else start
+FIRST, OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+
+
+def doubled(data: np.ndarray, start: np.ndarray | None, n: int, to: int, step: int = FIRST) -> np.ndarray:
+    """At each place, a hash of the next to bytes, from that of the next n; fewer at the end. Another odd step gives another
+    hash."""
+    h = mixed(np.arange(1, 257, dtype=np.uint64) ^ np.uint64(step - FIRST & 0xFFFFFFFF))[data] if start is None else start
     while n < to:
-        h[:-n] = h[:-n] * np.uint64((0x9E3779B97F4A7C15 * (2 * n + 1)) % (1 << 64)) + h[n:] if len(h) > n else h[:-n]
+        h[:-n] = h[:-n] * np.uint64((step * (2 * n + 1)) % (1 << 64)) + h[n:] if len(h) > n else h[:-n]
         n *= 2
     return h
 
@@ -85,18 +89,23 @@ class Samples:
         """For each of n distinct hashes: its number of samples above 40 bits, and below them a hash of where they stand in
         which text, or 0 if they differ in that; whole copies of a text don't."""
         doc = np.searchsorted(self.own.offsets, self.place, "right") - 1
-        text = np.frombuffer(self.own.extra, np.uint64).reshape(-1, 2)[doc, 0]
+        text = np.frombuffer(self.own.extra, np.uint64).reshape(-1, 4)[doc, 0]
         stand = (mixed(text + (self.place - self.own.offsets[doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) | np.uint64(1)
         low, high = np.full(n, np.iinfo(np.uint64).max), np.zeros(n, np.uint64)
         np.minimum.at(low, group, stand)
         np.maximum.at(high, group, stand)
         return np.where(low == high, low, np.uint64(0)) | (np.bincount(group, minlength=n).astype(np.uint64) << np.uint64(40))
 
-    def strings(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts under hot samples, the distinct hashes of their strings, and the number of each one's hash."""
+    def strings(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts under hot samples, their distinct strings as two hashes and how often each is there, and the number of each
+        start's string."""
         start = self.start[hot[self.number]]
-        keys, group = np.unique(mixed(self.hash[start] * np.uint64(5) + self.hash[start + LENGTH - 128]) if len(start) else np.zeros(0, np.uint64), return_inverse=True)
-        return start, keys, group
+        if not len(start):
+            return start, np.zeros(0, np.uint64), np.zeros(0, np.uint64), start, start
+        second = doubled(self.own.data, None, 1, 128, OTHER)
+        keys, other = (mixed(h[start] * np.uint64(5) + h[start + LENGTH - 128]) for h in (self.hash, second))
+        first, group, count = distinct(keys, other)
+        return start, keys[first], other[first], count, group
 
     def run(self, warm: np.ndarray) -> list[tuple[bytes, bytes, int]]:
         """(suffix, its left context backwards, number of the sample) for the warm samples, sorted."""
@@ -280,7 +289,7 @@ def merge(table: pa.Table) -> pa.Table:
 
 def text_digests(own: Batch) -> bytes:
     whole = own.data.tobytes()
-    return b"".join(hashlib.md5(whole[a:b]).digest() for a, b in zip(own.offsets[:-1].tolist(), own.offsets[1:].tolist(), strict=True))
+    return b"".join(hashlib.sha256(whole[a:b]).digest() for a, b in zip(own.offsets[:-1].tolist(), own.offsets[1:].tolist(), strict=True))
 
 
 def often(limit: int):
@@ -306,9 +315,11 @@ def twice(group: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def borders(packed: DataFrame, ranges: int) -> list[bytes]:
-    """Suffixes between ranges, from a bounded number of batches. They are chosen by number first, so that no texts are sorted."""
+    """Suffixes between ranges, from PER_RANGE for each (24 bytes each). Their batches are chosen by number first, so that no
+    texts are sorted."""
     found: list[bytes] = []
-    chosen = [r["batch"] for r in packed.select("batch").orderBy(F.xxhash64("batch"), "batch").limit(SPLIT_BATCHES).collect()]
+    many = max(32, -(-PER_RANGE * ranges // SPLIT))
+    chosen = [r["batch"] for r in packed.select("batch").orderBy(F.xxhash64("batch"), "batch").limit(many).collect()]
     for row in packed.where(F.col("batch").isin(chosen)).mapInArrow(_sampled, "suffix binary").collect():
         found.append(bytes(row[0]))
     found.sort()
@@ -319,7 +330,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in each(batches):
         own = unpacked(row)
         samples = Samples(own)
-        chosen = samples.place[np.argsort(samples.next)[:512]]
+        chosen = samples.place[np.argsort(samples.next)[:SPLIT]]
         data = own.data.tobytes()
         yield rows_of("suffix binary", [(data[p : p + 24],) for p in chosen.tolist()])
 
@@ -339,7 +350,7 @@ def remove(docs: DataFrame, hot: int = HOT, texts: bool = True, rows: bool = Fal
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for batch, n, extra in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch)), pa.array(np.arange(n, dtype=np.int32)), pa.array([extra[16 * i : 16 * i + 16] for i in range(n)], pa.binary())], ["batch", "place", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch)), pa.array(np.arange(n, dtype=np.int32)), pa.array([extra[32 * i : 32 * i + 32] for i in range(n)], pa.binary())], ["batch", "place", "digest"])
 
     same = packed.select("batch", "n", "extra").mapInArrow(texts_of, "batch long, place int, digest binary")
     same = same.groupBy("digest").agg(F.min(F.struct("batch", "place")).alias("r"), F.count("*").alias("copies"))
@@ -384,8 +395,8 @@ def remove(docs: DataFrame, hot: int = HOT, texts: bool = True, rows: bool = Fal
     def sort(own: Batch, got: list[list[dict]]) -> Iterator[pa.RecordBatch]:
         samples, step, _ = known(own, got)
         yield rows_of(ASKED + ", kind int", [(k, own.batch, front_coded(part), 2) for k, part in ranged(samples.run(step == 1))])
-        _, keys, group = samples.strings(step == 2)
-        asked = ask(own.batch, keys, np.bincount(group, minlength=len(keys)), buckets)
+        _, keys, other, count, _ = samples.strings(step == 2)
+        asked = ask(own.batch, keys, count, buckets, second=other)
         yield pa.RecordBatch.from_arrays([*asked.columns, pa.array(np.full(asked.num_rows, 3), pa.int32())], [*asked.schema.names, "kind"])
 
     first = flags.unionByName(counts, allowMissingColumns=True)
@@ -408,7 +419,7 @@ def remove(docs: DataFrame, hot: int = HOT, texts: bool = True, rows: bool = Fal
             mask[order] = answered(got[2])
             offset = (samples.place[samples.number] - samples.start).astype(np.uint64)
             found = [samples.start[mask[samples.number] >> offset & np.uint64(1) > 0]]
-            start, _, group = samples.strings(step == 2)
+            start, _, _, _, group = samples.strings(step == 2)
             if len(start):
                 found.append(start[answered(got[3])[group] > 0])
             for s in found:
