@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handled at once by the NumPy kernels; a longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -19,13 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder of spark.checkpoint.dir; only where that is unset (tests) to a temporary one."""
+    """Checkpoint to the folder of spark.checkpoint.dir. Where that is unset, a local master (as in tests) gets a temporary
+    one; executors elsewhere could not share it, so a cluster has to name one."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rookery-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rookery-"))
     return df.checkpoint()
 
 
+#: A key that holds more than this part of all rows is joined by broadcast; there are fewer such keys than this number.
+HEAVY = 1_000
+
+
+def beside(rows: DataFrame, sums: DataFrame, on: list[str], n: str) -> DataFrame:
+    """rows joined with sums, a cut table with one row for each key and its number of rows in n. Keys with many rows stay
+    where they are, so that none gets into one task."""
+    total = sums.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    heavy = F.col(n) * HEAVY > total
+    few = F.broadcast(sums.where(heavy))  # fewer than HEAVY rows
+    rest = rows.join(F.broadcast(sums.where(heavy).select(*on)), on, "left_anti")
+    return rows.join(few, on).unionByName(rest.join(sums.where(~heavy), on))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,10 +7,16 @@ frequent, they share two frequent tokens next to each other in both orders, earl
 on; so from an extended prefix of frequent tokens the pairs of neighbours are
 indexed, and single frequent tokens never are. Each index key gathers around one
 set, its hub; the sets around a hub are verified there, exactly.
+
+Around a hub with many sets each is held against the hub first. Jaccard distance is
+a metric, so two sets can link only if their distances to the hub differ by no more
+than a link's: rings of that width around the hub, and classes of size, leave only
+neighbouring cells to be compared, and nothing within the ring that links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import _words
 from ._batches import ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, named_as, pack, restored, restored_schema, rows_of, with_answers
-from ._common import cut, mixed
+from ._common import beside, cut, mixed
 from ._components import components
 
 WORDS = 5
@@ -29,7 +35,7 @@ WORDS = 5
 UP, OF = 100, 75
 #: Tokens in 2 ** (FREQUENT + 1) documents or more are indexed in pairs.
 FREQUENT = 8
-#: Sets verified in one task; those around a larger hub are dealt into pairs of blocks.
+#: Sets verified in one task; those around a larger hub are dealt into blocks.
 BLOCK = 1024
 
 
@@ -150,42 +156,88 @@ def links(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return UP * shared >= OF * (a + b - shared)
 
 
-def around(hub: int, docs: np.ndarray, n: np.ndarray, m: np.ndarray, side: np.ndarray, blobs: list[bytes]) -> list[tuple[int, int]]:
-    """Edges between linked sets around a hub, enough to connect what is linked. First each set against the hub; then
-    every two sets that these don't connect and whose sizes and common tokens allow it. side: 0 and 1 for two blocks,
-    of which only pairs across are looked at, or all 2 for one."""
-    order = np.lexsort((docs, docs != hub))
+def around(hub: int | None, docs: np.ndarray, n: np.ndarray, m: np.ndarray, side: np.ndarray, blobs: list[bytes]) -> list[tuple[int, int]]:
+    """Edges between linked sets around a hub, enough to connect what is linked. First each set against the hub (None:
+    without one); then every two sets that these don't connect and whose sizes and common tokens allow it. side: 0 and 1
+    for two blocks, of which only pairs across are looked at, or all 2 for one."""
+    order = np.lexsort((docs, docs != hub)) if hub is not None else np.argsort(docs)
     docs, n, m, side = docs[order], n[order].astype(np.int64), m[order].astype(np.int64), side[order]
     sets = [tokens_of(blobs[i]) for i in order]
     words, number = np.unique(np.concatenate(sets), return_inverse=True)
-    cuts = np.cumsum([len(s) for s in sets])[:-1]
-    number = np.split(number, cuts)
+    number = np.split(number, np.cumsum([len(s) for s in sets])[:-1])
     at = np.zeros(len(words), bool)
-    parent = np.arange(len(docs))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    edges, todo = [], [0] if docs[0] == hub else []
-    possible = lambda i, others: links(np.minimum(m[i], m[others]), n[i], n[others]) & ((side[others] != side[i]) | (side[i] == 2) | (docs[i] == hub))
-    for i in [*todo, *range(len(todo), len(docs))]:
-        roots = np.array([root(j) for j in range(i + 1, len(docs))], dtype=np.int64)
-        others = np.flatnonzero(roots != root(i)) + i + 1
-        others = others[possible(i, others)] if len(others) else others
+    label = np.arange(len(docs))
+    edges = []
+    for i in range(len(docs)):
+        others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        may = links(np.minimum(m[i], m[others]), n[i], n[others])
+        if docs[i] != hub:
+            may &= (side[others] != side[i]) | (side[i] == 2)
+        others = others[may]
         if not len(others):
             continue
         at[number[i]] = True
-        for j in others.tolist():
-            if parent[root(i)] != root(j) and links(int(at[number[j]].sum()), n[i], n[j]):
-                edges.append((int(docs[i]), int(docs[j])))
-                parent[root(j)] = root(i)
+        held = [number[j] for j in others.tolist()]
+        begins = np.cumsum([0, *(len(x) for x in held[:-1])])
+        shared = np.add.reduceat(at[np.concatenate(held)].astype(np.int64), begins)
         at[number[i]] = False
+        for j in others[links(shared, n[i], n[others])].tolist():
+            if label[j] != label[i]:
+                edges.append((int(docs[i]), int(docs[j])))
+                label[label == label[j]] = label[i]
     return edges
 
 
+RINGS = "hub long, doc long, ring int, size int"
+
+
+def ringed(table: pa.Table) -> pa.Table:
+    """The ring around the hub (0: what links with it) and the class of size of each set of a block."""
+    hub, docs, n = table.column("hub")[0].as_py(), table.column("doc").to_pylist(), table.column("n").to_pylist()
+    blobs = table.column("blob").to_pylist()
+    center = tokens_of(blobs[docs.index(hub)])
+    rows = []
+    for doc, size, blob in zip(docs, n, blobs, strict=True):
+        if doc != hub:
+            shared = len(np.intersect1d(center, tokens_of(blob), assume_unique=True))
+            union = len(center) + size - shared
+            # a link is no farther apart than (UP - OF) / UP, which is the width of a ring
+            ring = 0 if links(np.int64(shared), len(center), size) else max(1, -(-UP * (union - shared) // (union * (UP - OF))) - 1)
+            rows.append((hub, doc, ring, int(math.log(size) / math.log(UP / OF))))
+    return pa.Table.from_batches([rows_of(RINGS, rows)])
+
+
+def apart(members: DataFrame, texts: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """members: hub, doc, sets (of the hub) of hubs with more than a block of sets. Edges with the hubs, and those of pairs that
+    a hub doesn't link."""
+    blocks = F.ceil(F.col("sets") / block).cast("int")
+    mine = F.array(F.pmod(F.xxhash64("doc", F.lit(3)), blocks).cast("int"))
+    dealt = members.select("hub", "doc", F.explode(F.when(F.col("doc") == F.col("hub"), F.sequence(F.lit(0), blocks - 1)).otherwise(mine)).alias("block"))
+    rings = cut(dealt.join(texts, "doc").select("hub", "block", "doc", "n", "blob").groupBy("hub", "block").applyInArrow(ringed, RINGS))
+    edges = rings.where("ring = 0").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+    if rings.where("ring > 0").isEmpty():
+        return edges, None
+    cells = cut(rings.groupBy("hub", "ring", "size").agg(F.count("*").alias("sets")))
+    held = beside(rings, cells, ["hub", "ring", "size"], "sets").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(5)), blocks).cast("int"))
+    one = cells.select("hub", F.col("ring").alias("r"), F.col("size").alias("s"), blocks.alias("k"))
+    other = cells.select("hub", F.col("ring").alias("r2"), F.col("size").alias("s2"), blocks.alias("k2"))
+    # sizes of linked sets are in the same class or the next
+    near = one.join(other, "hub").where("r2 - r IN (0, 1) AND abs(s2 - s) <= 1 AND r + r2 > 0 AND (r2 > r OR s2 >= s)")
+    pairs = near.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k2") - 1)))
+    pairs = cut(pairs.where("r2 > r OR s2 > s OR j >= i").select("hub", "r", "s", "i", "r2", "s2", "j"))
+    place = ["hub", "r", "s", "i", "r2", "s2", "j"]
+    alike = (F.col("r") == F.col("r2")) & (F.col("s") == F.col("s2")) & (F.col("i") == F.col("j"))
+    left = held.select("hub", "doc", F.col("ring").alias("r"), F.col("size").alias("s"), F.col("block").alias("i")).join(pairs, ["hub", "r", "s", "i"])
+    right = held.select("hub", "doc", F.col("ring").alias("r2"), F.col("size").alias("s2"), F.col("block").alias("j")).join(pairs.where(~alike), ["hub", "r2", "s2", "j"])
+    both = left.select(*place, "doc", F.when(alike, 2).otherwise(0).alias("side")).unionByName(right.select(*place, "doc", F.lit(1).alias("side")))
+
+    def verify(table: pa.Table) -> pa.Table:
+        docs, n, m, side = (table.column(c).to_numpy() for c in ("doc", "n", "m", "side"))
+        return pa.Table.from_batches([rows_of("a long, b long", around(None, docs, n, m, side, table.column("blob").to_pylist()))])
+
+    return edges, both.join(texts, "doc").select(*place, "doc", "side", "n", "m", "blob").groupBy(*place).applyInArrow(verify, "a long, b long")
+
+
 def join(docs: DataFrame, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (the least doc_id reached by links, its own
     included), copy_of (the least doc_id with the same set).
@@ -223,7 +275,9 @@ def _joined(packed: DataFrame, frequent: int, block: int) -> DataFrame:
     sets = sets_of(packed)
     same = ["d1", "d2", "n_shingles"]
     whole = (F.col("n_shingles") > 0) & (F.col("doc_id") != NO_ID)
-    least = sets.where(whole).groupBy(*same).agg(F.min(F.struct("doc_id", "batch", "place")).alias("r"))
+    # copies in one batch are one row, so that a set which many texts have isn't a key with as many rows
+    named = cut(sets.where(whole).groupBy("batch", *same).agg(F.collect_list(F.struct("place", "doc_id")).alias("members"), F.min(F.struct("doc_id", "batch", "place")).alias("r")))
+    least = cut(named.groupBy(*same).agg(F.min("r").alias("r"), F.count("*").alias("batches")))
     chosen = least.groupBy(F.col("r.batch").alias("batch")).agg(F.collect_list("r.place").alias("places"))
     flags = cut(packed.select("batch").join(chosen, "batch", "left"))
 
@@ -258,26 +312,23 @@ def _joined(packed: DataFrame, frequent: int, block: int) -> DataFrame:
     keys, texts = indexed.where("key is not null").drop("blob"), indexed.where("key is null").drop("key")
     # the hub of a key: the set with the largest share of tokens that others have too
     hubs = keys.groupBy("key").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("doc")).alias("low"))).alias("h"), F.count("*").alias("sets")).where("sets > 1")
-    near = keys.join(hubs.select("key", (-F.col("h.low")).alias("hub")), "key").select("hub", "doc").distinct()
+    hubs = cut(hubs.select("key", (-F.col("h.low")).alias("hub"), "sets"))
+    near = beside(keys, hubs, ["key"], "sets").select("hub", "doc").distinct()
     near = cut(near.unionByName(near.select("hub", F.col("hub").alias("doc"))).distinct())
-    blocks = near.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = F.when(F.col("doc") == F.col("hub"), -1).otherwise(F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks"))).cast("int")
-    members = near.join(blocks, "hub").withColumn("block", own)
-    # of b blocks, a set in block i goes to the pairs (i, j) and (j, i) with the lower first; the hub goes to all
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.transform(F.sequence(i, F.col("blocks") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    mine = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = members.select("hub", "doc", "block", F.explode(F.when(F.col("block") < 0, every).otherwise(mine)).alias("p"))
-    dealt = dealt.join(texts, "doc").select("hub", "p.i", "p.j", "doc", "block", "n", "m", "blob")
+    sums = cut(near.groupBy("hub").agg(F.count("*").alias("sets")))
+    members = beside(near, sums, ["hub"], "sets")
 
     def verify(table: pa.Table) -> pa.Table:
-        hub, i, j = (table.column(c)[0].as_py() for c in ("hub", "i", "j"))
-        docs, place, n, m = (table.column(c).to_numpy() for c in ("doc", "block", "n", "m"))
-        side = np.full(len(docs), 2) if i == j else np.where(place == i, 0, np.where(place == j, 1, 2))
-        return pa.Table.from_batches([rows_of("a long, b long", around(hub, docs, n, m, side, table.column("blob").to_pylist()))])
+        docs, n, m = (table.column(c).to_numpy() for c in ("doc", "n", "m"))
+        return pa.Table.from_batches([rows_of("a long, b long", around(table.column("hub")[0].as_py(), docs, n, m, np.full(len(docs), 2), table.column("blob").to_pylist()))])
 
-    linked = dealt.groupBy("hub", "i", "j").applyInArrow(verify, "a long, b long")
+    linked = members.where(F.col("sets") <= block).join(texts, "doc").select("hub", "doc", "n", "m", "blob").groupBy("hub").applyInArrow(verify, "a long, b long")
+    if not sums.where(F.col("sets") > block).isEmpty():
+        for more in apart(members.where(F.col("sets") > block), texts, block):
+            linked = linked if more is None else linked.unionByName(more)
     found = components(linked)
-    firsts = least.select(*same, F.col("r.doc_id").alias("copy_of")).join(found.select(F.col("node").alias("copy_of"), "component"), "copy_of", "left")
+    firsts = least.select(*same, "batches", F.col("r.doc_id").alias("copy_of")).join(found.select(F.col("node").alias("copy_of"), "component"), "copy_of", "left")
+    rows = beside(named.drop("r"), cut(firsts), same, "batches").select("batch", *same, F.explode("members").alias("p"), F.coalesce("component", "copy_of").alias("component_id"), "copy_of")
+    rows = rows.select("batch", "p.place", "d1", "d2", "p.doc_id", "n_shingles", "component_id", "copy_of")
     ids = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
-    rows = sets.join(firsts, same, "left")
-    return rows.select("batch", "place", "d1", "d2", ids.alias("doc_id"), "n_shingles", F.when(whole, F.coalesce("component", "copy_of")).otherwise(ids).alias("component_id"), F.when(whole, F.col("copy_of")).otherwise(ids).alias("copy_of"))
+    return rows.unionByName(sets.where(~whole).select("batch", "place", "d1", "d2", ids.alias("doc_id"), "n_shingles", ids.alias("component_id"), ids.alias("copy_of")))

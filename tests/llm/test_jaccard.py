@@ -62,3 +62,17 @@ def test_empty_and_null_ids(spark):
     assert jaccard.join(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = jaccard.join(spark.createDataFrame([(None, "a b c d e f", 1, 2, "k"), (3, "a b c d e f", 1, 2, "k"), (3, "a b c d e f", 1, 2, "k")], SCHEMA)).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in rows) == [(-1, -1), (3, 3), (3, 3)]
+
+
+def test_a_hub_with_many_sets_that_do_not_link(spark):
+    """Texts of one template with slots: frequent tokens in all, links in some, in rings around the hub and of several sizes."""
+    r = random.Random(8)
+    line = [f"t{i}" for i in range(60)]
+    rows = []
+    for d in range(150):
+        own = list(line[: r.choice([40, 50, 60])])
+        for _ in range(r.choice([0, 0, 1, 2, 5])):
+            own[r.randrange(len(own))] = f"own{r.randrange(40)}"
+        rows.append((d, " ".join(own)))
+    check(spark, rows, frequent=1, block=8)
+    check(spark, rows, frequent=0, block=20)
