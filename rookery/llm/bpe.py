@@ -3,17 +3,20 @@
 A rolling hash cuts texts into chunks at content-defined places, so documents
 that share a passage share chunks, wherever it stands. Documents are dealt so
 that those sharing content meet, and each partition encodes a shared chunk once,
-from the first to the last place in it that no surrounding text can change. What
-lies between two such places around a join is encoded again, over as many chunks
-as it takes; both sides then agree with the encoding of the whole text.
+from the first to the last place in it that no surrounding text can change. A join
+is repaired by encoding again what lies between two such places around it, with
+one piece more on either side: where that piece comes out as the chunks have it,
+both sides agree; where it doesn't, the join grows by the next chunk.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,8 @@ def codec(path: str):
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
     special = {x["content"]: x["id"] for x in held["added_tokens"]}
+    if any(not x.isascii() or any(c.isspace() for c in x) for x in special):
+        raise ValueError("special tokens with white space or other characters than ASCII")
     ranks = {bytes(shown[c] for c in word): i for word, i in model["vocab"].items() if word not in special}
     pair = lambda m: "".join(m) if isinstance(m, list) else m.replace(" ", "")
     made = [model["vocab"][pair(m)] for m in model["merges"]]
@@ -102,47 +107,104 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray, mean: int = MEAN) -> list[
     return ends
 
 
-def firm(chunk: bytes) -> tuple[int, int] | None:
-    """The first and last place at which every encoding of a text with this chunk has a border: white space after a
-    visible ASCII character. No token crosses it, and what follows starts afresh there."""
+# The characters with Unicode's property White_Space outside ASCII.
+BLANKS = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+LETTER, NUMBER, BLANK, MARK = 1, 2, 3, 4
+
+
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """LETTER, NUMBER, BLANK, MARK (punctuation and symbols) or 0 (unknown) of the 16-bit characters: what Unicode 3.2 and
+    today's agree on, so that no other version differs."""
+    out = np.zeros(1 << 16, np.uint8)
+    named = {"L": LETTER, "N": NUMBER, "P": MARK, "S": MARK}
+    for i in range(1 << 16):
+        old, new = unicodedata.ucd_3_2_0.category(chr(i))[0], unicodedata.category(chr(i))[0]
+        out[i] = named.get(old, 0) if old == new else 0
+    out[[*range(9, 14), 32, *BLANKS]] = BLANK
+    return out
+
+
+def firm(chunk: bytes) -> list[int]:
+    """The places at which every encoding of a text with this chunk has a border, as no word piece has what stands before
+    and what follows: white space after another character; and, where one of both is beyond ASCII (special tokens aren't),
+    a letter or number before another kind, or a mark before a number."""
     b = np.frombuffer(chunk, np.uint8)
-    at = np.flatnonzero(SPACE[b[1:]] & VISIBLE[b[:-1]])
-    return (int(at[0]) + 1, int(at[-1]) + 1) if len(at) else None
+    if not (b & 0x80).any():
+        return (np.flatnonzero(SPACE[b[1:]] & VISIBLE[b[:-1]]) + 1).tolist()
+    c = np.frombuffer(chunk.decode().encode("utf-32-le"), np.uint32)
+    kind = np.where(c < 1 << 16, kinds()[np.minimum(c, 0xFFFF)], 0)
+    before, after, wide = kind[:-1], kind[1:], (c[:-1] > 127) | (c[1:] > 127)
+    border = (after == BLANK) & (before != BLANK) & (before != 0)
+    other = wide & (after != 0) & (before != after)
+    border |= other & ((before == LETTER) | (before == NUMBER) | ((before == MARK) & (after == NUMBER)))
+    begin = np.flatnonzero((b & 0xC0) != 0x80)
+    return begin[1:][border].tolist()
+
+
+class Chunk(NamedTuple):
+    """first, last: firm places, with the encoding ids between them. head and tail: the first and last piece between two such
+    places, as bytes and ids."""
+
+    first: int
+    last: int
+    ids: np.ndarray
+    head: bytes
+    head_ids: np.ndarray
+    tail: bytes
+    tail_ids: np.ndarray
+
+
+NONE = np.zeros(0, np.uint32)
 
 
 class Reuse:
     """Encodes texts chunk by chunk, each distinct chunk once while it is kept."""
 
     def __init__(self, encode: Callable[[str], np.ndarray]):
-        self.encode, self.kept, self.held, self.hits, self.chunks = encode, {}, 0, 0, 0
+        self.encode, self.kept, self.held, self.hits, self.chunks, self.grown = encode, {}, 0, 0, 0, 0
 
-    def chunk(self, chunk: bytes):
+    def ids(self, piece: bytes) -> np.ndarray:
+        return self.encode(piece.decode()).astype(np.uint32) if piece else NONE
+
+    def chunk(self, chunk: bytes) -> Chunk | None:
         self.chunks += 1
         if chunk in self.kept:
             self.hits += 1
             return self.kept[chunk]
-        places = firm(chunk)
-        got = places and (*places, self.encode(chunk[places[0] : places[1]].decode()).astype(np.uint32))
+        places, got = firm(chunk), None
+        if places:
+            second, before = places[min(1, len(places) - 1)], places[max(0, len(places) - 2)]
+            head, middle, tail = chunk[places[0] : second], chunk[second : max(second, before)], chunk[max(second, before) : places[-1]]
+            parts = [self.ids(x) for x in (head, middle, tail)]
+            got = Chunk(places[0], places[-1], np.concatenate(parts), head, parts[0], *((tail, parts[2]) if tail else (head, parts[0])))
         if self.held > KEPT_BYTES:
             self.kept, self.held = {}, 0
         self.kept[chunk] = got
-        self.held += len(chunk) + (4 * len(got[2]) if got else 0)
+        self.held += len(chunk) + (4 * len(got.ids) if got else 0)
         return got
 
     def text(self, text: bytes, ends: list[int], begin: int) -> np.ndarray:
         """ends: of the chunks, counted from where the text has begin."""
         ids, join, at = [], b"", 0
+        tail, tail_ids = b"", NONE
         for end in ends:
             chunk, at = text[at : end - begin], end - begin
-            if got := self.chunk(chunk):
-                first, last, middle = got
-                ids += [self.encode((join + chunk[:first]).decode()), middle]
-                join = chunk[last:]
+            if (got := self.chunk(chunk)) is None:
+                join += chunk
+                continue
+            mended = self.ids(tail + join + chunk[: got.first] + got.head)
+            to = len(mended) - len(got.head_ids)
+            if to >= len(tail_ids) and np.array_equal(mended[: len(tail_ids)], tail_ids) and np.array_equal(mended[to:], got.head_ids):
+                ids += [mended[len(tail_ids) : to], got.ids]
+                tail, tail_ids, join = got.tail, got.tail_ids, chunk[got.last :]
             else:
+                self.grown += 1
                 join += chunk
-        if join:
-            ids.append(self.encode(join.decode()))
-        return np.concatenate(ids).astype("<u4") if ids else np.zeros(0, "<u4")
+        mended = self.ids(tail + join)
+        if not np.array_equal(mended[: len(tail_ids)], tail_ids):  # no agreement up to the end
+            return self.ids(text).astype("<u4")
+        return np.concatenate([*ids, mended[len(tail_ids) :]]).astype("<u4")
 
 
 def met(docs: DataFrame) -> DataFrame:

@@ -62,3 +62,28 @@ def test_shared_passages_are_encoded_once():
         data = np.frombuffer(lead + page, np.uint8)
         reuse.text(lead + page, bpe.chunk_ends(data, np.array([0, len(data)]))[0], 0)
     assert reuse.hits > reuse.chunks / 2
+
+
+def test_chunks_without_blanks_are_reused_as_well(library):
+    r = random.Random(6)
+    page = "".join("".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(r.randrange(3, 30))) + r.choice("。，、！") for _ in range(900))
+    reuse = bpe.Reuse(bpe.codec(bpe.default_path())[0])
+    for lead in ("", "別の言葉。", "and more "):
+        data = np.frombuffer((lead + page).encode(), np.uint8)
+        ids = reuse.text(data.tobytes(), bpe.chunk_ends(data, np.array([0, len(data)]))[0], 0)
+        assert ids.tolist() == library.encode(lead + page, add_special_tokens=False).ids
+    assert reuse.hits > reuse.chunks / 2 and not any(x is None for x in reuse.kept.values())
+
+
+def test_joins_that_do_not_agree_grow(library, monkeypatch):
+    """With places that are no borders the pieces' ids differ, so joins grow until they agree or the whole text is encoded."""
+    monkeypatch.setattr(bpe, "firm", lambda chunk: [i for i in range(1, len(chunk)) if chunk[i] & 0xC0 != 0x80])
+    encode, _ = bpe.codec(bpe.default_path())
+    r, grown = random.Random(7), 0
+    for _ in range(200):
+        text = "".join(r.choice(["word", " ", "ing", "'ll", "  ", "é", "漢", ". "]) for _ in range(60))
+        data, reuse = text.encode(), bpe.Reuse(encode)
+        ends = [e for e in range(9, len(data), 9) if data[e] & 0xC0 != 0x80] + [len(data)]
+        reuse.text(data, ends, 0)
+        grown += reuse.grown
+    assert grown
