@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import rows_of
-from ._common import cut
+from ._common import beside, cut
 from ._components import components
 
 COSINE = 0.95
@@ -153,42 +153,51 @@ def searched(query: np.ndarray, v: np.ndarray, adjacent: np.ndarray, begin: np.n
 
 def near(vectors: DataFrame) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links (other rows with cosine COSINE or more), component_id (least
-    vec_id reached by links, its own included), kept (vec_id = component_id), overlap and recall (of the audit; where the last
-    overlap falls short of RECALL, links and recall are those of exhaustive()).
+    vec_id reached by links, its own included), kept (vec_id = component_id), overlap and recall (of the audit, null where it
+    has no link to find; where the last overlap falls short of RECALL, links and recall are those of exhaustive()).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor does a vector
-    with another number of components. Equal vectors are searched for once. A null vec_id takes no part. An empty
-    table gives an empty one. Only vec_id and embedding are read.
+    with another number of components. Equal vectors are searched for once, and repeated rows are vectors of their own. A
+    vec_id that names different vectors is an error. A null vec_id takes no part. An empty table gives an empty one. Only
+    vec_id and embedding are read.
     """
     spark = vectors.sparkSession
     held = cut(units(vectors))
     some = held.where("unit is not null and vec_id is not null")
     classes = cut(some.groupBy("unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.max(F.col("vec_id") % AUDITED == 0).alias("audited")).withColumn("dims", F.octet_length("unit")))
+    if not classes.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError("a vec_id names different vectors")
     overlap, exact = OVERLAP, False
     while True:
         links, edges = exhaustive(classes) if exact else linked(classes, overlap)
-        found = classes.join(links.groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "id", "left").select("id", "unit", "dims", "audited", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
+        found = classes.join(links.groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "id", "left").select("id", "unit", "dims", "audited", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
         found = cut(found)
         recall = audit(found)
-        if recall >= RECALL or exact:
+        if recall is None or recall >= RECALL or exact:
             break
         exact = overlap >= OVERLAPS
         overlap = overlap if exact else overlap * 2
     parts = components(edges)
-    by_class = found.join(parts.withColumnRenamed("node", "id"), "id", "left").select("unit", "n", F.coalesce("component", "id").alias("component_id"))
-    rows = held.join(by_class, "unit", "left")
-    own = F.coalesce("component_id", "vec_id")
-    return rows.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"), F.lit(overlap).alias("overlap"), F.lit(recall).alias("recall"))
+    by_class = found.join(parts.withColumnRenamed("node", "id"), "id", "left").select("unit", "n", "copies", F.coalesce("component", "id").alias("component_id"))
+    linkable = F.col("unit").isNotNull() & F.col("vec_id").isNotNull()
+    rows = beside(held.where(linkable), cut(by_class), ["unit"], "copies").select("vec_id", "n", "component_id")
+    rows = rows.unionByName(held.where(~linkable).select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component_id")))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
+    return rows.select("vec_id", F.col("n").cast("long").alias("n_links"), "component_id", kept.alias("kept"), F.lit(overlap).alias("overlap"), F.lit(recall).cast("double").alias("recall"))
 
 
 def fitted(classes: DataFrame) -> Broadcast:
-    """Centroids by dims."""
-    total = {r["dims"]: r["n"] for r in classes.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
-    held = {}
-    for dims, n in total.items():
-        sample = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("unit").collect()
-        held[dims] = centroids(matrix([r["unit"] for r in sample]), max(1, min(CENTROIDS, len(sample), -(-n // PER_CENTROID))))
-    return classes.sparkSession.sparkContext.broadcast(held)  # CENTROIDS bounds it
+    """Centroids by dims, each length's fitted in a task of its own on about SAMPLE vectors by hash."""
+    sums = classes.groupBy("dims").agg(F.count("*").alias("total"))  # a row for each length of vectors
+    part = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < F.lit(float(SAMPLE)) / F.col("total") * (1 << 30)
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        v, total = matrix(table.column("unit").to_pylist()), table.column("total")[0].as_py()
+        return pa.Table.from_batches([rows_of("dims int, centroids binary", [(table.column("dims")[0].as_py(), centroids(v, max(1, min(CENTROIDS, len(v), -(-total // PER_CENTROID)))).tobytes())])])
+
+    rows = classes.select("id", "dims", "unit").join(F.broadcast(sums), "dims").where(part).groupBy("dims").applyInArrow(fit, "dims int, centroids binary").collect()
+    return classes.sparkSession.sparkContext.broadcast({r["dims"]: np.frombuffer(r["centroids"], np.float64).reshape(-1, r["dims"] // 8) for r in rows})  # CENTROIDS bounds it
 
 
 def linked(classes: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
@@ -373,10 +382,10 @@ def spanning(hit: np.ndarray, ids: np.ndarray, names: np.ndarray) -> list[tuple[
     return out
 
 
-def audit(found: DataFrame) -> float:
+def audit(found: DataFrame) -> float | None:
     """Recall of m over the audited classes, each against all classes, in blocks: of links between different vectors,
-    whatever their copies, over all of them or as the mean of the queries that have any, whichever is less. found: id,
-    unit, dims, audited, m."""
+    whatever their copies, over all of them or as the mean of the queries that have any, whichever is less; None if there
+    is no link to be found. found: id, unit, dims, audited, m."""
 
     def packed(df: DataFrame, size: int) -> DataFrame:
         def run(table: pa.Table) -> pa.Table:
@@ -406,4 +415,4 @@ def audit(found: DataFrame) -> float:
         return pa.Table.from_batches([rows_of(SUMS, [(int(got.sum()), int(hits.sum()), float((got[some] / hits[some]).sum()), int(some.sum()))])])
 
     sums = pairs.join(queries.select("number", "m"), "number").groupBy("number").applyInArrow(total, SUMS).agg(*[F.sum(c) for c in ("found", "there", "shares", "queries")]).first()
-    return 1.0 if not sums[1] else min(sums[0] / sums[1], sums[2] / sums[3])
+    return min(sums[0] / sums[1], sums[2] / sums[3]) if sums[1] else None

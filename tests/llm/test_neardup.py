@@ -90,3 +90,30 @@ def test_pairs_over_borders_count_on_both_sides(spark, monkeypatch):
     got = neardup.near(spark.createDataFrame([(i, v, 0, 1, 2) for i, v in rows], SCHEMA).repartition(4)).collect()
     assert got[0]["overlap"] == 2 and got[0]["recall"] == pytest.approx(1.0)
     assert results(got) == brute([(i, np.array(v, np.float32).tolist()) for i, v in rows])
+
+
+def test_many_lengths_repeated_rows_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PER_CENTROID", 5)
+    r = np.random.default_rng(9)
+    rows = []
+    for size in range(2, 82):
+        base = r.normal(size=size)
+        rows += [(len(rows) + i, (base + (0 if i < 2 else 0.02 * i) * r.normal(size=size)).tolist()) for i in range(6)]
+    df = spark.createDataFrame([(i, v, 0, 1, 2) for i, v in [*rows, rows[3], (None, rows[3][1]), (None, None)]], SCHEMA).repartition(3)
+    got = neardup.near(df).collect()
+    want = {}
+    for size in range(2, 82):
+        # the repeated row is a vector of its own
+        want |= brute([x for x in rows if len(x[1]) == size])
+    more = {i for i in want if len(rows[i][1]) == 2 and i != 3 and np.dot(rows[i][1], rows[3][1]) / np.linalg.norm(rows[i][1]) / np.linalg.norm(rows[3][1]) >= 0.95}
+    want = {i: (n + (i in more) + (i == 3), c, k) for i, (n, c, k) in want.items()}
+    assert len(got) == len(rows) + 3 and results(x for x in got if x["vec_id"] is not None) == want
+    assert {(x["n_links"], x["component_id"]) for x in got if x["vec_id"] is None} == {(0, None)}
+
+
+def test_nothing_to_find_and_a_vec_id_for_two_vectors(spark):
+    axes = [(i, np.eye(8)[i].tolist(), 0, 1, 2) for i in range(8)]
+    got = neardup.near(spark.createDataFrame(axes, SCHEMA)).collect()
+    assert {(x["n_links"], x["recall"]) for x in got} == {(0, None)}
+    with pytest.raises(ValueError, match="different vectors"):
+        neardup.near(spark.createDataFrame([*axes, (1, [1.0] * 8, 0, 1, 2)], SCHEMA))
