@@ -23,6 +23,8 @@ from ._common import blocks
 
 #: Samples in a row of a stored picture; payloads are multiples of it.
 ROW = 576
+#: Bytes inflated at once.
+PIECE = 1 << 16
 PNG = b"\x89PNG\r\n\x1a\n"
 
 # Magic bytes, where they stand from the start of the format, and the type.
@@ -116,13 +118,20 @@ def riff_length(b: bytes, at: int) -> tuple[str, int] | None:
 
 
 def gzip_length(b: bytes, at: int) -> tuple[str, int] | None:
+    """To the end of the deflated data, of which a piece at a time is held however far it inflates."""
     inflate = zlib.decompressobj(31)
     try:
-        rest = memoryview(b)[at:]
-        inflate.decompress(rest)
+        left, i = b"", at
+        while not inflate.eof:
+            if not left:
+                if i >= len(b):
+                    return None
+                left, i = b[i : i + PIECE], i + PIECE
+            inflate.decompress(left, PIECE)
+            left = inflate.unconsumed_tail
     except zlib.error:
         return None
-    return ("application/gzip", len(b) - at - len(inflate.unused_data)) if inflate.eof else None
+    return "application/gzip", min(i, len(b)) - len(inflate.unused_data) - at
 
 
 def ogg_length(b: bytes, at: int) -> tuple[str, int] | None:
@@ -148,14 +157,23 @@ def mp4_length(b: bytes, at: int) -> tuple[str, int] | None:
     return ("video/mp4", i - at) if kinds & {b"moov", b"mdat", b"moof"} else None
 
 
-def zip_length(b: bytes, at: int) -> tuple[str, int] | None:
-    """To an end record whose directory begins where it says."""
-    end = at
+@lru_cache(1)
+def zip_ends(b: bytes) -> dict[int, int]:
+    """Where each end record whose directory is where it says has its archive begin, and the end of the first such archive: one
+    pass for all places of a blob."""
+    found: dict[int, int] = {}
+    end = -1
     while (end := b.find(b"PK\x05\x06", end + 1)) >= 0 and end + 22 <= len(b):
         size, begin, note = struct.unpack_from("<IIH", b, end + 12)
-        if begin + size == end - at and b[at + begin : at + begin + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(b):
-            return "application/zip", end + 22 + note - at
-    return None
+        at = end - begin - size
+        if at >= 0 and b[at + begin : at + begin + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(b):
+            found.setdefault(at, end + 22 + note)
+    return found
+
+
+def zip_length(b: bytes, at: int) -> tuple[str, int] | None:
+    end = zip_ends(b).get(at)
+    return ("application/zip", end - at) if end else None
 
 
 VALIDATORS: dict[str, Callable[[bytes, int], tuple[str, int] | None]] = {

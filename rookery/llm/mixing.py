@@ -65,7 +65,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     rows are rows of their own, equal ones in any order. An empty table gives an empty one. Extra columns of
     docs are not read.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # rows without doc_id are told apart by their text
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit("")))))
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")).withColumn("bucket", F.substring("key", 1, 3)))
 
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -101,22 +102,24 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     Rows alike in doc_id, source and size share what the mix takes of them as evenly as it can be; only where there are
     such rows are they numbered."""
     same = ["doc_id", "source", "size"]
+    fresh = "_" * (1 + max(len(c) for c in docs.columns))  # begins no column's name
+    named = {c: fresh + c for c in (*same, "times", "alike", "own", "n", "copy")}
     times = (F.col("taken") / F.col("size")).cast("long")
     held = mix(docs, weights, epochs).where("size > 0").groupBy(*same).agg(F.sum(times).alias("times"), F.count("*").alias("alike")).where("times > 0")
-    held = cut(held.select(*[F.col(c).alias(f"_{c}") for c in same], F.col("times").alias("_times"), F.col("alike").alias("_alike")))
-    sized = docs.withColumn("_own", word_count(docs["text"]))
-    on = sized["doc_id"].eqNullSafe(held["_doc_id"]) & sized["source"].eqNullSafe(held["_source"]) & (sized["_own"] == held["_size"])
-    rows, own = sized.join(held, on), F.col("_times")
-    if not held.where("_alike > 1").isEmpty():
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_doc_id", "_source", "_size").orderBy(F.xxhash64("text"))))
-        own = F.floor(F.col("_times") / F.col("_alike")) + F.when(F.col("_n") <= F.col("_times") % F.col("_alike"), 1).otherwise(0)
-    rows = rows.withColumn("_time", F.explode(F.when(own > 0, F.sequence(F.lit(1).cast("long"), own.cast("long"))).otherwise(F.array().cast("array<long>"))))
+    held = cut(held.select(*[F.col(c).alias(named[c]) for c in (*same, "times", "alike")]))
+    sized = docs.withColumn(named["own"], word_count(docs["text"]))
+    on = sized["doc_id"].eqNullSafe(held[named["doc_id"]]) & sized["source"].eqNullSafe(held[named["source"]]) & (sized[named["own"]] == held[named["size"]])
+    rows, own = sized.join(held, on), F.col(named["times"])
+    if not held.where(F.col(named["alike"]) > 1).isEmpty():
+        rows = rows.withColumn(named["n"], F.row_number().over(Window.partitionBy(*[named[c] for c in same]).orderBy(F.xxhash64("text"))))
+        own = F.floor(own / F.col(named["alike"])) + F.when(F.col(named["n"]) <= own % F.col(named["alike"]), 1).otherwise(0)
+    rows = rows.withColumn(named["copy"], F.explode(F.when(own > 0, F.sequence(F.lit(1).cast("long"), own.cast("long"))).otherwise(F.array().cast("array<long>"))))
     return rows.select(*[sized[c] for c in docs.columns])
 
 
 #: The same in one pass for small tables: whole sources and the whole corpus are ordered at once.
 MIX_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM {docs}),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, ''))) AS key FROM {docs}),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s),
 r AS (SELECT *, 3 * source_size / weight AS ratio FROM w),

@@ -1,7 +1,10 @@
 import gzip
 import hashlib
 import io
+import statistics
 import struct
+import time
+import tracemalloc
 import zipfile
 import zlib
 
@@ -56,3 +59,28 @@ def test_texts_come_back_from_their_pictures(spark):
     same = [tuple(r)[1:] for r in held if r["doc_id"] in (None, 3)]
     assert same[0] == same[1]
     assert media.stored(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_bombs_and_many_magic_bytes():
+    began = time.perf_counter()
+    bomb = gzip.compress(bytes(300 << 20), 9)
+    tracemalloc.start()
+    assert media.sniff(b"x" + bomb + b"y") == [(1, len(bomb), "application/gzip")]
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+    assert media.sniff(b"PK\x03\x04PK\x05\x06" * 40_000 + bytes(40)) == []
+    assert time.perf_counter() - began < 30
+
+
+def test_stored_form_and_feature_by_other_readers(spark):
+    """The picture is read by a plain decoder of its own, and the feature's numbers come from the payload."""
+    texts = ["some text " * 99, "é" * 5000, ""]
+    for r in media.stored(spark.createDataFrame([(i, t, "m", 1) for i, t in enumerate(texts)], SCHEMA)).collect():
+        payload = texts[r["doc_id"]].encode()
+        payload += b"\xff" * (-len(payload) % 576 or (0 if payload else 576))
+        rows = b"".join(b"\0" + payload[i : i + 576] for i in range(0, len(payload), 576))
+        part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        blob = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">II5B", 576, len(payload) // 576, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows, 1)) + part(b"IEND", b"")
+        assert (r["media_bytes"], r["media_sha256"]) == (len(blob), hashlib.sha256(blob).hexdigest())
+        mean, sd = statistics.fmean(payload), statistics.pstdev(payload)
+        assert r["feature"] == f"image/png 0+{len(blob)} {len(payload) // 576}x576 mean={mean:.3f} sd={sd:.3f}"

@@ -2,6 +2,8 @@ import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+from pyspark.sql import functions as F
+
 from rookery.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string, size int, total string"
@@ -69,3 +71,18 @@ def test_rows_repeat_as_the_mix_takes_them(spark):
     known = set(map(str, df.collect()))
     assert all(str(r) in known for r in held)
     assert mixing.mixed_rows(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_names_that_clash_and_a_long_text(spark):
+    rows = [(i, "w " * (i % 7 + 1), "ab"[i % 2], 1, "x") for i in range(60)] + [(None, "one two", "a", 1, "x"), (None, "three four", "a", 1, "x"), (99, "word " * 400_000, "a", 1, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for c in ("_own", "_times", "_alike", "_time", "_n", "key", "bucket", "finish", "target", "__copy"):
+        df = df.withColumn(c, F.lit(c))
+    taken = Counter()
+    for r in mixing.mix(df).where("taken > 0").collect():
+        taken[r["doc_id"], r["source"], r["size"]] += r["taken"] // r["size"]
+    got = mixing.mixed_rows(df)
+    assert got.schema == df.schema
+    held = got.collect()
+    assert Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in held) == taken
+    assert all(r[c] == c for r in held for c in ("_own", "_times", "key", "__copy"))

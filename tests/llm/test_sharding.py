@@ -41,3 +41,34 @@ def test_a_map_is_edited_while_it_helps():
     load = lambda m: [sum(size[s] for s in size if m[s] == k) for k in range(8)]
     assert max(load(after)) - min(load(after)) <= min(2, max(load(before)) - min(load(before)))
     assert sharding.rebalanced(after, size, 8) == after
+
+
+def test_a_stored_map_is_read_back_and_edited(spark, tmp_path):
+    store = str(tmp_path / "map")
+    df = spark.createDataFrame(rows(), SCHEMA)
+    first, maps = sharding.shard(df, store=store)
+    assert {m["version"] for m in maps.collect()} == {1, 2}
+    again, maps = sharding.shard(df, store=store)
+    # nothing to edit: no new version, the same places
+    assert {m["version"] for m in maps.collect()} == {1, 2} and sorted(map(str, again.collect())) == sorted(map(str, first.collect()))
+    more = df.unionByName(spark.createDataFrame([(9000 + i, "long " * 400, 1, 2, "x") for i in range(40)], SCHEMA))
+    grown, maps = sharding.shard(more, store=store)
+    by = {}
+    for m in maps.collect():
+        by.setdefault(m["version"], {})[m["virtual_slot"]] = m["shard"]
+    assert sorted(by) == [1, 2, 3] and sum(by[2][s] != by[3][s] for s in by[2]) < sharding.SLOTS / 4
+    load = defaultdict(int)
+    for r in grown.collect():
+        assert r["shard"] == by[3][r["virtual_slot"]]
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) - min(load.values()) <= 2001
+
+
+def test_many_rows_without_doc_id_and_a_long_text(spark):
+    df = spark.createDataFrame([(None, "same", 0, 0, "")] * 2000 + [(1, "y" * 5_000_000, 0, 0, "")], SCHEMA).repartition(3)
+    held = sharding.shard(df)[0].collect()
+    places = defaultdict(list)
+    for r in held:
+        places[r["shard"]].append(r["slot"])
+    assert len(held) == 2001 and all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert len({r["virtual_slot"] for r in held}) > 1000
