@@ -38,28 +38,44 @@ SENTENCES = {
     "cc_by_sa_4": "licensed under cc by sa 4 0",
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "unlicense": "this is free and unencumbered software released into the public domain",
-    "spdx_mit": "spdx license identifier mit",
-    "spdx_apache2": "spdx license identifier apache 2 0",
-    "spdx_gpl3": "spdx license identifier gpl 3 0 only",
-    "spdx_bsd3": "spdx license identifier bsd 3 clause",
+    "agpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl3_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "bsl_grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "bsl_distributed": "distributed under the boost software license version 1 0",
+    "epl2_available": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "mit0_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+    "bsd_style": "use of this source code is governed by a bsd style license that can be found in the license file",
+    "mit_style": "use of this source code is governed by an mit style license that can be found in the license file",
     "all_rights": "all rights reserved",
 }
+# Licence identifiers as they stand after "SPDX-License-Identifier:".
+SPDX = (
+    "MIT", "Apache-2.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "Zlib", "BSL-1.0", "EPL-2.0", "CC0-1.0",
+    "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense", "MIT-0",
+)
+SENTENCES |= {f"spdx:{name}": "spdx license identifier " + re.sub("[^a-z0-9]+", " ", name.lower()) for name in SPDX}
 # Ordered rules; a rule fits if its identifiers occur in a document in this order, others between them or not.
 RULES = [
+    *((name, [f"spdx:{name}"]) for name in SPDX),
+    ("AGPL-3.0-or-later", ["agpl_free"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free"]),
+    ("EPL-2.0", ["epl2_available"]),
+    ("BSL-1.0", ["bsl_distributed"]),
+    ("BSL-1.0", ["bsl_grant"]),
+    ("Zlib", ["zlib_grant"]),
     ("Apache-2.0", ["apache2_header", "apache2_comply", "apache2_basis"]),
     ("Apache-2.0", ["apache2_licensed"]),
     ("Apache-2.0", ["apache2_header"]),
-    ("Apache-2.0", ["spdx_apache2"]),
     ("GPL-3.0-or-later", ["gpl_free", "gpl_hope"]),
     ("GPL-3.0-or-later", ["gpl_free"]),
     ("GPL-3.0-only", ["gpl3_work"]),
-    ("GPL-3.0-only", ["spdx_gpl3"]),
     ("GPL-2.0-or-later", ["gpl2_free"]),
     ("GPL-2.0-only", ["gpl2_work"]),
     ("LGPL-2.1-or-later", ["lgpl_free"]),
     ("MPL-2.0", ["mpl2_subject"]),
     ("BSD-3-Clause", ["bsd_redistribution", "bsd_endorse"]),
-    ("BSD-3-Clause", ["spdx_bsd3"]),
     ("BSD-2-Clause", ["bsd_redistribution"]),
     ("CC-BY-NC-4.0", ["cc_by_nc_4"]),
     ("CC-BY-SA-4.0", ["cc_by_sa_4"]),
@@ -68,7 +84,9 @@ RULES = [
     ("MIT", ["mit_grant"]),
     ("MIT", ["mit_released"]),
     ("MIT", ["mit_licensed"]),
-    ("MIT", ["spdx_mit"]),
+    ("MIT", ["mit_style"]),
+    ("MIT-0", ["mit0_grant"]),
+    ("BSD-3-Clause", ["bsd_style"]),
     ("ISC", ["isc_grant"]),
     ("CC0-1.0", ["cc0"]),
     ("Unlicense", ["unlicense"]),
@@ -84,6 +102,8 @@ WITHIN = {
     "gpl_free": ("free software", "software foundation"),
     "gpl2_free": ("free software", "software foundation"),
     "lgpl_free": ("free software", "software foundation"),
+    "lgpl3_free": ("free software", "software foundation"),
+    "agpl_free": ("free software", "software foundation"),
     "gpl_hope": ("without any warranty",),
     "mpl2_subject": ("license v",),
 }

@@ -123,3 +123,18 @@ def test_official_texts_count_however_they_are_wrapped_and_commented(spark):
 def test_ends_of_sentences_and_blank_lines_still_part(spark):
     got = scanned(spark, ["Licensed under the Apache.\nLicense, Version 2.0", "Released under\n\nthe MIT License", "- Released under\n- the MIT License", "Released under the MIT License. All rights\nreserved.", "a) All rights\nreserved"])
     assert [r[1] for r in got] == ["", "", "", "mit_released all_rights", "all_rights"]
+
+
+def test_more_known_licences(spark):
+    texts = {
+        "AGPL-3.0-or-later": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU Affero General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n",
+        "Zlib": "/* Permission is granted to anyone to use this software for any purpose,\n * including commercial applications, and to alter it and redistribute it\n * freely, subject to the following restrictions:\n */",
+        "EPL-2.0": " * This program and the accompanying materials are made\n * available under the terms of the Eclipse Public License 2.0\n * which is available at\n",
+        "BSD-3-Clause": "// Use of this source code is governed by a BSD-style license that can be\n// found in the LICENSE file.\n",
+        "BSL-1.0": "// Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file LICENSE_1_0.txt)\n",
+        "LGPL-2.1-or-later": "/* SPDX-License-Identifier: LGPL-2.1-or-later */\n",
+        "MIT-0": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.\n",
+    }
+    df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts)
