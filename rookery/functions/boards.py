@@ -73,6 +73,35 @@ def to_fen() -> Column:
     return F.concat_ws(" ", rows, "side", rights, ep)
 
 
+def full_fen(halfmove: Column, fullmove: Column) -> Column:
+    """All six fields."""
+    return F.concat_ws(" ", to_fen(), F.coalesce(halfmove, F.lit(0)).cast("string"), F.coalesce(fullmove, F.lit(1)).cast("string"))
+
+
+def clocks(fen: Column) -> tuple[Column, Column]:
+    """The halfmove clock and the number of the move, 0 and 1 where they are left out."""
+    parts = F.split(F.trim(fen), r"\s+")
+    number = lambda i, least: F.greatest(F.coalesce(F.try_element_at(parts, F.lit(i)).try_cast("int"), F.lit(least)), F.lit(least))
+    return number(5, 0), number(6, 1)
+
+
+def swap_colors(df: DataFrame) -> DataFrame:
+    """Men change their colour where they stand; rights and the side to move are exchanged, squares stay."""
+    other = dict(zip(MASKS, MASKS[6:] + MASKS[:6], strict=True))
+    return df.withColumns({m: F.col(other[m]) for m in MASKS} | {"side": F.when(F.col("side") == "w", "b").otherwise("w"), "castling": F.expr("((castling & 3) << 2) | ((castling & 12) >> 2)")})
+
+
+def keys(df: DataFrame) -> DataFrame:
+    """Adds exact_key (the record), equivalent_key (one for a position and its colour swap) and SHA-256 hashes of both."""
+    names = df.columns
+    held = df.withColumn("exact_key", record())
+    both = swap_colors(held).withColumn("_swapped", record()).select(*[F.col(c) for c in ("exact_key", "_swapped")], *[F.col(c).alias(f"_{c}") for c in names])
+    out = both.withColumn("equivalent_key", canonical_key(F.col("exact_key"), F.col("_swapped")))
+    other = dict(zip(MASKS, MASKS[6:] + MASKS[:6], strict=True))
+    back = {m: F.col(f"_{other[m]}") for m in MASKS} | {"side": F.when(F.col("_side") == "w", "b").otherwise("w"), "castling": F.expr("((_castling & 3) << 2) | ((_castling & 12) >> 2)")}
+    return out.select(*[back.get(c, F.col(f"_{c}")).alias(c) for c in names], "exact_key", "equivalent_key", F.unhex(F.sha2("exact_key", 256)).alias("exact_hash"), F.unhex(F.sha2("equivalent_key", 256)).alias("equivalent_hash"))
+
+
 def color_swapped(df: DataFrame) -> DataFrame:
     """Ranks flipped and colours, castling rights and the side to move exchanged."""
     from .bits import flipped_ranks

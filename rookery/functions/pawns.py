@@ -47,6 +47,50 @@ def symmetries(df: DataFrame, white: str = "white", black: str = "black") -> Dat
     return out.withColumn("symmetry", F.expr(f"array_distinct(array({pairs}))")).drop("_white", "_black", *(f"_{s}{i}" for s in "wb" for i in range(4)))
 
 
+def shifted(df: DataFrame, color: str, source: str, target: str) -> DataFrame:
+    """Adds shift_error (invalid_square, same_square, missing_pawn or target_has_pawn, else null) and, without one, the
+    structure shifted_white, shifted_black with the pawn of a colour (white or black) moved from square to square."""
+    if color not in ("white", "black"):
+        raise ValueError("invalid_color")
+    on = lambda m, s: f"(shiftrightunsigned({m}, {s}) & 1) = 1"
+    square = lambda s: f"({s} BETWEEN 8 AND 55)"
+    error = f"""CASE WHEN NOT coalesce({square(source)} AND {square(target)}, false) THEN 'invalid_square' WHEN {source} = {target} THEN 'same_square'
+        WHEN NOT ({on(color, source)}) THEN 'missing_pawn' WHEN {on('(white | black)', target)} THEN 'target_has_pawn' END"""
+    held = df.withColumn("shift_error", F.expr(error))
+    move = f"IF(shift_error IS NULL, ({color} & ~shiftleft(1L, {source})) | shiftleft(1L, {target}), NULL)"
+    stay = {"white": "black", "black": "white"}[color]
+    return held.withColumns({f"shifted_{color}": F.expr(move), f"shifted_{stay}": F.expr(f"IF(shift_error IS NULL, {stay}, NULL)")})
+
+
+def bounded(pairs: DataFrame, key: list[str], limit: int) -> DataFrame:
+    """key and distance (edits from (white, black) to (white2, black2); null beyond limit, 0 to 2) of pairs. Each source
+    structure is expanded once, however many pairs it is in."""
+    if limit not in (0, 1, 2):
+        raise ValueError("invalid_limit")
+    sources = pairs.select("white", "black").distinct()
+    found = sources.select(F.col("white").alias("white2"), F.col("black").alias("black2"), "white", "black", F.lit(0).alias("distance"))
+    edge = found
+    for d in range(1, limit + 1):
+        edge = _edited(edge, "white2", "black2", ["white", "black"]).withColumn("distance", F.lit(d))
+        found = found.unionByName(edge)
+    least = found.groupBy("white", "black", "white2", "black2").agg(F.min("distance").alias("distance"))
+    return pairs.join(least, ["white", "black", "white2", "black2"], "left").select(*key, "distance")
+
+
+def _edited(df: DataFrame, white: str, black: str, keep: list[str]) -> DataFrame:
+    """One edit (a rank, a capture-like step or a removal) away from (white, black), with the columns of keep, distinct."""
+    steps = [(f, s) for s in (1, -1) for f in (0, 1, -1)]
+    arrays = []
+    for own in (white, black):
+        pair = lambda new, own=own: f"struct({new if own == white else white} AS w, {new if own == black else black} AS b)"
+        for files, step in steps:
+            to = f"s + {8 * step + files}"
+            fits = f"(s % 8 + {files}) BETWEEN 0 AND 7 AND ({to}) BETWEEN 8 AND 55 AND (shiftrightunsigned({white} | {black}, {to}) & 1) = 0"
+            arrays.append(f"transform(filter(sequence(0, 63), s -> (shiftrightunsigned({own}, s) & 1) = 1 AND {fits}), s -> {pair(f'(({own} & ~shiftleft(1L, s)) | shiftleft(1L, {to}))')})")
+        arrays.append(f"transform(filter(sequence(0, 63), s -> (shiftrightunsigned({own}, s) & 1) = 1), s -> {pair(f'({own} & ~shiftleft(1L, s))')})")
+    return df.select(*keep, F.explode(F.expr(f"concat({', '.join(arrays)})")).alias("k")).select(*keep, F.col("k.w").alias(white), F.col("k.b").alias(black)).distinct()
+
+
 def neighbours(keys: DataFrame, *, pushes: bool = False, ranks: bool = False, captures: bool = False, removals: bool = False) -> DataFrame:
     """One edit away from each (white, black) of keys, distinct. pushes: a pawn one rank ahead. ranks: one rank either
     way. captures: one file aside and one rank either way. removals: one pawn less. A pawn goes only where no pawn

@@ -77,8 +77,15 @@ def game_accuracy(series: DataFrame) -> DataFrame:
 
 def packed_similarity(candidates: DataFrame, query: DataFrame, limit: int = 24) -> DataFrame:
     """candidates(id, white, black, material) scored against one row of query(white, black, material): equal bits of
-    both pawn masks, and a bonus for equal material; best first."""
-    q = query.select(F.col("white").alias("q_white"), F.col("black").alias("q_black"), F.col("material").alias("q_material"))
+    both pawn masks, and a bonus for equal material; best first. Of more rows of query, the first by id counts."""
+    q = query.orderBy("id").limit(1).select(F.col("white").alias("q_white"), F.col("black").alias("q_black"), F.col("material").alias("q_material"))
     both = candidates.join(F.broadcast(q), F.lit(True))
     score = F.expr("bit_count(white & q_white) + bit_count(black & q_black) - bit_count(white ^ q_white) - bit_count(black ^ q_black) + IF(material = q_material, 16, 0)")
     return both.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def move_number(start_number: Column, start_side: Column, ply: Column) -> tuple[Column, Column]:
+    """The number of the move and the side to move ('w' or 'b') after so many plies from a position."""
+    offset = F.when(start_side == "w", ply).otherwise(ply + 1)
+    even = ply % 2 == 0
+    return (start_number + F.floor(offset / 2)).cast("long"), F.when(even == (start_side == "w"), "w").otherwise("b")

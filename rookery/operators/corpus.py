@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,21 +10,28 @@ from ..functions import boards
 from . import replay, store
 
 
+#: The record of the usual first position, as hexadecimal digits.
+FIRST = "".join(f"{c:02X}" for c in [4, 2, 3, 5, 6, 3, 2, 4, *[1] * 8, *[0] * 32, *[7] * 8, 10, 8, 9, 11, 12, 9, 8, 10, 0, 15, 255])
+
+
 def star(games: DataFrame, key: str) -> dict[str, DataFrame]:
     """positions(id, record, white_pawns, black_pawns), games(id, fingerprint, content), occurrences(id, game_id, ply,
     position_id, move) and records(id, record_id, game_id, metadata). games: as replay.played() gives them, with key and
     headers; rows with an error are left out, and repeated rows make a record each.
 
     A game is its first position and its moves; equal ones are one game under several records. Ids follow from the
-    rows alone. A position that most games share is a skewed key only where plies meet their ids, in one join that
-    Spark may split."""
+    rows alone. Games are replayed once: their plies and what is numbered are kept on the executors' disks for the four tables. The first
+    position, which most games share, meets its id by broadcast."""
     held = games.where("error IS NULL").withColumn("content", F.concat(F.col("records")[0], F.encode(F.concat(F.lit(" "), F.array_join("uci", " ")), "utf-8")))
-    held = held.withColumn("fingerprint", F.unhex(F.sha2("content", 256)))
+    held = held.withColumn("fingerprint", F.unhex(F.sha2("content", 256))).persist(StorageLevel.DISK_ONLY)
     identity = ["fingerprint", "content"]
-    one = store.numbered(held.groupBy(*identity).agg(F.any_value("records").alias("records"), F.any_value("moves").alias("moves")), identity)
+    one = store.numbered(held.groupBy(*identity).agg(F.any_value("records").alias("records"), F.any_value("moves").alias("moves")), identity).persist(StorageLevel.DISK_ONLY)
     plies = one.select(F.col("id").alias("game_id"), F.posexplode(F.arrays_zip("records", "moves")).alias("ply", "z")).select("game_id", "ply", F.col("z.records").alias("record"), F.col("z.moves").alias("move"))
-    positions = boards.from_record(store.numbered(plies.select("record").distinct(), ["record"])).select("id", "record", F.col("wp").alias("white_pawns"), F.col("bp").alias("black_pawns"))
-    occurrences = store.numbered(plies.join(positions.select(F.col("id").alias("position_id"), "record"), "record").drop("record"), ["game_id", "ply"])
+    positions = boards.from_record(store.numbered(plies.select("record").distinct(), ["record"])).select("id", "record", F.col("wp").alias("white_pawns"), F.col("bp").alias("black_pawns")).persist(StorageLevel.DISK_ONLY)
+    named = positions.select(F.col("id").alias("position_id"), "record")
+    usual = F.broadcast(named.where(F.col("record") == F.unhex(F.lit(FIRST))))  # one row
+    rest = plies.where(F.col("record") != F.unhex(F.lit(FIRST)))
+    occurrences = store.numbered(plies.join(usual, "record").unionByName(rest.join(named, "record")).drop("record"), ["game_id", "ply"])
     named = held.select(F.col(key).cast("string").alias("record_id"), F.col("headers").alias("metadata"), *identity).join(one.select(F.col("id").alias("game_id"), *identity), identity)
     # maps don't order, so equal keys are told apart by their game
     records = store.numbered(named.drop(*identity), ["record_id", "game_id"])

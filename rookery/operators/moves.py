@@ -128,8 +128,8 @@ def status(positions: DataFrame, key: str) -> DataFrame:
 
 
 def played(positions: DataFrame, uci: str) -> DataFrame:
-    """The position after the legal move that the column names; rows whose move isn't legal go."""
-    return legal(positions).where(F.col("uci") == F.col(uci))
+    """The position after the legal move that the column names, which stays; rows whose move isn't legal go."""
+    return legal(positions.withColumn("_asked", F.col(uci)).drop("uci")).where(F.col("uci") == F.col("_asked")).drop("_asked")
 
 
 def validated(positions: DataFrame) -> DataFrame:

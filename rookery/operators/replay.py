@@ -170,6 +170,57 @@ def notation(board: Board, source: int, to: int, promotion: int, after: Board) -
     return text + ("" if not after.checked(after.side) else "+" if after.can_move() else "#")
 
 
+#: Moves from positions that a task remembers.
+KNOWN = 200_000
+
+
+def made(board: Board, move: tuple[int, int, int] | None) -> tuple[str, str, bytes, Board] | None:
+    """Notation, UCI text, record and position after a move."""
+    if move is None:
+        return None
+    after = board.played(*move)
+    return notation(board, *move, after), square_name(move[0]) + square_name(move[1]) + ("nbrq"[move[2] - 2] if move[2] else ""), after.record(), after
+
+
+_UCI = re.compile("^([a-h][1-8])([a-h][1-8])([nbrq])?$")
+
+
+def coordinates(board: Board, uci: str) -> tuple[int, int, int] | None:
+    """The legal move that coordinates name."""
+    found = _UCI.match(uci)
+    if not found:
+        return None
+    source, to, promotion = square(found[1]), square(found[2]), "nbrq".index(found[3]) + 2 if found[3] else 0
+    kind = board.codes[source] - 6 * board.side
+    if not 1 <= kind <= 6 or bool(promotion) != (kind == 1 and to // 8 in (0, 7)):
+        return None
+    if kind == 6 and (source, to) in board.castles():
+        return source, to, 0
+    return (source, to, promotion) if source in board.legal(kind, to) else None
+
+
+def variations(rows: DataFrame, key: str, pv: str = "pv", start: str = "fen") -> DataFrame:
+    """key and moves (array, in the standard notation) of a line of coordinates parted by blanks, up to its first move that isn't
+    legal. A null line has none, and neither has one from a position that isn't valid."""
+    held = boards.with_masks(rows.select(key, F.coalesce(pv, F.lit("")).alias("_pv"), F.coalesce(start, F.lit(boards.START)).alias("_fen")), "_fen").select(key, "_pv", boards.record().alias("record"), "valid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for line, record, valid in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                board, moves = Board.of(record), []
+                for uci in line.split() if valid else []:
+                    step = made(board, coordinates(board, uci))
+                    if step is None:
+                        break
+                    moves.append(step[0])
+                    board = step[3]
+                out.append(moves)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], [key, "moves"])
+
+    return held.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, moves array<string>")
+
+
 PLAYED = "records array<binary>, moves array<string>, uci array<string>, error string"
 
 
@@ -182,20 +233,24 @@ def played(games: DataFrame, key: str, strict: bool = True, start: str = "fen")
     kind = games.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[bytes, str], tuple | None] = {}  # games share their openings: a move from a position is made once
         for batch in batches:
             out = []
             for moves, record, valid in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 board, records, sans, ucis, error = Board.of(record), [record], [], [], None if valid else "bad_start"
                 for n, san in enumerate(moves or [] if valid else [], 1):
-                    move = resolved(board, san, strict)
-                    if move is None:
+                    step = (records[-1], san)
+                    if step not in known:
+                        if len(known) > KNOWN:
+                            known.clear()
+                        known[step] = made(board, resolved(board, san, strict))
+                    if known[step] is None:
                         error = f"illegal_move_{n}"
                         break
-                    after = board.played(*move)
-                    sans.append(notation(board, *move, after))
-                    ucis.append(square_name(move[0]) + square_name(move[1]) + ("nbrq"[move[2] - 2] if move[2] else ""))
-                    records.append(after.record())
-                    board = after
+                    text, uci, record, board = known[step]
+                    sans.append(text)
+                    ucis.append(uci)
+                    records.append(record)
                 out.append((records, sans, ucis, error))
             kinds = (pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True))], [key, "records", "moves", "uci", "error"])

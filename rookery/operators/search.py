@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import boards, pawns
+
 
 def every(*terms: Column) -> Column:
     """True for no terms."""
@@ -66,9 +68,25 @@ def marks(found: DataFrame) -> dict[str, int]:
     return top.asDict()
 
 
+def asked(limit: int | None, after: tuple | None = None, keys: int = len(ORDER), sort: str = "insertion", positions_asked: bool = True) -> None:
+    """Refuses a page that can't be given: missing_limit, invalid_limit, invalid_cursor (not as many values as the order has),
+    invalid_sort, or unsupported_sort (by date, but positions are asked for)."""
+    if limit is None:
+        raise ValueError("missing_limit")
+    if not isinstance(limit, int) or isinstance(limit, bool) or limit <= 0:
+        raise ValueError("invalid_limit")
+    if after is not None and (not isinstance(after, tuple) or len(after) != keys):
+        raise ValueError("invalid_cursor")
+    if sort not in ("insertion", "date_desc"):
+        raise ValueError("invalid_sort")
+    if sort == "date_desc" and positions_asked:
+        raise ValueError("unsupported_sort")
+
+
 def page(found: DataFrame, limit: int, after: tuple | None = None, high: dict[str, int] | None = None, order: tuple[str, ...] = ORDER) -> DataFrame:
     """The first limit + 1 rows in order, the last of which only tells that there are more. after: the last key of the
-    page before; high: marks of the first page."""
+    page before; high: marks of the first page. Errors as in asked()."""
+    asked(limit, after, len(order))
     if high:
         found = found.where(every(*[F.col(c) <= v for c, v in high.items()]))
     if after:
@@ -84,6 +102,7 @@ def first_occurrences(occurrences: DataFrame) -> DataFrame:
 
 def date_page(records: DataFrame, occurrences: DataFrame, limit: int, after: tuple[str, int] | None = None, high: int | None = None) -> DataFrame:
     """Records by date, newest first and undated last, each with the first occurrence of its game if it has one."""
+    asked(limit, after, 2, "date_desc", positions_asked=False)
     keyed = records.withColumn("date_key", F.coalesce("date", F.lit("")))
     if high is not None:
         keyed = keyed.where(F.col("id") <= high)
@@ -97,8 +116,8 @@ def date_page(records: DataFrame, occurrences: DataFrame, limit: int, after: tup
 
 def move_line(occurrences: DataFrame, line: DataFrame) -> DataFrame:
     """Occurrences at the last ply of line(ply, position_id) whose games pass through all its positions, in one pass
-    over the occurrences. A line has a row for each ply from 0."""
-    held = occurrences.join(F.broadcast(line), ["ply", "position_id"])
+    over the occurrences. A line has a row for each ply from 0. Spark broadcasts it where it is as short as lines are."""
+    held = occurrences.join(line, ["ply", "position_id"])
     length = line.agg(F.count("*").alias("n"), F.max("ply").alias("last"))
     through = held.groupBy("game_id").agg(F.count_distinct("ply").alias("passed")).join(F.broadcast(length), F.lit(True)).where("passed = n").select("game_id", "last")
     return occurrences.join(through, "game_id").where("ply = last").drop("last")
@@ -113,6 +132,25 @@ def similar(digests: DataFrame, keys: DataFrame, query_atoms: list[int], white:
     return held.select("position_id", F.size(F.array_intersect("atom_ids", ids(query_atoms))).alias("shared"), F.lit(len(set(query_atoms))).alias("query_total"))
 
 
+def signature(side: str, queen: Column, rook: Column, bishop: Column, knight: Column, pawn: Column) -> Column:
+    """A side's material as one word."""
+    return F.concat(F.lit(f"material:{side}:Q"), queen, F.lit("R"), rook, F.lit("B"), bishop, F.lit("N"), knight, F.lit("P"), pawn)
+
+
+def signature_variants(side: str, queen: Column, rook: Column, bishop: Column, knight: Column, pawn: Column, substitution: str | None = None) -> Column:
+    """The signature, and with a substitution those after it: two_rooks_queen (a queen for two rooks or back), or bishop_knight
+    (one minor piece for the other). Each once; what isn't there isn't traded."""
+    form = lambda q=0, r=0, b=0, n=0: signature(side, queen + q, rook + r, bishop + b, knight + n, pawn)
+    trades = {
+        None: [],
+        "two_rooks_queen": [F.when(queen >= 1, form(q=-1, r=2)), F.when(rook >= 2, form(q=1, r=-2))],
+        "bishop_knight": [F.when(bishop >= 1, form(b=-1, n=1)), F.when(knight >= 1, form(b=1, n=-1))],
+    }
+    if substitution not in trades:
+        raise ValueError(f"unknown substitution: {substitution}")
+    return F.array_distinct(F.array_compact(F.array(form(), *trades[substitution])))
+
+
 def similar_page(found: DataFrame, limit: int, after: tuple | None = None) -> DataFrame:
     """Most shared atoms first, then by ids. after: (shared, position_id, occurrence_id, record_id); what is equal in
     shared goes on with larger ids."""
@@ -188,3 +226,72 @@ def filters(metadata: Column, wanted: dict) -> Column:
     if {"since", "until"} & set(asked):
         terms.append(value_between(metadata, "date", asked.get("since"), asked.get("until")))
     return every(*terms)
+
+
+def contains_json(json: Column, wanted: dict | list | str | int | float | bool | None) -> Column:
+    """A JSON text that holds what is wanted at any depth: all keys of an object, each element of a list in some element
+    (order and repeats don't matter), equal scalars. A text that is no JSON holds nothing."""
+    return F.coalesce(_held(F.try_parse_json(json), wanted), F.lit(False))
+
+
+def _held(value: Column, wanted) -> Column:
+    kind = F.schema_of_variant(value)
+    if isinstance(wanted, dict):
+        if any("'" in k and '"' in k for k in wanted):
+            raise ValueError("a key with both kinds of quotes")
+        path = lambda k: f'$["{k}"]' if "'" in k else f"$['{k}']"
+        under = lambda k: F.try_variant_get(value, path(k), "variant")
+        return every(F.startswith(kind, F.lit("OBJECT")), *[F.coalesce(_held(under(k), w), F.lit(False)) for k, w in wanted.items()])
+    if isinstance(wanted, list):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        among = lambda w: F.coalesce(F.exists(items, lambda e: F.coalesce(_held(e, w), F.lit(False))), F.lit(False))
+        return every(F.startswith(kind, F.lit("ARRAY")), *[among(w) for w in wanted])
+    if wanted is None:
+        return F.is_variant_null(value)
+    if isinstance(wanted, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == wanted)
+    if isinstance(wanted, str):
+        return (kind == "STRING") & (F.try_variant_get(value, "$", "string") == wanted)
+    return ~kind.isin("STRING", "BOOLEAN", "VOID") & (F.try_variant_get(value, "$", "double") == float(wanted))
+
+
+# Searches by a position, in the modes of a search form.
+
+#: Modes that look for the pawn structure of the position asked for.
+STRUCTURE_MODES = ("structure", "structure_symmetries", "structure_edit1", "structure_push", "structure_capture", "structure_missing", "structure_push_symmetries", "structure_color_reversed", "structure_reflected")
+#: Modes that look for the position itself; "similar" ranks, see similar().
+RECORD_MODES = ("exact", "exact_color_swapped", "exact_mirrored")
+
+
+def structure_keys(asked_for: DataFrame, mode: str) -> DataFrame:
+    """Distinct (white, black) that a mode looks for, from those of the positions asked for."""
+    keys = asked_for.select("white", "black").distinct()
+    turned = lambda form: keys.select(F.expr(form[0]).alias("white"), F.expr(form[1]).alias("black"))
+    every_form = lambda df: pawns.symmetries(df).select(F.explode("symmetry").alias("s")).select("s.white", "s.black").distinct()
+    found = {
+        "structure": lambda: keys,
+        "structure_symmetries": lambda: every_form(keys),
+        "structure_edit1": lambda: pawns.neighbourhood(keys, 1).select("white", "black"),
+        "structure_push": lambda: keys.unionByName(pawns.neighbours(keys, pushes=True)).distinct(),
+        "structure_capture": lambda: keys.unionByName(pawns.neighbours(keys, captures=True)).distinct(),
+        "structure_missing": lambda: keys.unionByName(pawns.neighbours(keys, removals=True)).distinct(),
+        "structure_push_symmetries": lambda: every_form(keys.unionByName(pawns.neighbours(keys, pushes=True)).distinct()),
+        "structure_color_reversed": lambda: turned(pawns.color_reversed("white", "black")),
+        "structure_reflected": lambda: turned(pawns.file_reflected("white", "black")),
+    }
+    if mode not in found:
+        raise ValueError(f"unsupported_property: {mode}")
+    return found[mode]()
+
+
+def by_mode(positions: DataFrame, asked_for: DataFrame, mode: str = "exact", having: DataFrame | None = None) -> DataFrame:
+    """positions that a mode finds, each once. asked_for: positions with masks, side, castling and ep; positions: of the same
+    columns and a record (exact modes) or white and black (structure modes). having: position ids (column position_id) to
+    which the result is narrowed, as with_all_atoms() gives them."""
+    if mode in RECORD_MODES:
+        forms = [asked_for] + ([boards.color_swapped(asked_for)] if mode == "exact_color_swapped" else []) + ([boards.file_reflected(asked_for)] if mode == "exact_mirrored" else [])
+        keys = reduce(DataFrame.unionByName, [f.select(boards.record().alias("record")) for f in forms]).distinct()
+        found = in_keys(positions, keys, ["record"])
+    else:
+        found = in_keys(positions, structure_keys(asked_for, mode), ["white", "black"])
+    return found if having is None else found.join(having.select(F.col("position_id").alias("id")), "id", "left_semi")

@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, order: list[Column | str], after: Column | int = 0, name: str = "id", buckets: int = 1024) -> DataFrame:
+#: Rows of a bucket of numbered() aimed at.
+BUCKET_ROWS = 100_000
+
+
+def numbered(df: DataFrame, order: list[Column | str], after: Column | int = 0, name: str = "id", buckets: int | None = None) -> DataFrame:
     """Consecutive ids in the order of a hash of the order columns and then of these, from after + 1: the same rows get
     the same ids, however they are partitioned. Counts per bucket give each bucket its first id, so that no task
-    orders everything."""
+    orders everything; there are as many buckets as the rows need."""
+    buckets = buckets or 1 << max(0, (df.count() // BUCKET_ROWS).bit_length())
     held = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sums = held.groupBy("_bucket").agg(F.count("*").alias("_n"))
     w = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -80,6 +85,33 @@ def orphans(parents: DataFrame, first: DataFrame, second: DataFrame, on: str) ->
     return parents.join(first, on, "left_anti").join(second, on, "left_anti")
 
 
+def expired(rows: DataFrame, key: str, now: Column, limit: int = 1_000) -> DataFrame:
+    """Keys of the rows that a sweep takes: the first to expire, up to now, and no more than limit."""
+    return rows.where(F.col("expires_at") <= now).orderBy("expires_at", key).limit(limit).select(key)
+
+
+def associated(existing: DataFrame, parents: DataFrame, new: DataFrame, parent: str, child: str) -> DataFrame:
+    """existing(parent, child) with each new pair whose parent is there; a pair that is there already changes nothing."""
+    fresh = new.select(parent, child).distinct().join(parents.select(parent), parent, "left_semi").join(existing, [parent, child], "left_anti")
+    return existing.select(parent, child).unionByName(fresh)
+
+
+def cached(rows: DataFrame, cache: DataFrame, on: list[str]) -> DataFrame:
+    """rows with what a cache (one row for each key) knows of them, and cached: whether it knows them."""
+    return rows.join(cache.withColumn("cached", F.lit(True)), on, "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+
+
+def inserted(existing: DataFrame, incoming: DataFrame, key: str, order: list[str], fault: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows to add, errors) of incoming: an error is fault where that is not null, else duplicate_in_batch for all but the
+    first of a key in order, else already_exists. Errors carry all columns of incoming and error."""
+    valid = F.col("_fault").isNull()
+    first = F.row_number().over(Window.partitionBy(key, valid).orderBy(*order))
+    marks = existing.select(key).distinct().withColumn("_there", F.lit(True))
+    held = incoming.withColumn("_fault", fault.cast("string")).withColumn("_n", first).join(marks, key, "left")
+    held = held.withColumn("error", F.coalesce("_fault", F.when(F.col("_n") > 1, "duplicate_in_batch").when(F.col("_there"), "already_exists")))
+    return held.where("error IS NULL").select(*incoming.columns), held.where("error IS NOT NULL").select(*incoming.columns, "error")
+
+
 def revisions(updates: DataFrame) -> DataFrame:
     """Folds updates(key, seq, expected, value) in order of seq: one counts if it expects the revision that those before
     it made, from 0. key, revision and the last value that counted.

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import boards
+
 #: 48 bits on ranks 2 to 7, about a quarter set; no product passes 63 bits.
 P48 = 1 << 48
 
@@ -84,3 +86,49 @@ SERIES = "series AS (SELECT user_id AS game, value * 4 - 200 AS cp, row_number()
 WIN = "CASE WHEN cp IS NULL THEN 50.0 ELSE 50 + 50 * (2 / (1 + exp(-0.00368208 * greatest(least(cp, 1000), -1000))) - 1) END"
 MATCHES = "matches AS (SELECT p.id AS position_id, o.id AS occurrence_id, o.game_id, o.ply, r.id AS record_id, r.result, r.date, r.white, r.black, r.event, r.white_elo, p.white AS white_pawns, p.black AS black_pawns FROM positions p JOIN occurrences o ON o.position_id = p.id JOIN records r ON r.game_id = o.game_id)"
 STAR = f"{POSITIONS}, {OCCURRENCES}, {RECORDS}, {MATCHES}"
+
+
+# Whole positions for the modes of a search: kings, rooks and pawns of a structure by size, as it is, with an edit, or turned.
+_SIZE_BLACK = f"({mask('CAST((p_size + 61) AS BIGINT)', 88_172_645_463, 65_536_987_631)} & ~{WHITE})"
+_LOW, _HALF, _FILE_H = "(w0 & (-w0))", 1 << 48, sum(1 << s for s in range(7, 64, 8) if s < 63)
+_AHEAD, _ASIDE = f"(({_LOW} % {_HALF}) * 256)", f"(({_LOW} % {_HALF}) * 512)"
+EDITED = f"""CASE WHEN v = 3 THEN w0 & ~{_LOW}
+    WHEN v IN (5, 7) AND {_LOW} < {_HALF} AND ((w0 | b0) & {_AHEAD}) = 0 THEN (w0 & ~{_LOW}) | {_AHEAD}
+    WHEN v = 6 AND {_LOW} < {_HALF} AND ({_LOW} & {_FILE_H}) = 0 AND ((w0 | b0) & {_ASIDE}) = 0 THEN (w0 & ~{_LOW}) | {_ASIDE} ELSE w0 END"""
+#: The size whose structure is asked for.
+ASKED_SIZE = 2
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """rows(id, p_size) as positions with masks."""
+    held = rows.selectExpr("id", "p_size", "CAST(id % 8 AS INT) AS v", f"{WHITE} AS w0", f"{_SIZE_BLACK} AS b0")
+    held = held.selectExpr("id", "v", f"{EDITED} AS wp", "b0 AS bp", "IF(p_size % 2 = 0, 1L, 0L) AS wr", "IF(p_size % 2 = 0, shiftleft(1L, 56), 0L) AS br", "shiftleft(1L, 4) AS wk", "shiftleft(1L, 60) AS bk")
+    none = {m: F.lit(0).cast("long") for m in ("wn", "wb", "wq", "bn", "bb", "bq")}
+    return held.withColumns(none | {"side": F.lit("w"), "castling": F.lit(0), "ep": F.lit(None).cast("int")})
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.select("id", *boards.MASKS, "side", "castling", "ep", F.col("wp").alias("white"), F.col("bp").alias("black"), boards.record().alias("record"))
+
+
+def whole_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _whole(table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_size"))
+    forms = [held.where("v NOT IN (1, 2, 7)"), boards.color_swapped(held.where("v IN (1, 7)")), boards.file_reflected(held.where("v = 2"))]
+    return _named(forms[0].unionByName(forms[1]).unionByName(forms[2]))
+
+
+def asked_position(spark: SparkSession) -> DataFrame:
+    return _named(_whole(spark.range(1).selectExpr("id", f"{ASKED_SIZE} AS p_size")))
+
+
+def flip(form: int, m: str) -> str:
+    """DuckDB's mask with each square s at s xor form: 56 flips ranks, 7 files."""
+    return f"CAST(coalesce(list_sum(list_transform(list_filter(range(8, 56), s -> (({m} >> s) & 1) = 1), s -> 1::BIGINT << xor(s, {form}))), 0) AS BIGINT)"
+
+
+WHOLE = f"""w1 AS (SELECT p_partkey AS id, p_size, p_partkey % 8 AS v, {WHITE} AS w0, {_SIZE_BLACK} AS b0 FROM part),
+    w2 AS (SELECT id, p_size, v, {EDITED} AS ew, b0 AS eb FROM w1),
+    w3 AS (SELECT id, p_size, v, CASE WHEN v IN (1, 7) THEN {flip(56, 'eb')} WHEN v = 2 THEN {flip(7, 'ew')} ELSE ew END AS white, CASE WHEN v IN (1, 7) THEN {flip(56, 'ew')} WHEN v = 2 THEN {flip(7, 'eb')} ELSE eb END AS black FROM w2),
+    whole AS (SELECT id, white, black, v, list_aggregate(list_transform(range(64), s -> CASE WHEN ((white >> s) & 1) = 1 THEN '01' WHEN ((black >> s) & 1) = 1 THEN '07' WHEN s = CASE WHEN v = 2 THEN 3 ELSE 4 END THEN '06' WHEN s = CASE WHEN v = 2 THEN 59 ELSE 60 END THEN '0C'
+        WHEN p_size % 2 = 0 AND s = CASE WHEN v = 2 THEN 7 ELSE 0 END THEN '04' WHEN p_size % 2 = 0 AND s = CASE WHEN v = 2 THEN 63 ELSE 56 END THEN '0A' ELSE '00' END), 'string_agg', '') || CASE WHEN v IN (1, 7) THEN '01' ELSE '00' END || '00FF' AS record FROM w3)"""
+ASKED = f"asked AS (SELECT {WHITE.replace('p_size', str(ASKED_SIZE))} AS white, {_SIZE_BLACK.replace('p_size', str(ASKED_SIZE))} AS black)"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, boards, features, pawns, similarity
-from ..operators import analysis, moves, replay, search, store
+from ..operators import analysis, moves, search, store
 from . import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -605,9 +605,5 @@ def feature_similarity(spark, d):
     return similarity.similarity(_fens(spark), "id")
 
 
-@query()
-def pgn_replay(spark, d):
-    """A game for each order: its lines in order pick one of four known openings' moves, so that many games are alike."""
-    lines = F.array(*[F.array(*[F.lit(m) for m in line.split()]) for line in ("e4 e5 Nf3 Nc6 Bb5 a6 Ba4 Nf6 O-O Be7", "d4 d5 c4 e6 Nc3 Nf6 Bg5 Be7 e3 O-O", "e4 c5 Nf3 d6 d4 cxd4 Nxd4 Nf6 Nc3 a6", "c4 e5 Nc3 Nf6 g3 d5 cxd5 Nxd5 Bg2 Nb6")])
-    games = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.slice(F.element_at(lines, (F.pmod("o_orderkey", F.lit(4)) + 1).cast("int")), 1, (F.pmod("o_custkey", F.lit(9)) + 2).cast("int")).alias("moves"))
-    return replay.positions(replay.played(games, "id"), "id")
+# More queries register themselves.
+from . import games, searches  # noqa: E402, F401

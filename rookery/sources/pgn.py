@@ -7,7 +7,7 @@ move text is looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OPENING = "[Event "
@@ -26,6 +26,35 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file"), text.alias("pgn")).where("trim(pgn) <> ''")
 
 
+def placed(spark: SparkSession, path: str) -> DataFrame:
+    """read() with the place of each game: block (where its part of the file begins) and row (ascending within it)."""
+    rows = spark.read.option("lineSep", "\n" + OPENING).text(path)
+    text = F.when(F.startswith("value", F.lit("[")), F.col("value")).otherwise(F.concat(F.lit(OPENING), F.col("value")))
+    held = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), text.alias("pgn"))
+    return held.where("trim(pgn) <> ''")
+
+
+def sliced(games: DataFrame, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """Games of placed() in file order after the first skip, at most limit of them, with number (from 1 over all files): where an
+    import that stopped at a number goes on. Counts for each part of a file give its first number."""
+    if skip < 0 or (limit is not None and limit < 0):
+        raise ValueError("invalid_limit")
+    upto = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of a file
+    before = games.groupBy("file", "block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("row"))
+    held = games.withColumn("_own", own).join(before, ["file", "block"]).withColumn("number", F.col("_before") + F.col("_own")).drop("_before", "_own")
+    held = held.where(F.col("number") > skip)
+    return held if limit is None else held.where(F.col("number") <= skip + limit)
+
+
+def counters(games: DataFrame, rating: int | None = None, allow_bullet: bool = False) -> DataFrame:
+    """One row over the games of read(): read, filtered (by their headers), and of the rest malformed and imported."""
+    held = framed(games.withColumn("headers", headers(F.col("pgn"))))
+    passed = held.where(_passes(rating, allow_bullet))
+    counts = passed.agg(F.count("*").alias("passed"), F.count("error").alias("malformed"))
+    return games.agg(F.count("*").alias("read")).join(counts, F.lit(True)).select("read", (F.col("read") - F.col("passed")).alias("filtered"), "malformed", (F.col("passed") - F.col("malformed")).alias("imported"))
+
+
 def headers(pgn: Column) -> Column:
     """Tags as a map with keys in snake_case; backslashes escape, the last of equal tags counts."""
     head = F.regexp_extract(pgn, r'^\s*((?:\[[^\n]*\]\s*\n?)*)', 1)
@@ -69,7 +98,8 @@ SAN = r"^(?:O-O(?:-O)?|([KQRBN])?([a-h])?([1-8])?(x)?([a-h][1-8])(?:=([QRBN]))?)
 def framed(games: DataFrame) -> DataFrame:
     """Adds headers, moves (array), result and error: null, or why the row is no single game. Malformed rows stay, for the
     caller to count or refuse."""
-    held = games.withColumn("headers", headers(F.col("pgn"))).withColumn("text", movetext(F.col("pgn"))).withColumn("moves", tokens(F.col("text")))
+    held = games if "headers" in games.columns else games.withColumn("headers", headers(F.col("pgn")))
+    held = held.withColumn("text", movetext(F.col("pgn"))).withColumn("moves", tokens(F.col("text")))
     bare = stripped(F.col("text"))
     error = (
         F.when(F.octet_length("pgn") > MOST_BYTES, "too_long")
@@ -84,16 +114,24 @@ def framed(games: DataFrame) -> DataFrame:
     return held.withColumn("result", F.coalesce(F.try_element_at("headers", F.lit("result")), F.lit("*"))).withColumn("error", error).drop("text")
 
 
-def kept(games: DataFrame, rating: int | None = None, allow_bullet: bool = False) -> DataFrame:
-    """Rows whose headers pass: both ratings are there and high enough, and the game is no bullet."""
+def _passes(rating: int | None, allow_bullet: bool) -> Column:
     tag = lambda k: F.try_element_at("headers", F.lit(k))
+    terms = F.lit(True)
     if rating is not None:
         for side in ("white_elo", "black_elo"):
-            games = games.where(F.coalesce(F.when(tag(side).rlike("^[0-9]+$"), tag(side)).try_cast("int") >= rating, F.lit(False)))
+            terms &= F.coalesce(F.when(tag(side).rlike("^[0-9]+$"), tag(side)).try_cast("int") >= rating, F.lit(False))
     if not allow_bullet:
         seconds = F.regexp_extract(F.coalesce(tag("time_control"), F.lit("")), r"^(\d+)", 1).try_cast("int")
-        games = games.where(~F.coalesce(F.contains(tag("event"), F.lit("Bullet")), F.lit(False)) & ~F.coalesce(seconds < BULLET_SECONDS, F.lit(False)))
-    return games
+        terms &= ~F.coalesce(F.contains(tag("event"), F.lit("Bullet")), F.lit(False)) & ~F.coalesce(seconds < BULLET_SECONDS, F.lit(False))
+    return terms
+
+
+def kept(games: DataFrame, rating: int | None = None, allow_bullet: bool = False) -> DataFrame:
+    """Rows whose headers pass: both ratings are there and high enough, and the game is no bullet. Games without the column
+    headers get it first; framed() then takes it over, so that only moves of games that pass are looked at."""
+    if "headers" not in games.columns:
+        games = games.withColumn("headers", headers(F.col("pgn")))
+    return games.where(_passes(rating, allow_bullet))
 
 
 def with_provenance(games: DataFrame, source: str, detail: str | None = None) -> DataFrame:

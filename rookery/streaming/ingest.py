@@ -15,21 +15,38 @@ def stream(spark: SparkSession, path: str, rating: int | None = None, max_files:
     rows = spark.readStream.option("lineSep", "\n" + pgn.OPENING).option("maxFilesPerTrigger", max_files).text(path)
     text = F.when(F.startswith("value", F.lit("[")), F.col("value")).otherwise(F.concat(F.lit(pgn.OPENING), F.col("value")))
     games = rows.select(F.col("_metadata.file_path").alias("file"), text.alias("pgn")).where("trim(pgn) <> ''")
-    framed = pgn.kept(pgn.framed(games), rating)
+    framed = pgn.framed(pgn.kept(games, rating))
     return framed.select(F.sha2(F.trim("pgn"), 256).alias("record_id"), "headers", "moves", "result", "error", "file")
 
 
 def append_new(batch: DataFrame, target: str) -> None:
-    """Adds the records of a batch that target lacks, so that a batch that runs again changes nothing."""
-    spark = batch.sparkSession
-    fresh = batch.where("error IS NULL").drop("error").dropDuplicates(["record_id"])
-    try:
-        held = spark.read.parquet(target).select("record_id")
-        fresh = fresh.join(held, "record_id", "left_anti")
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    fresh.write.mode("append").parquet(target)
+    """Adds the records of a batch that target lacks, so that a batch that runs again changes nothing, and its malformed games
+    to rejected(target) in the same way. Of target only the ids that begin like some of the batch are read."""
+    for rows, to in ((batch.where("error IS NULL").drop("error"), target), (batch.where("error IS NOT NULL"), rejected(target))):
+        fresh = rows.dropDuplicates(["record_id"]).withColumn("part", F.concat(F.lit("p"), F.substring("record_id", 1, 2)))  # never read as a number
+        if exists(batch.sparkSession, to):
+            held = batch.sparkSession.read.parquet(to).select("part", "record_id")
+            fresh = fresh.join(held, ["part", "record_id"], "left_anti")
+        fresh.write.mode("append").partitionBy("part").parquet(to)
+
+
+def rejected(target: str) -> str:
+    """Where malformed games of a target go."""
+    return f"{target.rstrip('/')}-rejected"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(folder) and any(s.isDirectory() for s in files.listStatus(folder))
+
+
+def counters(spark: SparkSession, target: str) -> DataFrame:
+    """outcome (imported, or why games were rejected) and games."""
+    none = spark.createDataFrame([], "outcome string")
+    held = spark.read.parquet(target).select(F.lit("imported").alias("outcome")) if exists(spark, target) else none
+    bad = spark.read.parquet(rejected(target)).select(F.col("error").alias("outcome")) if exists(spark, rejected(target)) else none
+    return held.unionByName(bad).groupBy("outcome").agg(F.count("*").alias("games"))
 
 
 def ingest(spark: SparkSession, path: str, target: str, checkpoint: str, rating: int | None = None) -> StreamingQuery:

@@ -14,7 +14,7 @@ def test_query_and_sql_agree(spark, name):
 
 
 def test_every_other_query_is_known():
-    assert SHOWN == {"feature_vectors", "feature_compare", "digest_atoms", "feature_tactics", "feature_evaluation", "feature_similarity", "perft", "legal_moves", "position_records", "pgn_replay"}
+    assert SHOWN == {"feature_vectors", "feature_compare", "digest_atoms", "feature_tactics", "feature_evaluation", "feature_similarity", "perft", "legal_moves", "position_records"}
 
 
 def test_replay_query_has_a_row_for_each_ply(spark):
