@@ -132,32 +132,32 @@ def _neighbours_sql(moves: str, removal: bool = False) -> str:
         if removal:
             gone = f"({own} & ~(1::BIGINT << s))"
             kinds = [k for k in kinds if "mv" not in k] + [f"SELECT {gone + ' AS white, black' if own == 'white' else 'white, ' + gone + ' AS black'} FROM keys, sq WHERE (({own} >> s) & 1) = 1"]
-    return f"""WITH {b.POSITIONS}, keys AS (SELECT DISTINCT white, black FROM positions WHERE id % 50 = 0), sq AS (SELECT unnest(range(8, 56)) AS s),
+    return f"""WITH {b.POSITIONS}, keys AS (SELECT DISTINCT white, black FROM positions), sq AS (SELECT unnest(range(8, 56)) AS s),
     mv AS (SELECT a.s, c.s AS t FROM sq a, sq c) SELECT DISTINCT white, black FROM ({' UNION ALL '.join(kinds)})"""
 
 
-def _some_keys(spark, d):
-    return b.positions(spark, d).where("id % 50 = 0").select("white", "black").distinct()
+def _all_keys(spark, d):
+    return b.positions(spark, d).select("white", "black").distinct()
 
 
 @query(_neighbours_sql("t - s = 8 * {up}"))
 def neighbours_single_push(spark, d):
-    return pawns.neighbours(_some_keys(spark, d), pushes=True)
+    return pawns.neighbours(_all_keys(spark, d), pushes=True)
 
 
 @query(_neighbours_sql("abs(t - s) = 8"))
 def neighbours_single_rank(spark, d):
-    return pawns.neighbours(_some_keys(spark, d), ranks=True)
+    return pawns.neighbours(_all_keys(spark, d), ranks=True)
 
 
 @query(_neighbours_sql("abs(t // 8 - s // 8) = 1 AND abs(t % 8 - s % 8) = 1"))
 def neighbours_capture_like(spark, d):
-    return pawns.neighbours(_some_keys(spark, d), captures=True)
+    return pawns.neighbours(_all_keys(spark, d), captures=True)
 
 
 @query(_neighbours_sql("true", removal=True))
 def neighbours_missing_pawn(spark, d):
-    return pawns.neighbours(_some_keys(spark, d), removals=True)
+    return pawns.neighbours(_all_keys(spark, d), removals=True)
 
 
 @query(f"""WITH {b.POSITIONS}, x AS (SELECT p.id, p.white & ~q.white AS rw, p.black & ~q.black AS rb, q.white & ~p.white AS aw, q.black & ~p.black AS ab FROM positions p JOIN positions q ON q.id = p.id + 1),
@@ -303,9 +303,9 @@ def corpus_size(spark, d):
     return b.records(spark, d).agg(F.count("*").alias("records"))
 
 
-@query(f"WITH {b.STAR} SELECT {_KEYS} FROM matches WHERE position_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY position_id, occurrence_id) = 1")
+@query(f"WITH {b.STAR} SELECT {_KEYS} FROM matches QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY position_id, occurrence_id) = 1")
 def page_dedup_records(spark, d):
-    return search.one_row_per_record(_found(spark, d).where("position_id % 10 = 0")).select(*KEYS)
+    return search.one_row_per_record(_found(spark, d)).select(*KEYS)
 
 
 # Record predicates.
@@ -365,15 +365,15 @@ def opening_book(spark, d):
     return analysis.opening_book(b.occurrences(spark, d), b.records(spark, d))
 
 
-@query(f"WITH {b.OCCURRENCES} SELECT o.id, p_brand AS eco, p_type AS name FROM occurrences o JOIN part ON p_partkey = position_id WHERE p_partkey % 5 = 0")
+@query(f"WITH {b.OCCURRENCES} SELECT o.id, p_brand AS eco, p_type AS name FROM occurrences o JOIN part ON p_partkey = position_id")
 def classify_exact(spark, d):
-    named = b.table(spark, d, "part").where("p_partkey % 5 = 0").selectExpr("p_partkey AS position_id", "p_brand AS eco", "p_type AS name")
+    named = b.table(spark, d, "part").selectExpr("p_partkey AS position_id", "p_brand AS eco", "p_type AS name")
     return b.occurrences(spark, d).join(named, "position_id").select("id", "eco", "name")
 
 
-@query(f"WITH {b.OCCURRENCES} SELECT game_id, p_brand AS eco, p_type AS name, ply FROM occurrences o JOIN part ON p_partkey = position_id WHERE p_partkey % 5 = 0 QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY ply DESC) = 1")
+@query(f"WITH {b.OCCURRENCES} SELECT game_id, p_brand AS eco, p_type AS name, ply FROM occurrences o JOIN part ON p_partkey = position_id QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY ply DESC) = 1")
 def classify_deepest(spark, d):
-    named = b.table(spark, d, "part").where("p_partkey % 5 = 0").selectExpr("p_partkey AS position_id", "p_brand AS eco", "p_type AS name")
+    named = b.table(spark, d, "part").selectExpr("p_partkey AS position_id", "p_brand AS eco", "p_type AS name")
     return analysis.deepest_opening(b.occurrences(spark, d), named)
 
 
@@ -382,10 +382,10 @@ def eval_deepest_wins(spark, d):
     return store.upsert(b.evaluations(spark, d), ["position_id", "engine"], ["depth", "seq"])
 
 
-@query(f"WITH {b.EVALUATIONS} SELECT position_id, engine, depth, seq, eval_cp FROM evaluations WHERE position_id % 3 = 1 AND engine = 'click' QUALIFY row_number() OVER (PARTITION BY position_id, engine ORDER BY depth DESC, seq DESC) = 1")
+@query(f"WITH {b.EVALUATIONS} SELECT position_id, engine, depth, seq, eval_cp FROM evaluations WHERE position_id IN (SELECT c_custkey FROM customer) AND engine = 'click' QUALIFY row_number() OVER (PARTITION BY position_id, engine ORDER BY depth DESC, seq DESC) = 1")
 def eval_get_many(spark, d):
     held = store.upsert(b.evaluations(spark, d), ["position_id", "engine"], ["depth", "seq"])
-    wanted = b.evaluations(spark, d).where("position_id % 3 = 1").select("position_id").distinct()
+    wanted = b.table(spark, d, "customer").selectExpr("c_custkey AS position_id")
     return held.where("engine = 'click'").join(wanted, "position_id", "left_semi")
 
 
