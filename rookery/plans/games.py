@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import boards, features
+from ..functions import boards, features, similarity
 from ..operators import corpus, moves, replay
 from ..sources import pgn
 from . import bindings as b
@@ -73,15 +73,20 @@ def import_resume(spark, d):
     return pgn.sliced(placed, 1_200, 7_500).select("id", "number")
 
 
+def _move_lists(spark: SparkSession, d: str) -> DataFrame:
+    """id and moves of a game for each order."""
+    lines = F.array(*[F.array(*[F.lit(m) for m in line.split()]) for line in LINES])
+    held = b.table(spark, d, "orders").selectExpr("o_orderkey AS id", f"{_PLIES} AS plies")
+    return held.select("id", F.slice(F.element_at(lines, (F.col("id") % 4 + 1).cast("int")), 1, F.col("plies")).alias("moves"))
+
+
 _LINE_SQL = "[" + ", ".join("[" + ", ".join(f"'{m}'" for m in line.split()) + "]" for line in LINES) + "]"
 
 
 @query(f"WITH g AS (SELECT o_orderkey AS id, {_LINE_SQL}[o_orderkey % 4 + 1][1:{_PLIES}] AS moves FROM orders) SELECT id, ply, CASE WHEN ply < len(moves) THEN moves[ply + 1] END AS move FROM (SELECT id, moves, unnest(range(len(moves) + 1)) AS ply FROM g)")
 def pgn_replay(spark, d):
     """A game for each order: every ply with its move in canonical notation. Known lines, so that many games are alike."""
-    lines = F.array(*[F.array(*[F.lit(m) for m in line.split()]) for line in LINES])
-    held = b.table(spark, d, "orders").selectExpr("o_orderkey AS id", f"{_PLIES} AS plies").select("id", F.slice(F.element_at(lines, (F.col("id") % 4 + 1).cast("int")), 1, F.col("plies")).alias("moves"))
-    played = replay.positions(replay.played(held, "id"), "id")
+    played = replay.positions(replay.played(_move_lists(spark, d), "id"), "id")
     return played.where(F.octet_length("record") == 67).select("id", "ply", "move")
 
 
@@ -154,3 +159,71 @@ def feature_pawns(spark, d):
 def positions_validated(spark, d):
     """What makes positions impossible: here only too many men, and whatever else validated() would find first is none."""
     return moves.validated(b.whole_positions(spark, d)).select("id", "fault").where("fault = 'promotions'")
+
+
+# Positions of all games and parts. No SQL of the other engine says the same; tests hold the operators against published values.
+
+
+def _boards(spark: SparkSession, d: str) -> DataFrame:
+    """Each position of the parts and of the orders' games once, by the hexadecimal text of its record. Equal games are played
+    once."""
+    lists = _move_lists(spark, d).select("moves").distinct().withColumn("game", F.array_join("moves", " "))
+    played = replay.positions(replay.played(lists, "game"), "game").select("record")
+    records = played.unionAll(b.whole_positions(spark, d).select("record")).distinct()
+    return boards.from_record(records).withColumn("id", F.hex("record"))
+
+
+@query()
+def feature_vectors(spark, d):
+    return features.extract(_boards(spark, d), "id", ["material", "pawns", "king"])
+
+
+@query()
+def feature_activity(spark, d):
+    return features.extract(_boards(spark, d), "id", ["attacks", "mobility", "quality", "space", "state"])
+
+
+@query()
+def feature_motifs(spark, d):
+    return features.extract(_boards(spark, d), "id", ["motifs", "tension"])
+
+
+@query()
+def feature_tactics(spark, d):
+    return features.extract(_boards(spark, d), "id", ["tactics", "threats", "lines"])
+
+
+@query()
+def feature_evaluation(spark, d):
+    return features.extract(_boards(spark, d), "id", ["initiative", "evaluation", "position"])
+
+
+@query()
+def feature_compare(spark, d):
+    first = features.extract(_boards(spark, d), "id", ["pawns", "center"])
+    return features.compared(first, "id", features.extract(boards.color_swapped(_boards(spark, d)), "id", ["pawns", "center"]))
+
+
+@query()
+def digest_atoms(spark, d):
+    return features.atoms(features.extract(_boards(spark, d), "id", ["goals", "squares", "placement"]), "id")
+
+
+@query()
+def feature_similarity(spark, d):
+    return similarity.similarity(_boards(spark, d), "id")
+
+
+@query()
+def perft(spark, d):
+    return moves.perft(_boards(spark, d), "id", 2)
+
+
+@query()
+def legal_moves(spark, d):
+    return moves.legal(_boards(spark, d)).select("id", "uci", "castling", "ep")
+
+
+@query()
+def position_records(spark, d):
+    return _boards(spark, d).select("id", boards.record().alias("record"), boards.to_fen().alias("fen4"), boards.zobrist().alias("hash"))

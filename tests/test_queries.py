@@ -14,10 +14,22 @@ def test_query_and_sql_agree(spark, name):
 
 
 def test_every_other_query_is_known():
-    assert SHOWN == {"feature_vectors", "feature_compare", "digest_atoms", "feature_tactics", "feature_evaluation", "feature_similarity", "perft", "legal_moves", "position_records"}
+    assert SHOWN == {"feature_vectors", "feature_activity", "feature_motifs", "feature_compare", "digest_atoms", "feature_tactics", "feature_evaluation", "feature_similarity", "perft", "legal_moves", "position_records"}
 
 
 def test_replay_query_has_a_row_for_each_ply(spark):
     rows = queries.QUERIES["pgn_replay"](spark, SMALL)
     orders = spark.read.parquet(f"{SMALL}/orders.parquet")
     assert rows.where("move IS NULL").count() == orders.count() and rows.groupBy("id", "ply").count().where("count > 1").count() == 0
+
+
+@pytest.mark.parametrize("name", ["feature_vectors", "legal_moves"])
+def test_positions_of_the_tables_all_have_rows(spark, name):
+    """Features for every position once; moves for none that isn't there."""
+    every = {r[0] for r in queries.QUERIES["position_records"](spark, SMALL).select("id").collect()}
+    got = [r[0] for r in queries.QUERIES[name](spark, SMALL).select("id").collect()]
+    assert len(every) > 100 and (set(got) <= every if name == "legal_moves" else sorted(got) == sorted(every))
+
+
+def test_records_survive_their_masks(spark):
+    assert queries.QUERIES["position_records"](spark, SMALL).where("id <> hex(record)").isEmpty()
