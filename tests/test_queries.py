@@ -32,4 +32,5 @@ def test_positions_of_the_tables_all_have_rows(spark, name):
 
 
 def test_records_survive_their_masks(spark):
-    assert queries.QUERIES["position_records"](spark, SMALL).where("id <> hex(record)").isEmpty()
+    rows = queries.QUERIES["position_records"](spark, SMALL).select("id", "record").collect()
+    assert rows and all(r["id"] == bytes(r["record"]).hex().upper() for r in rows)
