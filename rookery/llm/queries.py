@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, licenses, media, mixing, neardup, sharding, substring, suffixes, toxicity
+from . import bpe, jaccard, lexical, licenses, media, mixing, nearest, neardup, sharding, substring, suffixes, toxicity, whitening
 from ._common import table
 
 
@@ -55,6 +55,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffixes": op1_suffixes,
     "op2_toxicity": op2_toxicity,
@@ -66,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_lexical": op11_lexical,
+    "op12_whitening": op12_whitening,
+    "op13_nearest": op13_nearest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_licenses": licenses.SCAN_SQL, "op10_mixing": mixing.MIX_SQL.format(docs="documents")}
+ORACLE_SQL: dict[str, str] = {"op8_licenses": licenses.SCAN_SQL, "op10_mixing": mixing.MIX_SQL.format(docs="documents"), "op11_lexical": lexical.SEARCH_SQL.format(docs="documents", items="benchmark")}

@@ -17,7 +17,13 @@ COLUMNS = {
     "op8": {"doc_id": "bigint"},
     "op9": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
     "op10": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op11": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+    "op12": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
+    "op13": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
 }
+#: Rows of those that don't give one for each row of their table, on the smallest tables: at most 50 documents for each of 40 items,
+#: 8 components of 500 vectors, 5 neighbours of 10 queries.
+ROWS = {"op11_lexical": 1_966, "op12_whitening": 4_000, "op13_nearest": 50}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -26,7 +32,7 @@ def test_columns_and_rows(spark, name):
     found = dict(df.dtypes)
     assert {c: found.get(c) for c in COLUMNS[name.split("_")[0]]} == COLUMNS[name.split("_")[0]]
     table = "embeddings" if name == "op3_neardup" else "documents"
-    assert df.count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
+    assert df.count() == ROWS.get(name, spark.read.parquet(f"{SMALL}/{table}.parquet").count())
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
