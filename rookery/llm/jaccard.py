@@ -6,7 +6,8 @@ quarter. Rare tokens of a prefix are indexed singly. If all that two sets share
 frequent, they share two frequent tokens next to each other in both orders, early
 on; so from an extended prefix of frequent tokens the pairs of neighbours are
 indexed, and single frequent tokens never are. Each index key gathers around one
-set, its hub; the sets around a hub are verified there, exactly.
+set, its hub; the sets around a hub are verified there, whole, by two independent
+64-bit hashes of each token.
 
 Around a hub with many sets each is held against the hub first. Jaccard distance is
 a metric, so two sets can link only if their distances to the hub differ by no more
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._batches import ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, named_as, pack, restored, restored_schema, rows_of, with_answers
+from ._batches import ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, distinct, named_as, pack, restored, restored_schema, rows_of, with_answers
 from ._common import beside, cut, mixed
 from ._components import components
 
@@ -39,41 +40,43 @@ FREQUENT = 8
 BLOCK = 1024
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each text, by text and then by hash, and where each text's begin. A text with fewer
-    words is one shingle, one without words has none."""
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, by text and then by hash, a second hash of each, and where each text's begin. A text
+    with fewer words is one shingle, one without words has none."""
     data = _words.LOWER[data]
     begin, end, first = _words.spans(data, offsets)
-    word = _words.hashes(data, begin, end)
     at = _words.starts(first, k)
-    hashed = _words.windows(word, k)[at] if len(at) else np.zeros(0, np.uint64)
     doc = np.searchsorted(first, at, "right") - 1
     count = np.diff(first)
-    for d in np.flatnonzero((count > 0) & (count < k)):
-        own = _words.windows(word[first[d] : first[d + 1]], int(count[d])) ^ np.uint64(int(count[d]) * 0x9E3779B97F4A7C15 % (1 << 64))
-        doc, hashed = np.append(doc, d), np.append(hashed, own)
-    order = np.lexsort((hashed, doc))
-    doc, hashed = doc[order], hashed[order]
+    short = np.flatnonzero((count > 0) & (count < k))
+    both = []
+    for seed in (0, 1):
+        word = _words.hashes(data, begin, end, seed)
+        own = [_words.windows(word[first[d] : first[d + 1]], int(count[d])) ^ np.uint64(int(count[d]) * 0x9E3779B97F4A7C15 % (1 << 64)) for d in short]
+        both.append(np.concatenate([_words.windows(word, k)[at] if len(at) else np.zeros(0, np.uint64), *own]))
+    doc = np.concatenate([doc, short])
+    order = np.lexsort((both[0], doc))
+    doc, hashed, second = doc[order], both[0][order], both[1][order]
     fresh = np.ones(len(doc), bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (hashed[1:] != hashed[:-1])
-    doc, hashed = doc[fresh], hashed[fresh]
-    return hashed, np.searchsorted(doc, np.arange(len(offsets))).astype(np.int64)
+    doc, hashed, second = doc[fresh], hashed[fresh], second[fresh]
+    return hashed, second, np.searchsorted(doc, np.arange(len(offsets))).astype(np.int64)
 
 
-def digests(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Two 64-bit sums for each set, equal for equal sets."""
+def digests(tokens: np.ndarray, second: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums for each set, of both hashes of its tokens, equal for equal sets."""
     out = np.zeros((len(first) - 1, 2), np.uint64)
     some = np.flatnonzero(np.diff(first))
     if len(some):
-        for i, x in enumerate((mixed(tokens), mixed(tokens ^ np.uint64(0xA5A5A5A5DEADBEEF)))):
+        for i, x in enumerate((mixed(tokens), mixed(second))):
             out[some, i] = np.add.reduceat(x, first[:-1][some])
     return out.view(np.int64)
 
 
 def sized(own: Batch) -> bytes:
     """Set sizes and digests of a batch's texts, for its column extra."""
-    tokens, first = shingles(own.data, own.offsets)
-    return np.column_stack([np.diff(first), digests(tokens, first)]).astype("<i8").tobytes()
+    tokens, second, first = shingles(own.data, own.offsets)
+    return np.column_stack([np.diff(first), digests(tokens, second, first)]).astype("<i8").tobytes()
 
 
 SETS = "doc_id long, batch long, place int, n_shingles long, d1 long, d2 long"
@@ -147,9 +150,10 @@ def keyed(own: Batch, representative: np.ndarray, kind: np.ndarray, tokens: np.n
         yield rows_of(INDEXED, texts)
 
 
-def tokens_of(blob: bytes) -> np.ndarray:
+def tokens_of(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of each token of a packed text."""
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8) if blob else np.zeros(0, np.uint8)
-    return shingles(data, np.array([0, len(data)], np.int64))[0]
+    return shingles(data, np.array([0, len(data)], np.int64))[:2]
 
 
 def links(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,8 +167,8 @@ def around(hub: int | None, docs: np.ndarray, n: np.ndarray, m: np.ndarray, side
     order = np.lexsort((docs, docs != hub)) if hub is not None else np.argsort(docs)
     docs, n, m, side = docs[order], n[order].astype(np.int64), m[order].astype(np.int64), side[order]
     sets = [tokens_of(blobs[i]) for i in order]
-    words, number = np.unique(np.concatenate(sets), return_inverse=True)
-    number = np.split(number, np.cumsum([len(s) for s in sets])[:-1])
+    words, number, _ = distinct(*(np.concatenate([s[i] for s in sets]) for i in (0, 1)))
+    number = np.split(number, np.cumsum([len(s[0]) for s in sets])[:-1])
     at = np.zeros(len(words), bool)
     label = np.arange(len(docs))
     edges = []
@@ -195,11 +199,13 @@ def ringed(table: pa.Table) -> pa.Table:
     """The ring around the hub (0: what links with it) and the class of size of each set of a block."""
     hub, docs, n = table.column("hub")[0].as_py(), table.column("doc").to_pylist(), table.column("n").to_pylist()
     blobs = table.column("blob").to_pylist()
-    center = tokens_of(blobs[docs.index(hub)])
+    center, center_second = tokens_of(blobs[docs.index(hub)])
     rows = []
     for doc, size, blob in zip(docs, n, blobs, strict=True):
         if doc != hub:
-            shared = len(np.intersect1d(center, tokens_of(blob), assume_unique=True))
+            tokens, second = tokens_of(blob)
+            _, mine, theirs = np.intersect1d(center, tokens, assume_unique=True, return_indices=True)
+            shared = int((center_second[mine] == second[theirs]).sum())
             union = len(center) + size - shared
             # a link is no farther apart than (UP - OF) / UP, which is the width of a ring
             ring = 0 if links(np.int64(shared), len(center), size) else max(1, -(-UP * (union - shared) // (union * (UP - OF))) - 1)
@@ -285,15 +291,15 @@ def _joined(packed: DataFrame, frequent: int, block: int) -> DataFrame:
     bits = min(64, max(32, int(total).bit_length() + 13))
     drop = 64 - bits
 
-    def distinct(tokens: np.ndarray, first: np.ndarray, representative: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def cut_hashes(tokens: np.ndarray, first: np.ndarray, representative: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The cut hashes of representatives' tokens, distinct, the number of each of them, and which tokens are theirs."""
         theirs = np.repeat(representative, np.diff(first))
         keys, group = np.unique(tokens[theirs] >> np.uint64(drop) << np.uint64(drop), return_inverse=True)
         return keys, group, theirs
 
     def send(own: Batch, got: list[list[dict]]) -> Iterator[pa.RecordBatch]:
-        tokens, first = shingles(own.data, own.offsets)
-        keys, group, _ = distinct(tokens, first, flagged(own, got[0]))
+        tokens, _, first = shingles(own.data, own.offsets)
+        keys, group, _ = cut_hashes(tokens, first, flagged(own, got[0]))
         yield ask(own.batch, keys, np.bincount(group, minlength=len(keys)), buckets, drop)
 
     asked = with_answers(packed, flags, send, ASKED)
@@ -301,9 +307,9 @@ def _joined(packed: DataFrame, frequent: int, block: int) -> DataFrame:
     known = frequency.unionByName(flags.select("batch", "places", F.lit(1).alias("kind")), allowMissingColumns=True)
 
     def index(own: Batch, got: list[list[dict]]) -> Iterator[pa.RecordBatch]:
-        tokens, first = shingles(own.data, own.offsets)
+        tokens, _, first = shingles(own.data, own.offsets)
         representative = flagged(own, got[1])
-        _, group, theirs = distinct(tokens, first, representative)
+        _, group, theirs = cut_hashes(tokens, first, representative)
         kind = np.zeros(len(tokens), np.int64)
         kind[theirs] = answered(got[0])[group].astype(np.int64)
         yield from keyed(own, representative, kind, tokens, first, frequent)

@@ -4,7 +4,8 @@ Blocks of ANCHOR words in a row, one after another in each text, are the
 reference; every rolling window of ANCHOR words probes them. A window of WINDOW
 words holds a whole block wherever it begins, so where no probe hits, nothing
 repeats. Windows around hits extend them to maximal repeats: each is looked up by
-128 bits of its content, the earliest stays, and words covered by a later one go.
+two independent 64-bit hashes of its bytes (texts stay with their batches, and are
+not compared byte by byte), the earliest stays, and words covered by a later one go.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from pyspark.sql import functions as F
 
 from . import _words
 from ._batches import ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, distinct, each, pack, rows_of, union_kinds, unpacked, with_answers
-from ._common import cut, mixed
+from ._common import cut
 
 WINDOW = 20
 #: Any WINDOW words in a row hold a whole block: 2 * ANCHOR - 1 is at most WINDOW.
 ANCHOR = 10
-#: Makes a second, independent hash of a window.
+#: The step of a window's second hash, which is made from second hashes of its words.
 OTHER = np.uint64(0xD1342543DE82EF95)
 REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans binary, kept binary"
 
@@ -40,6 +41,7 @@ class Probes:
     def __init__(self, own: Batch, bits: int):
         self.begin, self.end, self.first = _words.spans(own.data, own.offsets)
         self.word = _words.hashes(own.data, self.begin, self.end)
+        self.data = own.data
         self.drop = 64 - bits
         self.at = _words.starts(self.first, ANCHOR)
         hashed = _words.windows(self.word, ANCHOR)[self.at] if len(self.at) else np.zeros(0, np.uint64)
@@ -65,7 +67,7 @@ class Probes:
         at = self.near(hit)
         if not len(at):
             return at, np.zeros(0, np.uint64), np.zeros(0, np.uint64), at, at
-        keys, other = _words.windows(self.word, WINDOW)[at], _words.windows(mixed(self.word ^ OTHER), WINDOW, OTHER)[at]
+        keys, other = _words.windows(self.word, WINDOW)[at], _words.windows(_words.hashes(self.data, self.begin, self.end, 1), WINDOW, OTHER)[at]
         first, group, _ = distinct(keys, other)
         return at, keys[first], other[first], group, at[first]
 

@@ -76,3 +76,13 @@ def test_a_hub_with_many_sets_that_do_not_link(spark):
         rows.append((d, " ".join(own)))
     check(spark, rows, frequent=1, block=8)
     check(spark, rows, frequent=0, block=20)
+
+
+def test_words_that_polynomials_take_for_equal(spark):
+    rows = []
+    for i, n in enumerate((512, 1_024, 4_096)):
+        turn = [bin(j).count("1") % 2 for j in range(n)]
+        for k, letters in enumerate(("ab", "ba")):
+            word = "".join(letters[t] for t in turn)
+            rows += [(100 * i + k, f"{word} b{i} c d"), (100 * i + 10 + k, " ".join(f"{word} {i}{j}" for j in range(20)))]
+    check(spark, rows)

@@ -47,3 +47,37 @@ def test_empty_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = substring.remove(spark.createDataFrame([(None, text, "s", 1, 2, "w"), (7, text, "s", 1, 2, "w"), (7, text, None, 1, 2, "w")], SCHEMA)).collect()
     assert sorted((r["doc_id"] is None, r["n_removed"]) for r in rows) == [(False, 0), (False, 0), (True, 30)]
+
+
+def twins(n):
+    """Two words of n bytes that are the same under a polynomial modulo 2^64 with any odd base."""
+    turn = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[t] for t in turn), "".join("ba"[t] for t in turn)
+
+
+def test_words_that_polynomials_take_for_equal(spark):
+    rows = []
+    for i, n in enumerate((512, 1_024, 4_096)):
+        one, other = twins(n)
+        rest = [f"x{i}y{j}" for j in range(30)]
+        rows += [(10 * i, " ".join([*rest[:7], one, *rest[7:]])), (10 * i + 1, " ".join([*rest[:7], other, *rest[7:]]))]
+    # windows of two words in that order
+    turns = "".join("ab"[bin(i).count("1") % 2] for i in range(64))
+    rows += [(50, " ".join(turns)), (51, " ".join(turns.translate(str.maketrans("ab", "ba"))))]
+    df = spark.createDataFrame([(d, t, "s", 1, 2, "w") for d, t in rows], SCHEMA)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove(df).collect()} == brute(rows)
+
+
+def test_hashes_depend_on_all_bytes_and_their_places():
+    import numpy as np
+
+    from rookery.llm import _words
+
+    words = ["a", "b", "ab", "ba", "a" * 8, "a" * 9, "a" * 16, "a" * 17, "aaaaaaaabbbbbbbb", "bbbbbbbbaaaaaaaa", *twins(1_024), *twins(4_096)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    begin, end, _ = _words.spans(data, np.array([0, len(data)]))
+    first, second = (_words.hashes(data, begin, end, seed) for seed in (0, 1))
+    assert len({*first.tolist(), *second.tolist()}) == 2 * len(words)
+    for k in range(1, 23):
+        held = _words.windows(np.tile(first, 4), k)
+        assert len(held) == 4 * len(words) - k + 1 and (held[: len(words)] == held[len(words) : 2 * len(words)]).all() and len(set(held.tolist())) == len(words)
