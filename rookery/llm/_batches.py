@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -25,6 +25,8 @@ from ._common import blocks, cut, partitions, utf8
 
 #: Text in a batch; a longer document is a batch of its own.
 BATCH_BYTES = 2 << 20
+#: Packed text for each bucket, at most. Its distinct hashes and answers take some tens of times as much memory when open.
+BUCKET_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max
 ASKED = "bucket int, batch long, blob binary"
 ANSWERED = "batch long, bucket int, blob binary"
@@ -138,8 +140,14 @@ def rows_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
 
 
-def buckets_of(spark) -> int:
-    return max(64, 2 * partitions(spark))
+def held_bytes(packed: DataFrame) -> int:
+    """Bytes of the packed texts."""
+    return packed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def buckets_of(spark: SparkSession, size: int) -> int:
+    """Buckets for texts of so many packed bytes: what a bucket gets doesn't grow with them, whatever the session's partitions."""
+    return max(64, 2 * partitions(spark), -(-size // BUCKET_BYTES))
 
 
 def parts(keys: np.ndarray, buckets: int) -> np.ndarray:

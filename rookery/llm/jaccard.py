@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._batches import ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, distinct, named_as, pack, restored, restored_schema, rows_of, with_answers
+from ._batches import ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, distinct, held_bytes, named_as, pack, restored, restored_schema, rows_of, with_answers
 from ._common import beside, cut, mixed
 from ._components import components
 
@@ -277,7 +277,7 @@ def flagged(batch: Batch, rows: list[dict]) -> np.ndarray:
 
 
 def _joined(packed: DataFrame, frequent: int, block: int) -> DataFrame:
-    buckets = buckets_of(packed.sparkSession)
+    buckets = buckets_of(packed.sparkSession, held_bytes(packed))
     sets = sets_of(packed)
     same = ["d1", "d2", "n_shingles"]
     whole = (F.col("n_shingles") > 0) & (F.col("doc_id") != NO_ID)

@@ -16,10 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import _words
-from ._batches import ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, distinct, each, pack, rows_of, union_kinds, unpacked, with_answers
+from ._batches import ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, distinct, each, held_bytes, pack, rows_of, union_kinds, unpacked, with_answers
 from ._common import cut
 
 WINDOW = 20
@@ -99,11 +98,10 @@ def remove(docs: DataFrame, texts: bool = True) -> DataFrame:
     text are read.
     """
     spark = docs.sparkSession
-    buckets = buckets_of(spark)
     packed = pack(docs)
-    # an upper bound of the number of words, from the bytes held
-    words = packed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = kept_bits(words)
+    size = held_bytes(packed)
+    buckets = buckets_of(spark, size)
+    bits = kept_bits(size)  # of the order of the number of words
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each(batches):

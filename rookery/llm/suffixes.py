@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import ANSWERED, ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, distinct, each, folded, named_as, pack, restored, restored_schema, rows_of, squeezed, unpacked, with_answers
+from ._batches import ANSWERED, ASKED, NO_ID, Batch, answered, answers, ask, buckets_of, distinct, each, folded, held_bytes, named_as, pack, restored, restored_schema, rows_of, squeezed, unpacked, with_answers
 from ._common import cut, mixed
 
 LENGTH = 200
@@ -36,8 +36,10 @@ REACH = 64
 BASE = LENGTH - REACH + 1
 #: Suffixes merged as one group, at most.
 HOT = 1_024
-#: Groups up to so many suffixes are compared in pairs.
+#: Groups up to so many suffixes are compared in pairs; in larger ones a hash finds equal strings, whose bytes are then compared.
 FEW = 8
+#: Bits of the hash that tells places apart; two places of a string are taken for one with probability 2 ** (1 - STAND).
+STAND = 58
 BATCH = 1 << 20
 #: Suffixes of a batch that help to give the borders of the ranges, and for each range; borders only balance the work.
 SPLIT, PER_RANGE = 512, 8
@@ -86,15 +88,16 @@ class Samples:
         return np.unique(self.next >> np.uint64(drop) << np.uint64(drop), return_inverse=True)
 
     def occurrence(self, group: np.ndarray, n: int) -> np.ndarray:
-        """For each of n distinct hashes: its number of samples above 40 bits, and below them a hash of where they stand in
-        which text, or 0 if they differ in that; whole copies of a text don't."""
+        """For each of n distinct hashes: the least power of 2 that its number of samples doesn't exceed, above STAND bits, and
+        below them a hash of where they stand in which text, or 0 if they differ in that; whole copies of a text don't."""
         doc = np.searchsorted(self.own.offsets, self.place, "right") - 1
         text = np.frombuffer(self.own.extra, np.uint64).reshape(-1, 4)[doc, 0]
-        stand = (mixed(text + (self.place - self.own.offsets[doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) | np.uint64(1)
+        stand = (mixed(text + (self.place - self.own.offsets[doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - STAND)) | np.uint64(1)
         low, high = np.full(n, np.iinfo(np.uint64).max), np.zeros(n, np.uint64)
         np.minimum.at(low, group, stand)
         np.maximum.at(high, group, stand)
-        return np.where(low == high, low, np.uint64(0)) | (np.bincount(group, minlength=n).astype(np.uint64) << np.uint64(40))
+        power = np.ceil(np.log2(np.maximum(np.bincount(group, minlength=n), 1))).astype(np.uint64)
+        return np.where(low == high, low, np.uint64(0)) | (power << np.uint64(STAND))
 
     def strings(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts under hot samples, their distinct strings as two hashes and how often each is there, and the number of each
@@ -258,7 +261,11 @@ def distinct_masks(suffixes: list[bytes], befores: list[bytes], prefixes: list[i
         at = REACH - 1 - o
         fit = np.flatnonzero((low >= o) & (high >= LENGTH - o))
         if len(fit) > 1:
-            _, group, count = np.unique(mixed(h[at, fit] * np.uint64(5) + h[at + LENGTH - 128, fit]), return_inverse=True, return_counts=True)
+            _, first, group, count = np.unique(mixed(h[at, fit] * np.uint64(5) + h[at + LENGTH - 128, fit]), return_index=True, return_inverse=True, return_counts=True)
+            many = np.flatnonzero(count[group] > 1)
+            string = text[:, at : at + LENGTH]
+            if (string[fit[many]] != string[fit[first[group[many]]]]).any():  # a hash took different strings for equal
+                _, group, count = np.unique(np.ascontiguousarray(string[fit]).view(f"V{LENGTH}").ravel(), return_inverse=True, return_counts=True)
             found[fit[count[group] > 1]] |= np.uint64(1 << o)
     return found.tolist()
 
@@ -293,17 +300,17 @@ def text_digests(own: Batch) -> bytes:
 
 
 def often(limit: int):
-    """0 for a hash that stands in one place of one text, 2 for one of more than limit samples, else 1. Values as from
-    Samples.occurrence."""
+    """0 for a hash that stands in one place of one text, 2 for one that may have more than limit samples (each batch counts
+    them up to a power of 2), else 1. Values as from Samples.occurrence."""
 
     def fold(group: np.ndarray, value: np.ndarray) -> np.ndarray:
         n = int(group.max()) + 1
-        stand = value & np.uint64((1 << 40) - 1)
+        stand = value & np.uint64((1 << STAND) - 1)
         low, high = np.full(n, np.iinfo(np.uint64).max), np.zeros(n, np.uint64)
         np.minimum.at(low, group, stand)
         np.maximum.at(high, group, stand)
         twice = (low != high) | (low == 0)
-        total = np.bincount(group, (value >> np.uint64(40)).astype(np.float64))
+        total = np.bincount(group, np.exp2((value >> np.uint64(STAND)).astype(np.float64)))
         return (twice.astype(np.uint64) * np.where(total > limit, 2, 1).astype(np.uint64))[group]
 
     return fold
@@ -344,8 +351,9 @@ def remove(docs: DataFrame, hot: int = HOT, texts: bool = True, rows: bool = Fal
     else, in the same or another row, first occurrences too. Rows with one doc_id are texts of their own; a null doc_id
     stays null. An empty table gives an empty one. Only doc_id and text are read.
     """
-    buckets = buckets_of(docs.sparkSession)
     packed = pack(docs, text_digests, BATCH, rows)
+    size = held_bytes(packed)
+    buckets = buckets_of(docs.sparkSession, size)
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -367,7 +375,6 @@ def remove(docs: DataFrame, hot: int = HOT, texts: bool = True, rows: bool = Fal
             alone[p if p >= 0 else -1 - p] = p >= 0
         return stands, ~alone
 
-    size = packed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     drop = 64 - min(64, max(32, int(size).bit_length() + 10))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,3 +73,21 @@ def test_loser_tree_and_front_coding():
 
 def test_empty(spark):
     assert suffixes.remove(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_equal_hashes_of_different_strings_are_told_apart(monkeypatch):
+    r = random.Random(6)
+    base = bytes(r.choice(b"abc") for _ in range(300))
+    some = [base, base[:250] + b"d" + base[251:], base[:180] + b"e" + base[181:], bytes(r.choice(b"xyz") for _ in range(300))] * 5
+    held = sorted((t[60:260], t[r.randrange(30) : 60][::-1]) for t in some)
+    prefixes = [0, *(suffixes.common(a[0], b[0]) for a, b in zip(held, held[1:], strict=False))]
+    expected = suffixes.distinct_masks([s for s, _ in held], [b for _, b in held], prefixes)
+    monkeypatch.setattr(suffixes, "mixed", lambda x: x * 0)
+    assert suffixes.distinct_masks([s for s, _ in held], [b for _, b in held], prefixes) == expected != [0] * 20
+
+
+def test_buckets_hold_no_more_as_texts_grow(spark):
+    from rookery.llm import _batches
+
+    few, many = (_batches.buckets_of(spark, n * 64 * _batches.BUCKET_BYTES) for n in (4, 16))
+    assert many == 4 * few and _batches.buckets_of(spark, 0) >= 64
