@@ -10,10 +10,6 @@ from ..functions import boards
 from . import replay, store
 
 
-#: The record of the usual first position, as hexadecimal digits.
-FIRST = "".join(f"{c:02X}" for c in [4, 2, 3, 5, 6, 3, 2, 4, *[1] * 8, *[0] * 32, *[7] * 8, 10, 8, 9, 11, 12, 9, 8, 10, 0, 15, 255])
-
-
 def star(games: DataFrame, key: str) -> dict[str, DataFrame]:
     """positions(id, record, white_pawns, black_pawns), games(id, fingerprint, content), occurrences(id, game_id, ply,
     position_id, move) and records(id, record_id, game_id, metadata). games: as replay.played() gives them, with key and
@@ -29,8 +25,8 @@ def star(games: DataFrame, key: str) -> dict[str, DataFrame]:
     plies = one.select(F.col("id").alias("game_id"), F.posexplode(F.arrays_zip("records", "moves")).alias("ply", "z")).select("game_id", "ply", F.col("z.records").alias("record"), F.col("z.moves").alias("move"))
     positions = boards.from_record(store.numbered(plies.select("record").distinct(), ["record"])).select("id", "record", F.col("wp").alias("white_pawns"), F.col("bp").alias("black_pawns")).persist(StorageLevel.DISK_ONLY)
     named = positions.select(F.col("id").alias("position_id"), "record")
-    usual = F.broadcast(named.where(F.col("record") == F.unhex(F.lit(FIRST))))  # one row
-    rest = plies.where(F.col("record") != F.unhex(F.lit(FIRST)))
+    usual = F.broadcast(named.where(F.col("record") == F.unhex(F.lit(replay.FIRST))))  # one row
+    rest = plies.where(F.col("record") != F.unhex(F.lit(replay.FIRST)))
     occurrences = store.numbered(plies.join(usual, "record").unionByName(rest.join(named, "record")).drop("record"), ["game_id", "ply"])
     named = held.select(F.col(key).cast("string").alias("record_id"), F.col("headers").alias("metadata"), *identity).join(one.select(F.col("id").alias("game_id"), *identity), identity)
     # maps don't order, so equal keys are told apart by their game

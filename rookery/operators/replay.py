@@ -1,8 +1,10 @@
 """Games played out: moves in the standard notation to positions, and moves back to notation.
 
-A game's moves depend on one another, so each is played in one small loop over its
-own row; Spark splits by games and shuffles nothing. Boards are lists of 64 record
-codes; tables of steps and rays are those of the SQL kernel.
+A game's moves depend on one another. Games are sorted by their moves, over ranges of
+them, so that they stand as the leaves of the corpus' prefix tree do: each takes over
+what it shares with the game before and makes the rest, and a move from a position that
+many games reach by the same moves is made once. Boards are lists of 64 record codes;
+tables of steps and rays are those of the SQL kernel.
 """
 
 from __future__ import annotations
@@ -170,8 +172,19 @@ def notation(board: Board, source: int, to: int, promotion: int, after: Board) -
     return text + ("" if not after.checked(after.side) else "+" if after.can_move() else "#")
 
 
-#: Moves from positions that a task remembers.
-KNOWN = 200_000
+#: The record of the usual first position, as hexadecimal digits.
+FIRST = "".join(f"{c:02X}" for c in [4, 2, 3, 5, 6, 3, 2, 4, *[1] * 8, *[0] * 32, *[7] * 8, 10, 8, 9, 11, 12, 9, 8, 10, 0, 15, 255])
+
+
+def started(rows: DataFrame, start: str = "fen") -> DataFrame:
+    """rows with record and valid, of their first position: the usual one, a constant, where start is null or no column, else that of
+    the text, each different one read once."""
+    usual = lambda df: df.withColumns({"record": F.unhex(F.lit(FIRST)), "valid": F.lit(True)})
+    if start not in rows.columns:
+        return usual(rows)
+    fens = rows.where(F.col(start).isNotNull()).select(F.col(start).alias("_fen")).distinct()
+    read = boards.with_masks(fens, "_fen").select(F.col("_fen").alias(start), boards.record().alias("record"), "valid")
+    return usual(rows.where(F.col(start).isNull())).unionByName(rows.where(F.col(start).isNotNull()).join(read, start).select(*rows.columns, "record", "valid"))
 
 
 def made(board: Board, move: tuple[int, int, int] | None) -> tuple[str, str, bytes, Board] | None:
@@ -202,7 +215,7 @@ def coordinates(board: Board, uci: str) -> tuple[int, int, int] | None:
 def variations(rows: DataFrame, key: str, pv: str = "pv", start: str = "fen") -> DataFrame:
     """key and moves (array, in the standard notation) of a line of coordinates parted by blanks, up to its first move that isn't
     legal. A null line has none, and neither has one from a position that isn't valid."""
-    held = boards.with_masks(rows.select(key, F.coalesce(pv, F.lit("")).alias("_pv"), F.coalesce(start, F.lit(boards.START)).alias("_fen")), "_fen").select(key, "_pv", boards.record().alias("record"), "valid")
+    held = started(rows.select(key, F.coalesce(pv, F.lit("")).alias("_pv"), F.col(start).alias("_fen")), "_fen").select(key, "_pv", "record", "valid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,41 +234,71 @@ def variations(rows: DataFrame, key: str, pv: str = "pv", start: str = "fen") ->
     return held.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, moves array<string>")
 
 
-PLAYED = "records array<binary>, moves array<string>, uci array<string>, error string"
+PLAYED = "records array<binary>, moves array<string>, uci array<string>, error string, made int"
 
 
-def played(games: DataFrame, key: str, strict: bool = True, start: str = "fen") -> DataFrame:
-    """key, records (of all positions, from the first), moves (in canonical notation), uci, and error (null, or the number
-    of the first move that is no legal one; what comes before it stays). games: key, moves (array of text; null counts as
-    none) and, if it has the column, start (FEN; null: the usual first position). Repeated rows repeat."""
-    fens = games.select(key, "moves", (F.col(start) if start in games.columns else F.lit(None).cast("string")).alias("_fen"))
-    held = boards.with_masks(fens.withColumn("_fen", F.coalesce("_fen", F.lit(boards.START))), "_fen").select(key, "moves", boards.record().alias("record"), "valid")
+class Line:
+    """The moves of the last game, to be taken over as far as the next one has them too."""
+
+    def __init__(self, strict: bool):
+        self.strict = strict
+        self.text: list[str] = []
+        self.boards: list[Board] = []
+        self.records: list[bytes] = []
+        self.moves: list[str] = []
+        self.uci: list[str] = []
+        self.refused: str | None = None  # what could not be played after these
+
+    def play(self, record: bytes, text: list[str]) -> tuple[list[bytes], list[str], list[str], str | None, int]:
+        """Records, moves, coordinates, error, and how many moves were made for this game."""
+        same = 0
+        if not self.records or self.records[0] != record:
+            self.records, self.boards = [record], [Board.of(record)]
+        else:
+            while same < len(self.text) and same < len(text) and self.text[same] == text[same]:
+                same += 1
+        if same < len(self.text) or self.refused != (text[same] if same < len(text) else None):
+            self.refused = None
+        del self.text[same:], self.moves[same:], self.uci[same:], self.records[same + 1 :], self.boards[same + 1 :]
+        made_now, error = 0, None
+        for n, san in enumerate(text[same:], same + 1):
+            step = None
+            if self.refused is None:
+                made_now += 1
+                step = made(self.boards[-1], resolved(self.boards[-1], san, self.strict))
+            if step is None:
+                self.refused, error = san, f"illegal_move_{n}"
+                break
+            self.text.append(san)
+            for held, value in zip((self.moves, self.uci, self.records, self.boards), step, strict=True):
+                held.append(value)
+        return list(self.records), list(self.moves), list(self.uci), error, made_now
+
+
+def walked(games: DataFrame, key: str, strict: bool = True, start: str = "fen") -> DataFrame:
+    """played() with made: how many moves were made for a game. Over all games these are as many as different move prefixes,
+    and those that stand at the borders of ranges again."""
+    held = started(games.select(key, "moves", *([start] if start in games.columns else [])), start).select(key, "moves", "record", "valid")
+    # equal games are told apart by their keys, so that many of them split too
+    ranges = int(games.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = held.repartitionByRange(ranges, "record", "moves", F.xxhash64(key)).sortWithinPartitions("record", "moves")
     kind = games.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[bytes, str], tuple | None] = {}  # games share their openings: a move from a position is made once
+        line = Line(strict)
         for batch in batches:
-            out = []
-            for moves, record, valid in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                board, records, sans, ucis, error = Board.of(record), [record], [], [], None if valid else "bad_start"
-                for n, san in enumerate(moves or [] if valid else [], 1):
-                    step = (records[-1], san)
-                    if step not in known:
-                        if len(known) > KNOWN:
-                            known.clear()
-                        known[step] = made(board, resolved(board, san, strict))
-                    if known[step] is None:
-                        error = f"illegal_move_{n}"
-                        break
-                    text, uci, record, board = known[step]
-                    sans.append(text)
-                    ucis.append(uci)
-                    records.append(record)
-                out.append((records, sans, ucis, error))
-            kinds = (pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True))], [key, "records", "moves", "uci", "error"])
-
-    return held.mapInArrow(run, f"{key} {kind.simpleString()}, {PLAYED}")
+            out = [line.play(record, moves or []) if valid else ([record], [], [], "bad_start", 0) for moves, record, valid in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            kinds = (pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True))], [key, "records", "moves", "uci", "error", "made"])
+
+    return ordered.mapInArrow(run, f"{key} {kind.simpleString()}, {PLAYED}")
+
+
+def played(games: DataFrame, key: str, strict: bool = True, start: str = "fen") -> DataFrame:
+    """key, records (of all positions, from the first), moves (in canonical notation), uci, and error (null, or the number
+    of the first move that is no legal one; what comes before it stays). games: key, moves (array of text; null counts as
+    none) and, if it has the column, start (FEN; null: the usual first position). Repeated rows repeat."""
+    return walked(games, key, strict, start).drop("made")
 
 
 def positions(games: DataFrame, key: str) -> DataFrame:

@@ -39,3 +39,29 @@ def test_lenient_text_and_game_files(spark):
     one = spark.createDataFrame([(1, ["Ra1d1"], "4k3/8/8/8/8/8/8/R3K3 w - - 0 1")], "id int, moves array<string>, fen string")
     assert replay.played(one, "id", strict=False).first()["moves"] == ["Rd1"]
     assert replay.played(one.limit(0), "id").count() == 0
+
+
+def test_moves_made_are_the_different_prefixes(spark):
+    """Each prefix of moves is made once in a range, whatever the number of games that share it, and refused moves too."""
+    texts = [OPERA, SPECIAL, OPERA[:40], "e4 e5 Nf3", "e4 e5 Nf3", "e4 e5 Ke3", "e4 e5 Ke3 d5", "e4 e5 Ke2", "", "d4"]
+    rows = [(i, t.split(), None) for i, t in enumerate(texts * 3)] + [(99, "e4 e5".split(), boards.START), (98, "Kd1".split(), "4k3/8/8/8/8/8/8/4K3 w - - 0 1"), (97, None, "4k3/8/8/8/8/8/8/4K3 w - - 0 1")]
+    games = spark.createDataFrame(rows, "id int, moves array<string>, fen string")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    got = replay.walked(games, "id").collect()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        one = replay.walked(games, "id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    tried = {tuple(m[:n]) for t in texts for m in [t.split()] for n in range(1, len(m) + 1)} - {("e4", "e5", "Ke3", "d5")}
+    assert sum(r["made"] for r in one) == len(tried) + 1
+    assert sum(r["made"] for r in got) >= len(tried) + 1
+    plain = lambda rows: sorted((r["id"], r["records"], r["moves"], r["uci"], r["error"]) for r in rows if r["error"] is None)
+    assert plain(got) == plain(one) and sorted(r["id"] for r in got) == sorted(r[0] for r in rows)
+    assert {r["error"] for r in got if rows[r["id"] if r["id"] < 97 else 0][1] in ("e4 e5 Ke3".split(), "e4 e5 Ke3 d5".split())} == {"illegal_move_3"}
+
+
+def test_first_positions_are_read_once_and_the_usual_one_never(spark):
+    plain = replay.started(spark.createDataFrame([(1, ["e4"])], "id int, moves array<string>"))
+    assert "aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plain.select(F.hex("record")).first()[0] == replay.FIRST
