@@ -94,6 +94,17 @@ def page(found: DataFrame, limit: int, after: tuple | None = None, high: dict[st
     return found.orderBy(*order).limit(limit + 1)
 
 
+def symmetry_page(positions: DataFrame, asked_for: DataFrame, limit: int, after: int | None = None) -> DataFrame:
+    """A page, as page() gives it by id, of positions(id, white, black, ...) whose structure is a symmetry of the one asked for. Each
+    of the (at most four) different forms has a scan of its own that ends after limit + 1 rows; their union is ordered and cut
+    once more, so that no more than that many rows of each form are moved."""
+    asked(limit, None if after is None else (after,), 1)
+    forms = structure_keys(asked_for.limit(1), "structure_symmetries").orderBy("white", "black").collect()  # of one position
+    held = positions if after is None else positions.where(F.col("id") > after)
+    branches = [held.where((F.col("white") == k["white"]) & (F.col("black") == k["black"])).orderBy("id").limit(limit + 1) for k in forms]
+    return reduce(DataFrame.unionAll, branches).orderBy("id").limit(limit + 1) if branches else positions.limit(0)
+
+
 def first_occurrences(occurrences: DataFrame) -> DataFrame:
     """game_id and its occurrence of least ply, by partial aggregation."""
     first = F.min_by(F.struct(F.col("id").alias("occurrence_id"), "ply", "position_id"), F.struct("ply", "id"))

@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Rows of a bucket of numbered() aimed at.
-BUCKET_ROWS = 100_000
+#: Buckets of numbered(), each of which one task orders.
+BUCKETS = 1_024
 
 
-def numbered(df: DataFrame, order: list[Column | str], after: Column | int = 0, name: str = "id", buckets: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column | str], after: Column | int = 0, name: str = "id", buckets: int = BUCKETS) -> DataFrame:
     """Consecutive ids in the order of a hash of the order columns and then of these, from after + 1: the same rows get
     the same ids, however they are partitioned. Counts per bucket give each bucket its first id, so that no task
-    orders everything; there are as many buckets as the rows need."""
-    buckets = buckets or 1 << max(0, (df.count() // BUCKET_ROWS).bit_length())
+    orders everything. Nothing runs before the result is asked for; df then runs for the counts and for the rows."""
     held = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sums = held.groupBy("_bucket").agg(F.count("*").alias("_n"))
     w = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -9,14 +9,19 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources import pgn
 
 
+#: Of the oldest file beside the newest one.
+AGE = "36500d"
+
+
 def stream(spark: SparkSession, path: str, rating: int | None = None, max_files: int = 64) -> DataFrame:
-    """record_id, headers, moves, result, error and file of the games of files that arrive in path. record_id is a hash of the text,
-    so a file that comes again brings no new one."""
-    rows = spark.readStream.option("lineSep", "\n" + pgn.OPENING).option("maxFilesPerTrigger", max_files).text(path)
+    """record_id, headers, moves, result, error and file of the games of files that arrive in path. record_id is a hash of the text
+    without blanks around it, so a file that comes again brings no new one. Files are taken whatever their age: the stream's log
+    of seen files isn't cut by age (AGE), and grows with their number."""
+    rows = spark.readStream.option("lineSep", "\n" + pgn.OPENING).option("maxFilesPerTrigger", max_files).option("maxFileAge", AGE).text(path)
     text = F.when(F.startswith("value", F.lit("[")), F.col("value")).otherwise(F.concat(F.lit(pgn.OPENING), F.col("value")))
     games = rows.select(F.col("_metadata.file_path").alias("file"), text.alias("pgn")).where("trim(pgn) <> ''")
     framed = pgn.framed(pgn.kept(games, rating))
-    return framed.select(F.sha2(F.trim("pgn"), 256).alias("record_id"), "headers", "moves", "result", "error", "file")
+    return framed.select(F.sha2(F.btrim("pgn", F.lit(" \t\r\n")), 256).alias("record_id"), "headers", "moves", "result", "error", "file")
 
 
 def append_new(batch: DataFrame, target: str) -> None:
@@ -49,6 +54,15 @@ def counters(spark: SparkSession, target: str) -> DataFrame:
     return held.unionByName(bad).groupBy("outcome").agg(F.count("*").alias("games"))
 
 
-def ingest(spark: SparkSession, path: str, target: str, checkpoint: str, rating: int | None = None) -> StreamingQuery:
-    """Takes in what has arrived since the last run, and ends."""
-    return stream(spark, path, rating).writeStream.foreachBatch(lambda batch, _: append_new(batch, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def unrepeated(records: DataFrame, within: str = "1 hour") -> DataFrame:
+    """The first of records that come again within a time of their arrival, as state of the stream: a file that is delivered twice
+    in short order costs no look into the target. Arrival is the time of the batch, not of the file, so that an old file is
+    never late, and state older than that time is let go. What comes again later is left to append_new()."""
+    arrived = records.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", within)
+    return arrived.dropDuplicatesWithinWatermark(["record_id"]).drop("_arrived")
+
+
+def ingest(spark: SparkSession, path: str, target: str, checkpoint: str, rating: int | None = None, within: str | None = None) -> StreamingQuery:
+    """Takes in what has arrived since the last run, and ends. within: also as unrepeated() says."""
+    records = stream(spark, path, rating)
+    return (unrepeated(records, within) if within else records).writeStream.foreachBatch(lambda batch, _: append_new(batch, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
