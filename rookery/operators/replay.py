@@ -218,16 +218,20 @@ def variations(rows: DataFrame, key: str, pv: str = "pv", start: str = "fen") ->
     held = started(rows.select(key, F.coalesce(pv, F.lit("")).alias("_pv"), F.col(start).alias("_fen")), "_fen").select(key, "_pv", "record", "valid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[bytes, str], tuple | None] = {}  # of one batch: lines from one position begin alike
         for batch in batches:
+            known.clear()
             out = []
             for line, record, valid in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 board, moves = Board.of(record), []
                 for uci in line.split() if valid else []:
-                    step = made(board, coordinates(board, uci))
+                    if (record, uci) not in known:
+                        known[record, uci] = made(board, coordinates(board, uci))
+                    step = known[record, uci]
                     if step is None:
                         break
                     moves.append(step[0])
-                    board = step[3]
+                    record, board = step[2], step[3]
                 out.append(moves)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], [key, "moves"])
 

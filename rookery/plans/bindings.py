@@ -82,7 +82,7 @@ RECORDS = """records AS (SELECT o_orderkey AS id, o_orderkey AS game_id, CASE WH
     CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_custkey AS VARCHAR) ELSE '?' END AS white_elo FROM orders)"""
 DIGESTS = "digests AS (SELECT vec_id AS position_id, list_filter(range(len(embedding)), i -> embedding[i + 1] > 0) AS atom_ids FROM embeddings)"
 EVALUATIONS = "evaluations AS (SELECT user_id AS position_id, event_type AS engine, CAST(trunc(value) AS INT) % 10 AS depth, event_id AS seq, CAST(round(value * 10) AS INT) AS eval_cp FROM events)"
-SERIES = "series AS (SELECT user_id AS game, value * 4 - 200 AS cp, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ply, CASE WHEN user_id % 2 = 0 THEN 'w' ELSE 'b' END AS start_side FROM events)"
+SERIES = "series AS (SELECT user_id AS game, event_id, value * 4 - 200 AS cp, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ply, CASE WHEN user_id % 2 = 0 THEN 'w' ELSE 'b' END AS start_side FROM events)"
 WIN = "CASE WHEN cp IS NULL THEN 50.0 ELSE 50 + 50 * (2 / (1 + exp(-0.00368208 * greatest(least(cp, 1000), -1000))) - 1) END"
 MATCHES = "matches AS (SELECT p.id AS position_id, o.id AS occurrence_id, o.game_id, o.ply, r.id AS record_id, r.result, r.date, r.white, r.black, r.event, r.white_elo, p.white AS white_pawns, p.black AS black_pawns FROM positions p JOIN occurrences o ON o.position_id = p.id JOIN records r ON r.game_id = o.game_id)"
 STAR = f"{POSITIONS}, {OCCURRENCES}, {RECORDS}, {MATCHES}"

@@ -102,12 +102,11 @@ def corpus_star(spark, d):
     return counts[0].join(counts[1], F.lit(True)).join(counts[2], F.lit(True)).join(counts[3], F.lit(True))
 
 
-@query("SELECT unnest(range(4)) AS line, unnest(['" + "', '".join(" ".join(line.split()) for line in LINES) + "']) AS moves")
+@query(f"SELECT o_orderkey AS id, array_to_string({_LINE_SQL}[o_orderkey % 4 + 1][1:{_PLIES}], ' ') AS moves FROM orders")
 def uci_variations(spark, d):
-    """Each known line written in coordinates and back in the standard notation."""
-    rows = spark.createDataFrame([(i, line.split()) for i, line in enumerate(LINES)], "line long, moves array<string>")
-    held = replay.played(rows, "line").select("line", F.concat(F.array_join("uci", " "), F.lit(" e1e8 a2a3")).alias("pv"), F.lit(None).cast("string").alias("fen"))
-    return replay.variations(held, "line").select("line", F.array_join("moves", " ").alias("moves"))
+    """The game of each order written in coordinates, with two moves behind that aren't legal, and back in the standard notation."""
+    held = replay.played(_move_lists(spark, d), "id").select("id", F.concat(F.array_join("uci", " "), F.lit(" e1e8 a2a3")).alias("pv"), F.lit(None).cast("string").alias("fen"))
+    return replay.variations(held, "id").select("id", F.array_join("moves", " ").alias("moves"))
 
 
 @query(f"""WITH s AS (SELECT DISTINCT o_orderpriority AS eco, {_LINE_SQL}[o_orderkey % 4 + 1][1:CAST(o_custkey % 3 + 3 AS INT)] AS moves FROM orders) SELECT array_to_string(moves, ' ') AS line, min(eco) AS eco, len(moves) AS plies FROM s GROUP BY moves""")

@@ -35,11 +35,6 @@ KEYS = ("position_id", "occurrence_id", "game_id", "ply", "record_id")
 _KEYS = ", ".join(KEYS)
 #: The structure of the queries below: that of size 10 and brand 3.
 _W, _B = b.WHITE.replace("p_size", "10").replace("p_brand", "'Brand#3'"), b.BLACK.replace("p_size", "10").replace("p_brand", "'Brand#3'")
-_ONE = f"(SELECT {_W} AS white, {_B} AS black)"
-
-
-def _one(spark: SparkSession) -> DataFrame:
-    return spark.range(1).selectExpr(f"{_W} AS white", f"{_B} AS black")
 
 
 # Positions by structure and record.
@@ -67,20 +62,20 @@ def _edits_sql(n: int) -> str:
         UNION SELECT white, black & ~(1::BIGINT << s), d + 1 FROM {t}, sq WHERE ((black >> s) & 1) = 1
         UNION SELECT (white & ~(1::BIGINT << s)) | (1::BIGINT << t), black, d + 1 FROM {t}, mv WHERE ((white >> s) & 1) = 1 AND (((white | black) >> t) & 1) = 0
         UNION SELECT white, (black & ~(1::BIGINT << s)) | (1::BIGINT << t), d + 1 FROM {t}, mv WHERE ((black >> s) & 1) = 1 AND (((white | black) >> t) & 1) = 0"""
-    parts = [f"k0 AS (SELECT white, black, 0 AS d FROM {_ONE})"]
+    parts = ["k0 AS (SELECT white, black, 0 AS d FROM asked)"]
     for i in range(n):
         parts.append(f"k{i + 1} AS ({step.format(t=f'k{i}')})")
     union = " UNION ALL ".join(f"SELECT * FROM k{i}" for i in range(n + 1))
-    return f"""WITH {b.POSITIONS}, sq AS (SELECT unnest(range(8, 56)) AS s),
+    return f"""WITH {b.WHOLE}, {b.ASKED}, sq AS (SELECT unnest(range(8, 56)) AS s),
     mv AS (SELECT a.s, c.s AS t FROM sq a, sq c WHERE abs(a.s // 8 - c.s // 8) = 1 AND abs(a.s % 8 - c.s % 8) <= 1), {', '.join(parts)},
     keys AS (SELECT white, black, min(d) AS distance FROM ({union}) GROUP BY white, black)
-    SELECT p.id, k.distance FROM positions p JOIN keys k ON p.white = k.white AND p.black = k.black"""
+    SELECT p.id, k.distance FROM whole p JOIN keys k ON p.white = k.white AND p.black = k.black"""
 
 
 def _near(spark, d, edits):
-    keys = pawns.neighbourhood(_one(spark), edits)
+    keys = pawns.neighbourhood(b.asked_position(spark).select("white", "black"), edits)
     # size checked by Spark: the neighbourhood of one structure has a few thousand keys, and joins like any table beyond the broadcast threshold
-    return b.positions(spark, d).join(keys, ["white", "black"]).select("id", "distance")
+    return b.whole_positions(spark, d).join(keys, ["white", "black"]).select("id", "distance")
 
 
 @query(_edits_sql(1))
@@ -265,13 +260,14 @@ def move_line(spark, d):
     return search.move_line(o, line).select("id", "game_id", "ply", "position_id", "move")
 
 
-_SIMILAR = f"""{b.DIGESTS}, s AS (SELECT position_id, len(list_intersect(atom_ids, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9])) AS shared FROM digests WHERE list_has_any(atom_ids, [10, 11]) AND list_has_any(atom_ids, [12, 13, 14])),
+_SIMILAR = f"""{b.DIGESTS}, {b.POSITIONS}, s AS (SELECT position_id, len(list_intersect(atom_ids, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9])) AS shared FROM digests JOIN positions p ON p.id = position_id WHERE (white, black) IN (SELECT white, black FROM positions WHERE material < 5) AND list_has_any(atom_ids, [10, 11]) AND list_has_any(atom_ids, [12, 13, 14])),
     q AS (SELECT o.position_id, o.id AS occurrence_id, o.game_id, o.ply, r.id AS record_id, s.shared FROM s JOIN occurrences o USING (position_id) JOIN records r ON r.game_id = o.game_id)"""
 
 
 def _similar(spark, d):
-    digests = b.digests(spark, d).withColumn("white", F.lit(0)).withColumn("black", F.lit(0))
-    keys = spark.range(1).selectExpr("0 AS white", "0 AS black")
+    positions = b.positions(spark, d)
+    digests = b.digests(spark, d).join(positions.select(F.col("id").alias("position_id"), "white", "black"), "position_id")
+    keys = positions.where("material < 5").select("white", "black").distinct()
     near = search.similar(digests, keys, list(range(10)), [10, 11], [12, 13, 14])
     o = b.occurrences(spark, d).withColumnRenamed("id", "occurrence_id")
     return near.join(o, "position_id").join(b.records(spark, d).select(F.col("id").alias("record_id"), "game_id"), "game_id")
@@ -395,9 +391,13 @@ def last_write_wins(spark, d):
     return store.upsert(rows, ["position_id"], ["seq"])
 
 
-@query(f"WITH {b.SERIES} SELECT game, ply, {b.WIN} AS win FROM series")
+_MATE = "CASE WHEN event_id % 40 = 3 THEN 2 WHEN event_id % 40 = 4 THEN -1 WHEN event_id % 40 = 5 THEN 0 END"
+
+
+@query(f"WITH {b.SERIES} SELECT game, ply, CASE WHEN {_MATE} > 0 THEN 100.0 WHEN {_MATE} <= 0 THEN 0.0 ELSE {b.WIN} END AS win FROM series")
 def win_percent(spark, d):
-    return b.series(spark, d).select("game", "ply", analysis.win_percent(F.col("cp"), F.lit(None).cast("int")).alias("win"))
+    """White's chances; some evaluations tell a mate, and one has none of both."""
+    return b.series(spark, d).select("game", "ply", analysis.win_percent(F.col("cp"), F.expr(_MATE)).alias("win"))
 
 
 _DROPS = f"""{b.SERIES}, w AS (SELECT *, {b.WIN} AS win FROM series), l AS (SELECT *, lag(win) OVER (PARTITION BY game ORDER BY ply) AS before, CASE WHEN (ply % 2 = 1) = (start_side = 'w') THEN 'w' ELSE 'b' END AS side FROM w),
@@ -509,10 +509,10 @@ def inactive_with_children(spark, d):
     return store.with_children(rooms, kids, "room", "o_orderkey", F.col("c_acctbal") < 0).select("room", "children")
 
 
-@query("SELECT p_partkey AS analysis FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 40) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@query("SELECT p_partkey AS analysis FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount > 0.09)")
 def orphans_two_anti(spark, d):
     lines = b.table(spark, d, "lineitem").withColumnRenamed("l_partkey", "analysis")
-    return store.orphans(b.table(spark, d, "part").selectExpr("p_partkey AS analysis"), lines.where("l_quantity > 40"), lines.where("l_returnflag = 'R'"), "analysis")
+    return store.orphans(b.table(spark, d, "part").selectExpr("p_partkey AS analysis"), lines.where("l_quantity > 48"), lines.where("l_discount > 0.09"), "analysis")
 
 
 @query("SELECT c_mktsegment AS kind, count(*) AS rooms, count(*) FILTER (WHERE c_acctbal < 0) AS inactive, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS used FROM customer GROUP BY c_mktsegment")

@@ -75,10 +75,10 @@ for _name in (*search.RECORD_MODES, *search.STRUCTURE_MODES):
     _mode(_name)
 
 
-@query(f"{_mode_sql('structure_symmetries')}, {b.DIGESTS} SELECT id FROM found WHERE id IN (SELECT position_id FROM digests WHERE list_has_all(atom_ids, [3, 8]))")
+@query(f"{_mode_sql('structure_symmetries')}, {b.DIGESTS} SELECT id FROM found WHERE id IN (SELECT position_id FROM digests WHERE list_has_all(atom_ids, [59, 60]))")
 def search_mode_and_atoms(spark, d):
     dictionary = spark.range(64).selectExpr("CAST(id AS INT) AS id", "concat('atom:', id) AS atom")
-    return _by_mode(spark, d, "structure_symmetries", search.with_all_atoms(b.digests(spark, d), ["atom:3", "atom:8"], dictionary)).select("id")
+    return _by_mode(spark, d, "structure_symmetries", search.with_all_atoms(b.digests(spark, d), ["atom:59", "atom:60"], dictionary)).select("id")
 
 
 _GAMES = f"{b.OCCURRENCES}, {b.RECORDS}, g AS (SELECT f.id AS position_id, o.id AS occurrence_id, o.game_id, o.ply, r.id AS record_id, r.result FROM found f JOIN occurrences o ON o.position_id = f.id JOIN records r ON r.game_id = o.game_id)"
