@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, shared_folder
+from ._common import HEAVY, cut, shared_folder
 
 #: Virtual slots; the map has one row for each, whatever the corpus.
 SLOTS = 4096
@@ -93,14 +93,20 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, store: str | No
     a last version that these sizes don't fit is rebalanced by bytes into the next one, and otherwise stays.
 
     Equal rows get places in any order; empty tables give no rows and the map. Only doc_id and text are read. A null doc_id
-    tells nothing, so each row that has one is hashed by its place in the table.
+    tells nothing, so each row that has one is hashed by its place in the table; so is each row of a doc_id that repeats and
+    has more than a thousandth of all bytes (HEAVY), which would weigh down one slot.
 
     Places come from counts per part of a virtual slot, so no task orders a shard or the rows of null doc_ids."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     sized = cut(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
-    row = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # over written rows, so it stays
-    keyed = sized.withColumn("row", row).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "row"), F.lit(slots)).cast("int"))
+    sized = sized.withColumn("row", F.monotonically_increasing_id())  # over written rows, so it stays
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    sums = sized.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    many = cut(sums.where((F.col("rows") > 1) & (F.col("bytes") * HEAVY > total)).select("doc_id", F.lit(True).alias("many")))
+    held = sized.join(F.broadcast(many), "doc_id", "left")  # fewer than HEAVY rows
+    row = F.when(F.col("doc_id").isNull() | F.col("many"), F.col("row"))
+    keyed = held.withColumn("row", row).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "row"), F.lit(slots)).cast("int"))
     keyed = keyed.withColumn("part", F.pmod(F.xxhash64("size", "text_crc32", "row", "doc_id"), F.lit(PARTS)).cast("int"))
     # at most PARTS rows for each virtual slot: a fixed number
     sums = cut(keyed.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))

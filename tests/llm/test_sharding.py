@@ -72,3 +72,15 @@ def test_many_rows_without_doc_id_and_a_long_text(spark):
         places[r["shard"]].append(r["slot"])
     assert len(held) == 2001 and all(sorted(p) == list(range(len(p))) for p in places.values())
     assert len({r["virtual_slot"] for r in held}) > 1000
+
+
+def test_a_doc_id_of_many_rows_fills_no_shard(spark):
+    rows = [(7, "x" * (90 + i % 20), 0, 0, "") for i in range(3000)] + [(100 + i, "y" * (i % 200), 0, 0, "") for i in range(6000)] + [(3, None, 0, 0, ""), (3, None, 0, 0, "")]
+    held = sharding.shard(spark.createDataFrame(rows, SCHEMA).repartition(5))[0].collect()
+    load, places = defaultdict(int), defaultdict(list)
+    for r in held:
+        load[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert len(held) == 9002 and len(load) == 16 and max(load.values()) - min(load.values()) <= 300
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert len({r["virtual_slot"] for r in held if r["doc_id"] == 7}) > 1000
