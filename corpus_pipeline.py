@@ -9,8 +9,8 @@ from rookery.llm import bpe, jaccard, mixing, suffixes, toxicity
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go. Null and empty texts score like texts without toxic passages; repeated rows go or
-    stay together."""
+    """Documents that score as toxic, at the threshold or above, go. Null and empty texts score like texts without toxic passages;
+    repeated rows go or stay together. Texts of any length are scored whole."""
     return toxicity.clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -33,7 +33,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids."""
+    """doc_id, n_tokens and ids of each row, repeated rows and null doc_ids too. Null and empty texts have no ids; long texts are
+    encoded whole. An empty table gives an empty one."""
     return bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
