@@ -14,6 +14,7 @@ COLUMNS = {
     "op5": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
     "op6": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
     "op7": {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"},
+    "media": {"doc_id": "bigint", "declared_type": "string", "actual_type": "string", "offset": "bigint", "length": "bigint", "type": "string", "carved_sha256": "string"},
     "op8": {"doc_id": "bigint"},
     "op9": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
     "op10": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
