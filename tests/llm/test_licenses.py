@@ -138,3 +138,22 @@ def test_more_known_licences(spark):
     df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
     got = {r["doc_id"]: r["license"] for r in licenses.scan(df).collect()}
     assert [got[i] for i in range(len(texts))] == list(texts)
+
+
+def test_sentences_that_state_a_title(spark):
+    cases = {
+        "This software is licensed under the MIT License.": "MIT",
+        "The code is released under the terms of the\nApache License, Version 2.0.": "Apache-2.0",
+        "Our library is available under the BSD 3-Clause License!": "BSD-3-Clause",
+        "Made available under the Eclipse Public License 2.0": "EPL-2.0",
+        "This project is distributed under GPLv3.": "GPL-3.0-only",
+        "This document is licensed under the Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": "MIT OR Apache-2.0",
+        "SPDX-License-Identifier: GPL-2.0": "GPL-2.0-only",
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright": "GPL-3.0-only",
+        "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/": "Apache-2.0",
+        "This software is not licensed under the MIT License of old.": None,
+        "we licensed under the mit license": None,
+        "It is under the MIT License.": None,
+    }
+    assert [r[2] for r in scanned(spark, list(cases))] == list(cases.values())
