@@ -12,7 +12,7 @@ from .queries import query
 
 #: Side lines at a move of White's and of Black's: none, one move, a reply with an alternative, alternatives within alternatives.
 _SIDES = (
-    ("", " ({also} h3 $6)", " (h3 h6 (1... a6 $2 {deep [%eval 0.3]} 2. a3) 2. h4)", " (h3! (a3 (b3 b6) a6?! (h6)) h6) (a3?? [%no] $14)".replace(" [%no]", "")),
+    ("", " ({also} h3 $6)", " (h3 h6 (1... a6 $2 {deep [%eval 0.3]} 2. a3) 2. h4)", " (h3! (a3 (b3 b6) a6?! (h6)) h6) (a3?? $14)"),
     ("", " ({also} h6 $6)", " (h6 h3 (a3 $2 {deep [%eval 0.3]} a6) h5)", " (h6! (a6 (b6 b3) a3?! (h3)) h3) (a6?? $14)"),
 )
 #: Which order has which line, number of moves, place of a side line and kind of it; some have an unclosed one, or one that isn't legal.
