@@ -21,6 +21,16 @@ def placement(fen: Column) -> Column:
     return text
 
 
+def _masked(df: DataFrame, board: Column, letters: str) -> DataFrame:
+    """Adds a mask for each piece of a board of 64 letters, from a1: its squares as binary digits, the last one first. letters: of
+    an empty square and of the pieces in order; masks are 0 if the board has others."""
+    whole, backwards = board.rlike(f"^[{letters}]{{64}}$"), F.reverse(board)
+    for i, mask in enumerate(MASKS, 1):
+        digits = F.translate(backwards, letters, "0" * i + "1" + "0" * (len(letters) - i - 1))
+        df = df.withColumn(mask, F.when(whole, F.conv(digits, 2, -10).cast("long")).otherwise(F.lit(0).cast("long")))
+    return df
+
+
 def with_masks(df: DataFrame, fen: str = "fen") -> DataFrame:
     """Adds a mask for each piece, side ('w' or 'b'), castling (K 1, Q 2, k 4, q 8), ep (square or null) and valid.
 
@@ -28,9 +38,7 @@ def with_masks(df: DataFrame, fen: str = "fen") -> DataFrame:
     only where a pawn of the side to move stands beside the pawn that has just moved two squares."""
     parts = F.split(F.trim(F.col(fen)), r"\s+")
     held = df.withColumn("_board", placement(F.col(fen)))
-    for piece, mask in zip(PIECES, MASKS, strict=True):
-        bit = f"aggregate(sequence(0, 63), 0L, (a, s) -> a | IF(substr(_board, s + 1, 1) = '{piece}', shiftleft(1L, s), 0L))"
-        held = held.withColumn(mask, F.expr(bit))
+    held = _masked(held, F.col("_board"), "." + "".join(PIECES))
     rights = F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit("-"))
     castling = sum((F.when(F.instr(F.translate(rights, "KQkq", "1248"), str(n)) > 0, n).otherwise(0) for n in (1, 2, 4, 8)), F.lit(0))
     square = F.coalesce(F.try_element_at(parts, F.lit(4)), F.lit("-"))
@@ -55,9 +63,8 @@ def record() -> Column:
 
 def from_record(df: DataFrame, column: str = "record") -> DataFrame:
     """The masks, side, castling and ep of a record."""
-    held = df.withColumn("_hex", F.hex(column))
-    for code, mask in enumerate(MASKS, 1):
-        held = held.withColumn(mask, F.expr(f"aggregate(sequence(0, 63), 0L, (a, s) -> a | IF(substr(_hex, 2 * s + 1, 2) = '{code:02X}', shiftleft(1L, s), 0L))"))
+    held = df.withColumn("_hex", F.hex(column)).withColumn("_board", F.regexp_replace(F.substring("_hex", 1, 128), "0(.)", "$1"))
+    held = _masked(held, F.col("_board"), "0123456789ABC").drop("_board")
     byte = lambda i: F.conv(F.substring("_hex", 2 * i + 1, 2), 16, 10).cast("int")
     return held.withColumn("side", F.when(byte(64) == 0, "w").otherwise("b")).withColumn("castling", byte(65)).withColumn("ep", F.when(byte(66) < 64, byte(66))).drop("_hex")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Games that are committed together, at most.
+# Fixed value: games that are committed together, at most.
 GROUP = 10
 #: Numbers that running() counts as one part.
 CHUNK = 10_000
@@ -60,8 +60,10 @@ def results(incoming: DataFrame, added: DataFrame, refused: DataFrame) -> DataFr
     return held.select("number", "record_id", F.when(F.col("_whole"), F.col("id")).alias("id"), "error").orderBy("number")
 
 
-#: Failed ids that a backfill remembers, and rows of one of its steps.
-REMEMBERED, STEP = 10_000, 1_000
+# Fixed value: failed ids that a backfill remembers.
+REMEMBERED = 10_000
+#: Rows of one of its steps.
+STEP = 1_000
 
 
 def work(rows: DataFrame, done: DataFrame, failed: DataFrame, key: str, after: int, limit: int = STEP) -> DataFrame:
@@ -95,7 +97,7 @@ def backfill(rows: DataFrame, key: str, make, read_done, write, failed: DataFram
     return mark, spark.createDataFrame([(i,) for i in lost], kind)
 
 
-#: Pages of one run of a sync.
+# Fixed value: pages of one run of a sync.
 PAGES = 3
 
 

@@ -18,11 +18,10 @@ from pyspark.sql import functions as F
 from ..sources import pgn
 from . import replay
 
-#: Comments, rests of lines, brackets, numeric glyphs and words; what is left over of an unclosed comment or a lonely glyph sign.
+# The notation's tokens (comments, rests of lines, brackets, numeric glyphs, words, and what is left over of an
+# unclosed comment or a lonely glyph sign), the glyphs of its symbols, and how many glyphs a move has, and the largest.
 TOKEN = r"\{[^}]*\}|;[^\r\n]*|[()]|\$\d+|[^\s{}();$]+|[{}$]"
-#: Glyphs of the symbols, fixed by the notation's standard.
 SYMBOLS = {"!": 1, "?": 2, "!!": 3, "??": 4, "!?": 5, "?!": 6}
-#: Glyphs of a move, and the largest.
 MOST_GLYPHS, LARGEST_GLYPH = 8, 255
 ROOT = 0
 
