@@ -157,28 +157,33 @@ def near(vectors: DataFrame) -> DataFrame:
     has no link to find; where the last overlap falls short of RECALL, links and recall are those of exhaustive()).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor does a vector
-    with another number of components. Equal vectors are searched for once, and repeated rows are vectors of their own. A
-    vec_id that names different vectors is an error. A null vec_id takes no part. An empty table gives an empty one. Only
+    with another number of components. Equal vectors are searched for once, and repeated rows are vectors of their own, as
+    are different ones of the same vec_id: these link and have components by themselves. A null vec_id takes no part. An empty table gives an empty one. Only
     vec_id and embedding are read.
     """
     spark = vectors.sparkSession
     held = cut(units(vectors))
     some = held.where("unit is not null and vec_id is not null")
-    classes = cut(some.groupBy("unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.max(F.col("vec_id") % AUDITED == 0).alias("audited")).withColumn("dims", F.octet_length("unit")))
-    if not classes.groupBy("id").count().where("count > 1").isEmpty():
-        raise ValueError("a vec_id names different vectors")
+    classes = cut(some.groupBy("unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.max(F.col("vec_id") % AUDITED == 0).alias("audited")).withColumn("dims", F.octet_length("unit")))
+    # classes are numbered by their least vec_id, or by their place in the cut table where that names several
+    named = classes.groupBy("least").count().where("count > 1").isEmpty()
+    classes = classes.withColumn("id", F.col("least")) if named else cut(classes.withColumn("id", F.monotonically_increasing_id()))
     overlap, exact = OVERLAP, False
     while True:
         links, edges = exhaustive(classes) if exact else linked(classes, overlap)
-        found = classes.join(links.groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "id", "left").select("id", "unit", "dims", "audited", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
+        found = classes.join(links.groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "id", "left").select("id", "least", "unit", "dims", "audited", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
         found = cut(found)
         recall = audit(found)
         if recall is None or recall >= RECALL or exact:
             break
         exact = overlap >= OVERLAPS
         overlap = overlap if exact else overlap * 2
-    parts = components(edges)
-    by_class = found.join(parts.withColumnRenamed("node", "id"), "id", "left").select("unit", "n", "copies", F.coalesce("component", "id").alias("component_id"))
+    parts = components(edges).withColumnRenamed("node", "id")
+    if not named:
+        parts = cut(parts.join(found.select("id", "least"), "id"))
+        sums = cut(parts.groupBy("component").agg(F.min("least").alias("first"), F.count("*").alias("nodes")))
+        parts = beside(parts.select("id", "component"), sums, ["component"], "nodes").select("id", F.col("first").alias("component"))
+    by_class = found.join(parts, "id", "left").select("unit", "n", "copies", F.coalesce("component", "least").alias("component_id"))
     linkable = F.col("unit").isNotNull() & F.col("vec_id").isNotNull()
     rows = beside(held.where(linkable), cut(by_class), ["unit"], "copies").select("vec_id", "n", "component_id")
     rows = rows.unionByName(held.where(~linkable).select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component_id")))

@@ -27,6 +27,8 @@ from ._common import blocks, cut
 FIT_TOXIC, FIT_CLEAN, CALIBRATE = 8_000, 12_000, 10_000
 #: Bytes of a sample's texts at most; they bound the vocabulary, and with it what is collected and broadcast.
 SAMPLE_BYTES = 64 << 20
+#: Labelled texts longer than this aren't sampled, so that none takes the place of many; all are scored.
+SAMPLE_TEXT = SAMPLE_BYTES // 16
 #: The standard score that log-odds need, and the log-odds above 0; others count as 0. The grid that scores lie on.
 LEAST_Z, LEAST_ODDS, GRID = 4.0, 1.0, 64
 #: The prior's weight as a share of the counts, and its least pseudo-count.
@@ -109,15 +111,15 @@ def weight(found: list[tuple[float, int, int]], n: int, model: Model) -> float:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, n: int, part: int, toxic: int | None) -> DataFrame:
-    """Texts of n labelled rows and SAMPLE_BYTES at most, by hash; the bounds make the label side small enough to broadcast."""
+    """Texts of n labelled rows and SAMPLE_BYTES at most, by hash, of SAMPLE_TEXT at most each; the bounds make the label side small enough to broadcast."""
     own = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)).isin([0, 1] if part else [2]))
     if toxic is not None:
         own = own.where(F.col("toxic") == toxic)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     held = cut(docs.select("doc_id", "text").join(F.broadcast(own.orderBy(*order).limit(n)), "doc_id").select("doc_id", "text", "toxic"))
-    sizes = held.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = held.groupBy("doc_id").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("longest")).where(F.col("longest") <= SAMPLE_TEXT)
     upto = F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return held.join(F.broadcast(sizes.withColumn("upto", upto).where(F.coalesce(F.col("upto") <= SAMPLE_BYTES, F.lit(True))).select("doc_id")), "doc_id", "left_semi").select("text", "toxic")
+    return held.join(F.broadcast(sizes.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id")), "doc_id", "left_semi").select("text", "toxic")
 
 
 def _contexts(rows: DataFrame) -> DataFrame:

@@ -111,9 +111,22 @@ def test_many_lengths_repeated_rows_and_null_ids(spark, monkeypatch):
     assert {(x["n_links"], x["component_id"]) for x in got if x["vec_id"] is None} == {(0, None)}
 
 
-def test_nothing_to_find_and_a_vec_id_for_two_vectors(spark):
+def test_nothing_to_find(spark):
     axes = [(i, np.eye(8)[i].tolist(), 0, 1, 2) for i in range(8)]
     got = neardup.near(spark.createDataFrame(axes, SCHEMA)).collect()
     assert {(x["n_links"], x["recall"]) for x in got} == {(0, None)}
-    with pytest.raises(ValueError, match="different vectors"):
-        neardup.near(spark.createDataFrame([*axes, (1, [1.0] * 8, 0, 1, 2)], SCHEMA))
+
+
+def test_a_vec_id_for_different_vectors(spark):
+    """Each is a row of its own: its links and its component are those of its vector."""
+    r = np.random.default_rng(13)
+    base = r.normal(size=(12, 16))
+    rows = [(100 + i // 3, (base[i % 12] + 0.02 * r.normal(size=16)).astype(np.float32).tolist()) for i in range(240)]
+    rows += [(7, rows[1][1]), (7, rows[5][1]), (7, rows[5][1])]
+    got = neardup.near(spark.createDataFrame([(i, v, 0, 1, 2) for i, v in rows], SCHEMA).repartition(4)).collect()
+    own = brute([(n, v) for n, (_, v) in enumerate(rows)])
+    least = {}
+    for n, (_, root, _) in own.items():
+        least[root] = min(least.get(root, rows[n][0]), rows[n][0])
+    want = sorted((rows[n][0], links, least[root], rows[n][0] == least[root]) for n, (links, root, _) in own.items())
+    assert sorted((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in got) == want

@@ -107,3 +107,14 @@ def test_clashing_names_and_no_labels(spark):
     model = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.clean(df, model).collect() == df.collect()
     assert toxicity.fit(df.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).tokens == {}
+
+
+def test_long_texts_take_no_place_in_the_sample(spark, monkeypatch):
+    """Whatever their place in the order: the model is that of the others, under a bound that these just fill."""
+    rows = [(i, f"{chr(97 + i % 26)}x {'vile' if i % 2 else 'kind'} {chr(97 + i // 26)}y", "x", 0) for i in range(400)]
+    monkeypatch.setattr(toxicity, "SAMPLE_TEXT", 1_000)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", sum(len(t) for _, t, _, _ in rows))
+    labels = [(i, i % 2) for i in range(440)]
+    long = [(400 + i, "kind vile " * 200, "x", 0) for i in range(40)]
+    fits = [toxicity.fit(spark.createDataFrame(held, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")) for held in (rows, rows + long)]
+    assert fits[0].tokens == fits[1].tokens and fits[0].tokens and (fits[0].rate, fits[0].scale) == (fits[1].rate, fits[1].scale)
