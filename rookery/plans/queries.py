@@ -552,4 +552,4 @@ def distinct_union(spark, d):
 
 
 # More queries register themselves.
-from . import games, lists, searches, trees, writes  # noqa: E402, F401
+from . import games, lists, placed, searches, trees, writes  # noqa: E402, F401

@@ -34,3 +34,11 @@ def test_positions_of_the_tables_all_have_rows(spark, name):
 def test_records_survive_their_masks(spark):
     rows = queries.QUERIES["position_records"](spark, SMALL).select("id", "record").collect()
     assert rows and all(r["id"] == bytes(r["record"]).hex().upper() for r in rows)
+
+
+def test_placed_positions_have_every_kind_of_move_and_fault(spark):
+    """The SQL that moves and faults are held against is no use for what no position has."""
+    moved = {r[0] for r in queries.QUERIES["placed_moves"](spark, SMALL).select("uci").distinct().collect()}
+    assert {"e1g1", "e1c1"} & moved and {"e8g8", "e8c8"} & moved and {u[4] for u in moved if len(u) > 4} == set("nbrq")
+    faults = {r[0] for r in queries.QUERIES["placed_faults"](spark, SMALL).select("fault").distinct().collect()}
+    assert {None, "kings", "adjacent_kings", "pawn_rank", "opponent_in_check", "castling"} <= faults
