@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """Columns of a table, its rows dealt out by their key: a split is little to read, but what follows works long on each row."""
+    return table(spark, sf_dir, name).select(key, *columns).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{WHITE} AS white", f"{BLACK} AS black", f"{MATERIAL} AS material")
 

@@ -20,7 +20,7 @@ _PLIES = "CAST(o_custkey % 9 + 2 AS INT)"
 def games(spark: SparkSession, d: str) -> DataFrame:
     """id and pgn."""
     lines = F.array(*[F.array(*[F.lit(m) for m in line.split()]) for line in LINES])
-    held = b.table(spark, d, "orders").selectExpr("o_orderkey AS id", "o_custkey", "o_orderstatus", "o_orderpriority", f"{_FAULT} AS fault", f"{_PLIES} AS plies")
+    held = b.dealt(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").selectExpr("o_orderkey AS id", "o_custkey", "o_orderstatus", "o_orderpriority", f"{_FAULT} AS fault", f"{_PLIES} AS plies")
     line = F.slice(F.element_at(lines, (F.col("id") % 4 + 1).cast("int")), 1, F.col("plies"))
     numbered = F.array_join(F.transform(line, lambda m, i: F.concat(F.when(i % 2 == 0, F.concat((F.floor(i / 2) + 1).cast("string"), F.lit(". "))).otherwise(F.lit("")), m, F.when(i == 1, F.lit(" {book [%clk 0:03:00]} $2")).otherwise(F.lit("")))), " ")
     text = F.when(F.col("fault") == "no_moves", F.lit("")).when(F.col("fault") == "bad_move", F.lit("1. e4 Zz9")).otherwise(numbered)
@@ -43,7 +43,7 @@ _KEPT = "NOT bullet AND o_custkey + 1000 >= 1200 AND id % 7 <> 0 AND id % 1500 +
 @query(_sql("id, 'Cust\"' || o_custkey AS white, CAST(o_custkey + 1000 AS VARCHAR) AS white_elo, CASE WHEN id % 5 = 0 THEN 'Rated Bullet game' ELSE 'Rated ' || o_orderpriority END AS event, result"))
 def pgn_headers(spark, d):
     tag = lambda k: F.try_element_at("headers", F.lit(k)).alias(k)
-    return games(spark, d).withColumn("headers", pgn.headers(F.col("pgn"))).select("id", tag("white"), tag("white_elo"), tag("event"), tag("result"))
+    return pgn.with_headers(games(spark, d)).select("id", tag("white"), tag("white_elo"), tag("event"), tag("result"))
 
 
 @query(_sql("id", _KEPT))
@@ -95,8 +95,7 @@ def pgn_replay(spark, d):
 def corpus_star(spark, d):
     """Rows of the four tables of an imported corpus; no two of the known lines meet again after they part."""
     framed = pgn.framed(games(spark, d)).where("error IS NULL")
-    tags = games(spark, d).select("id", pgn.headers(F.col("pgn")).alias("headers"))
-    played = replay.played(framed, "id").join(tags, "id")
+    played = replay.played(framed, "id").join(framed.select("id", "headers"), "id")
     tables = corpus.star(played, "id")
     counts = [tables[t].agg(F.count("*").alias(t)) for t in ("positions", "games", "occurrences", "records")]
     return counts[0].join(counts[1], F.lit(True)).join(counts[2], F.lit(True)).join(counts[3], F.lit(True))

@@ -7,6 +7,8 @@ move text is looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,21 +51,41 @@ def sliced(games: DataFrame, skip: int = 0, limit: int | None = None) -> DataFra
 
 def counters(games: DataFrame, rating: int | None = None, allow_bullet: bool = False) -> DataFrame:
     """One row over the games of read(): read, filtered (by their headers), and of the rest malformed and imported."""
-    held = framed(games.withColumn("headers", headers(F.col("pgn"))))
-    passed = held.where(_passes(rating, allow_bullet))
-    counts = passed.agg(F.count("*").alias("passed"), F.count("error").alias("malformed"))
-    return games.agg(F.count("*").alias("read")).join(counts, F.lit(True)).select("read", (F.col("read") - F.col("passed")).alias("filtered"), "malformed", (F.col("passed") - F.col("malformed")).alias("imported"))
+    passes = made_once(with_headers(games), _passes=_passes(rating, allow_bullet))
+    malformed = framed(passes.where("_passes")).agg(F.count("*").alias("passed"), F.count("error").alias("malformed"))
+    return games.agg(F.count("*").alias("read")).join(malformed, F.lit(True)).select("read", (F.col("read") - F.col("passed")).alias("filtered"), "malformed", (F.col("passed") - F.col("malformed")).alias("imported"))
+
+
+def made_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are made once for each row, however many later columns and filters read them: names of a select are replaced
+    by their expressions, and filters go before it, but neither passes a generator."""
+    return df.select("*", F.stack(F.lit(1), *columns.values()).alias(*columns))
+
+
+def with_headers(games: DataFrame) -> DataFrame:
+    return games if "headers" in games.columns else made_once(games, headers=headers(F.col("pgn")))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value made once: within it a variable, where Python's name would stand for the whole expression."""
+    return F.transform(F.array(value), use)[0]
 
 
 def headers(pgn: Column) -> Column:
     """Tags as a map with keys in snake_case; backslashes escape, the last of equal tags counts."""
-    head = F.regexp_extract(pgn, r'^\s*((?:\[[^\n]*\]\s*\n?)*)', 1)
     pattern = r'\[(\w+)\s+"((?:[^"\\]|\\.)*)"\]'
-    keys = F.transform(F.regexp_extract_all(head, F.lit(pattern), F.lit(1)), snake_case)
-    values = F.transform(F.regexp_extract_all(head, F.lit(pattern), F.lit(2)), lambda v: F.regexp_replace(v, r"\\(.)", "$1"))
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
+
+    def zipped(head: Column) -> Column:
+        keys = F.transform(F.regexp_extract_all(head, F.lit(pattern), F.lit(1)), snake_case)
+        values = F.transform(F.regexp_extract_all(head, F.lit(pattern), F.lit(2)), lambda v: F.regexp_replace(v, r"\\(.)", "$1"))
+        return F.arrays_zip(keys.alias("k"), values.alias("v"))
+
+    def last(pairs: Column) -> Column:
+        return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+
+    head = F.regexp_extract(pgn, r'^\s*((?:\[[^\n]*\]\s*\n?)*)', 1)
+    held = _bound(_bound(head, zipped), last)
+    return F.map_from_entries(F.transform(held, lambda p: F.struct(p["k"], p["v"])))
 
 
 def snake_case(tag: Column) -> Column:
@@ -80,12 +102,17 @@ def stripped(moves: Column, depth: int = 20) -> Column:
     text = F.regexp_replace(F.regexp_replace(moves, r"\{[^}]*\}", " "), r";[^\n]*", " ")
     text = F.regexp_replace(text, r"\$\d+", " ")
     # each round removes the innermost variations; none are left when a round changes nothing
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), text, lambda t, _: F.regexp_replace(t, r"\([^()]*\)", " "))
+    inner = lambda t, _: F.when(F.contains(t, F.lit("(")), F.regexp_replace(t, r"\([^()]*\)", " ")).otherwise(t)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), text, inner)
 
 
 def tokens(moves: Column) -> Column:
     """Moves of stripped text in order: numbers, results and suffixes gone, castling with letters."""
-    text = F.regexp_replace(stripped(moves), r"\d+\.(?:\.\.)?", " ")
+    return _words(stripped(moves))
+
+
+def _words(bare: Column) -> Column:
+    text = F.regexp_replace(bare, r"\d+\.(?:\.\.)?", " ")
     parts = F.filter(F.split(F.trim(text), r"\s+"), lambda t: (t != "") & ~t.isin(*RESULTS))
     clean = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "0-0-0", "O-O-O"), "0-0", "O-O"), r"(?:e\.p\.)?[!?]*$", "")
     return F.filter(F.transform(parts, clean), lambda t: t != "")
@@ -98,9 +125,11 @@ SAN = r"^(?:O-O(?:-O)?|([KQRBN])?([a-h])?([1-8])?(x)?([a-h][1-8])(?:=([QRBN]))?)
 def framed(games: DataFrame) -> DataFrame:
     """Adds headers, moves (array), result and error: null, or why the row is no single game. Malformed rows stay, for the
     caller to count or refuse."""
-    held = games if "headers" in games.columns else games.withColumn("headers", headers(F.col("pgn")))
-    held = held.withColumn("text", movetext(F.col("pgn"))).withColumn("moves", tokens(F.col("text")))
-    bare = stripped(F.col("text"))
+    own = with_headers(games).drop("moves", "result", "error")
+    held = made_once(own, _text=movetext(F.col("pgn")))
+    held = made_once(held, _bare=stripped(F.col("_text")))
+    held = made_once(held, moves=_words(F.col("_bare")))
+    bare = F.col("_bare")
     error = (
         F.when(F.octet_length("pgn") > MOST_BYTES, "too_long")
         .when(~F.startswith(F.ltrim("pgn"), F.lit("[")), "no_headers")
@@ -111,7 +140,8 @@ def framed(games: DataFrame) -> DataFrame:
         .when(F.size("moves") == 0, "no_moves")
         .when(F.exists("moves", lambda m: ~F.regexp_like(m, F.lit(SAN))), "bad_move")
     )
-    return held.withColumn("result", F.coalesce(F.try_element_at("headers", F.lit("result")), F.lit("*"))).withColumn("error", error).drop("text")
+    result = F.coalesce(F.try_element_at("headers", F.lit("result")), F.lit("*"))
+    return made_once(held, result=result, error=error).select(*own.columns, "moves", "result", "error")
 
 
 def _passes(rating: int | None, allow_bullet: bool) -> Column:
@@ -129,9 +159,7 @@ def _passes(rating: int | None, allow_bullet: bool) -> Column:
 def kept(games: DataFrame, rating: int | None = None, allow_bullet: bool = False) -> DataFrame:
     """Rows whose headers pass: both ratings are there and high enough, and the game is no bullet. Games without the column
     headers get it first; framed() then takes it over, so that only moves of games that pass are looked at."""
-    if "headers" not in games.columns:
-        games = games.withColumn("headers", headers(F.col("pgn")))
-    return games.where(_passes(rating, allow_bullet))
+    return with_headers(games).where(_passes(rating, allow_bullet))
 
 
 def with_provenance(games: DataFrame, source: str, detail: str | None = None) -> DataFrame:

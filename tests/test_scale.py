@@ -5,6 +5,7 @@ from conftest import SMALL
 from rookery.functions import boards, features
 from rookery.operators import moves, search, store
 from rookery.plans import bindings as b
+from rookery.sources import pgn
 
 
 def plan(df):
@@ -32,3 +33,10 @@ def test_deepest_rows_combine_before_the_shuffle(spark):
 
 def test_pages_are_top_k(spark):
     assert "TakeOrderedAndProject" in plan(search.page(b.records(spark, SMALL).selectExpr("id AS position_id", "id AS occurrence_id", "id AS record_id"), 25))
+
+
+def test_headers_and_moves_are_made_once(spark):
+    games = spark.createDataFrame([(1, '[Event "x"]\n\n1. e4 e5 *')], "id int, pgn string")
+    held = pgn.framed(pgn.kept(games, rating=2200)).where("error IS NULL AND result <> '1-0'").select("id", "headers", "moves", "error")
+    text = held._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("lower(regexp_replace(") == 1 and text.count("aggregate(") == 1  # names of tags; rounds that strip variations
