@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +35,11 @@ def tokens(games: DataFrame) -> DataFrame:
     """_id, own, place (from 1), token, kind (open, close, move, glyph, comment, none, or what is wrong with it), san and glyph of
     games(_id, own, pgn); own is carried along."""
     held = games.select("_id", "own", F.posexplode(F.regexp_extract_all(pgn.movetext(F.col("pgn")), F.lit(f"({TOKEN})"), F.lit(1))).alias("place", "token"))
-    word = F.regexp_replace("token", r"^\d+\.(?:\.\.)?", "")
+    held = pgn.made_once(held, _word=F.regexp_replace("token", r"^\d+\.(?:\.\.)?", ""))
+    held = pgn.made_once(held, _suffix=F.regexp_extract("_word", r"([!?]+)$", 1))
+    word, suffix = F.col("_word"), F.col("_suffix")
     first = F.substring("token", 1, 1)
     symbols = F.create_map(*[F.lit(x) for pair in SYMBOLS.items() for x in pair])
-    suffix = F.regexp_extract(word, r"([!?]+)$", 1)
     kind = (
         F.when(F.col("token") == "(", "open")
         .when(F.col("token") == ")", "close")
@@ -51,7 +53,7 @@ def tokens(games: DataFrame) -> DataFrame:
         .otherwise("move")
     )
     numeric = F.substring("token", 2, 12).try_cast("int")
-    return held.withColumns({"place": F.col("place") + 1, "kind": kind, "san": F.regexp_replace(word, r"[!?]+$", ""), "glyph": F.coalesce(F.when(first == "$", F.coalesce(numeric, F.lit(LARGEST_GLYPH + 1))), F.try_element_at(symbols, suffix), F.when(suffix != "", F.lit(LARGEST_GLYPH + 1)))})
+    return held.withColumns({"place": F.col("place") + 1, "kind": kind, "san": F.regexp_replace(word, r"[!?]+$", ""), "glyph": F.coalesce(F.when(first == "$", F.coalesce(numeric, F.lit(LARGEST_GLYPH + 1))), F.try_element_at(symbols, suffix), F.when(suffix != "", F.lit(LARGEST_GLYPH + 1)))}).drop("_word", "_suffix")
 
 
 def nodes(rows: DataFrame) -> DataFrame:
@@ -133,54 +135,62 @@ def tree(games: DataFrame, key: str, comments: bool = True, side_lines: bool = T
     key is a key. Other columns aren't read."""
     held = games.select(key, F.coalesce("pgn", F.lit("")).alias("pgn")).groupBy(key, "pgn").agg(F.count("*").alias("_copies"))
     framed = pgn.framed(held)
-    own = F.struct(F.col(key).alias("key"), "_copies", F.try_element_at("headers", F.lit("fen")).alias("fen"))
-    good = framed.where("error IS NULL").select(F.sha2(F.to_json(F.struct(key, "pgn")), 256).alias("_id"), own.alias("own"), "pgn")
-    found = nodes(tokens(good)).select(F.col("own.key").alias(key), "own._copies", "own.fen", "fault", "about", "moves")
-    bad = framed.where("error IS NOT NULL").select(key, "_copies", "error").unionByName(found.where("fault IS NOT NULL").select(key, "_copies", F.col("fault").alias("error")))
-    good = replay.started(found.where("fault IS NULL").select(key, "_copies", "about", "moves", "fen")).select(key, "_copies", "about", "moves", "record", "valid")
+    # first positions are looked up before the text is taken apart, so that what follows is one chain and runs once
+    begun = replay.started(framed.where("error IS NULL").select(key, "_copies", "pgn", F.try_element_at("headers", F.lit("fen")).alias("fen")))
+    first = F.when(F.col("fen").isNotNull(), F.col("record"))  # else the usual one, which rows of tokens needn't carry
+    own = F.struct(F.col(key).alias("key"), "_copies", first.alias("record"), "valid")
+    good = begun.select(F.sha2(F.to_json(F.struct(key, "pgn")), 256).alias("_id"), own.alias("own"), "pgn")
+    found = nodes(tokens(good)).select(F.col("own.key").alias(key), "own._copies", "about", "moves", "own.record", "own.valid", "fault")
+    bad = framed.where("error IS NOT NULL").select(key, "_copies", "error")
     kind = games.schema[key].dataType.simpleString()
     names = [x.split()[0] for x in TREE.split(", ")]
     types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string())
-    rows_type = pa.list_(pa.struct(list(zip(names, types, strict=True))))
+    usual = bytes.fromhex(replay.FIRST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[bytes, str], tuple | None] = {}  # of one batch: side lines often play the same
         for batch in batches:
-            rows, errors = [], []
             known.clear()
-            for about, moves, record, valid in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                out, error = grown(record, about, moves, known) if valid else (None, "bad_start")
-                rows.append(out)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, rows_type), pa.array(errors, pa.string())], [key, "_copies", "rows", "error"])
-
-    struct = ", ".join(f"{n}:{x.split(' ', 1)[1]}" for n, x in zip(names, TREE.split(", "), strict=True))
-    grown_rows = good.mapInArrow(run, f"{key} {kind}, _copies long, rows array<struct<{struct}>>, error string")
-    whole = grown_rows.where("error IS NULL").select(key, "_copies", F.explode("rows").alias("r"), "error").select(key, "_copies", "r.*", "error")
+            about, moves = batch.column(2), batch.column(3)
+            held, count = moves.flatten(), [n or 0 for n in pc.list_value_length(moves).to_pylist()]
+            sans, parents = held.field("san").to_pylist(), held.field("parent").to_pylist()
+            # of each row that goes out: its game, and its move, or behind these its game's first position, or None
+            game, at, errors, made, begin = [], [], [], ([], [], [], []), 0
+            for i, (n, record, valid, fault) in enumerate(zip(count, *(batch.column(c).to_pylist() for c in (4, 5, 6)), strict=True)):
+                out, error = (None, fault) if fault else grown(record or usual, sans[begin : begin + n], parents[begin : begin + n], known) if valid else (None, "bad_start")
+                game += [i] * (n + 1 if out else 1)
+                at += [len(sans) + i, *range(begin, begin + n)] if out else [None]
+                errors += [None] * (n + 1) if out else [error]
+                for column, values in zip(made, out or ([None],) * 4, strict=True):
+                    column += values
+                begin += n
+            game, at, none = pa.array(game, pa.int32()), pa.array(at, pa.int32()), len(batch)
+            first = {"node": [ROOT] * none, "parent": [None] * none, "ply": [0] * none, "depth": [0] * none, "glyphs": [[]] * none, "comment": about, "clock": [None] * none, "evaluation": [None] * none}
+            columns = dict(zip(("path", "record", "move", "uci"), made, strict=True))
+            columns = {name: pa.array(columns[name], kind) if name in columns else pa.concat_arrays([held.field(name).cast(kind), pa.array(first[name], kind) if isinstance(first[name], list) else first[name].cast(kind)]).take(at) for name, kind in zip(names, types, strict=True)}
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(game), batch.column(1).take(game), *columns.values(), pa.array(errors, pa.string())], [key, "_copies", *columns, "error"])
+
+    whole = found.mapInArrow(run, f"{key} {kind}, _copies long, {TREE}, error string")
     if not side_lines:
-        whole = whole.where("depth = 0")
+        whole = whole.where("depth = 0 OR error IS NOT NULL")
     lost = [c for c, stays in (("comment", comments), ("clock", commands), ("evaluation", commands)) if not stays]
     whole = whole.withColumns({c: F.lit(None).cast("string") for c in lost})
-    out = whole.unionByName(bad.unionByName(grown_rows.where("error IS NOT NULL").select(key, "_copies", "error")), allowMissingColumns=True)
+    out = whole.unionByName(bad, allowMissingColumns=True)
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "_copy")
 
 
-def grown(record: bytes, about: str | None, moves: list[dict], known: dict) -> tuple[list[dict] | None, str | None]:
-    """The rows of a tree, or the number of the first node that isn't legal."""
-    boards, children, paths = [replay.Board.of(record)], [0], [[]]
-    empty = dict.fromkeys(("move", "uci", "clock", "evaluation", "parent"))
-    out = [empty | {"node": ROOT, "ply": 0, "depth": 0, "path": [], "record": record, "glyphs": [], "comment": about}]
-    for m in moves:
-        board = boards[m["parent"]]
-        step = board.record(), m["san"]
+def grown(record: bytes, sans: list[str], parents: list[int], known: dict) -> tuple[tuple[list, list, list, list] | None, str | None]:
+    """Paths, records, moves and coordinates of a tree from its first position on, or the number of the first node that isn't legal."""
+    boards, children, paths, records, moves, uci = [replay.Board.of(record)], [0], [[]], [record], [None], [None]
+    for san, parent in zip(sans, parents, strict=True):
+        step = records[parent], san
         if step not in known:
-            known[step] = replay.made(board, replay.resolved(board, m["san"]))
+            known[step] = replay.made(boards[parent], replay.resolved(boards[parent], san))
         if known[step] is None:
-            return None, f"illegal_node_{m['node']}"
-        text, uci, after, position = known[step]
-        boards.append(position)
-        children[m["parent"]] += 1
+            return None, f"illegal_node_{len(records)}"
+        for column, value in zip((moves, uci, records, boards), known[step], strict=True):
+            column.append(value)
+        children[parent] += 1
         children.append(0)
-        paths.append([*paths[m["parent"]], children[m["parent"]]])
-        out.append({"node": m["node"], "parent": m["parent"], "ply": m["ply"], "depth": m["depth"], "path": paths[-1], "record": after, "move": text, "uci": uci, "glyphs": m["glyphs"], "comment": m["comment"], "clock": m["clock"], "evaluation": m["evaluation"]})
-    return out, None
+        paths.append([*paths[parent], children[parent]])
+    return (paths, records, moves, uci), None

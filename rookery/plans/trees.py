@@ -36,7 +36,7 @@ _DUCK = _text("[{}]", "{}[{}]", "'{{intro}} ' || array_to_string(list_transform(
 
 def annotated(spark: SparkSession, d: str) -> DataFrame:
     """id and pgn."""
-    held = b.table(spark, d, "orders").selectExpr("o_orderkey AS id", *_FORM.split(", ", 4))
+    held = b.dealt(spark, d, "orders", "o_orderkey", "o_custkey").selectExpr("o_orderkey AS id", *_FORM.split(", ", 4))
     return held.select("id", F.concat(F.lit(_HEAD), F.expr(_SPARK)).alias("pgn"))
 
 

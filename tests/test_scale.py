@@ -3,7 +3,7 @@
 from conftest import SMALL
 
 from rookery.functions import boards, features
-from rookery.operators import moves, search, store
+from rookery.operators import moves, search, store, variations
 from rookery.plans import bindings as b
 from rookery.sources import pgn
 
@@ -40,3 +40,10 @@ def test_headers_and_moves_are_made_once(spark):
     held = pgn.framed(pgn.kept(games, rating=2200)).where("error IS NULL AND result <> '1-0'").select("id", "headers", "moves", "error")
     text = held._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("lower(regexp_replace(") == 1 and text.count("aggregate(") == 1  # names of tags; rounds that strip variations
+
+
+def test_trees_are_grown_once(spark):
+    """Starts, games with faults and games with a wrong move are no runs of their own."""
+    games = spark.createDataFrame([(1, '[Event "x"]\n\n1. e4 e5 *')], "id int, pgn string")
+    text = variations.tree(games, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("MapInArrow") == 1
