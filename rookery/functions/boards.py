@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .once import made_once
+
 #: Pieces in the order of their codes in a record, from 1; 0 is an empty square.
 PIECES = "PNBRQKpnbrqk"
 #: The mask of each piece.
@@ -24,11 +26,10 @@ def placement(fen: Column) -> Column:
 def _masked(df: DataFrame, board: Column, letters: str) -> DataFrame:
     """Adds a mask for each piece of a board of 64 letters, from a1: its squares as binary digits, the last one first. letters: of
     an empty square and of the pieces in order; masks are 0 if the board has others."""
-    whole, backwards = board.rlike(f"^[{letters}]{{64}}$"), F.reverse(board)
-    for i, mask in enumerate(MASKS, 1):
-        digits = F.translate(backwards, letters, "0" * i + "1" + "0" * (len(letters) - i - 1))
-        df = df.withColumn(mask, F.when(whole, F.conv(digits, 2, -10).cast("long")).otherwise(F.lit(0).cast("long")))
-    return df
+    df = made_once(df, _backwards=F.when(board.rlike(f"^[{letters}]{{64}}$"), F.reverse(board)))
+    digits = {mask: F.translate("_backwards", letters, "0" * i + "1" + "0" * (len(letters) - i - 1)) for i, mask in enumerate(MASKS, 1)}
+    masks = {mask: F.coalesce(F.conv(text, 2, -10).cast("long"), F.lit(0).cast("long")) for mask, text in digits.items()}
+    return made_once(df.drop(*MASKS), **masks).drop("_backwards")
 
 
 def with_masks(df: DataFrame, fen: str = "fen") -> DataFrame:
@@ -55,15 +56,22 @@ def with_masks(df: DataFrame, fen: str = "fen") -> DataFrame:
 
 
 def record() -> Column:
-    """The 67-byte record of a row with masks: 64 piece codes, side (0 white), castling bits, ep square or 255."""
-    codes = "transform(sequence(0, 63), s -> " + " + ".join(f"{i} * CAST(shiftrightunsigned({m}, s) & 1 AS INT)" for i, m in enumerate(MASKS, 1)) + ")"
-    tail = "array(IF(side = 'w', 0, 1), castling, coalesce(ep, 255))"
-    return F.expr(f"unhex(array_join(transform(concat({codes}, {tail}), c -> lpad(hex(c), 2, '0')), ''))")
+    """The 67-byte record of a row with masks (no two of which share a square): 64 piece codes, side (0 white), castling bits, ep square
+    or 255. Masks become one for each bit of the codes, and each rank of these the eight bytes of its squares."""
+    planes = ", ".join(" | ".join(f"`{m}`" for i, m in enumerate(MASKS, 1) if i >> bit & 1) for bit in range(4))
+    # bit k of a rank goes to byte 7 - k: copies at distances of 9 bits have it at 63 - 8 * k, and that of bit 0 is put there by itself
+    row = lambda bit: f"shiftrightunsigned(p[{bit}], r)"
+    bytes_ = lambda bit: f"(shiftright(((({row(bit)} & 254) * {0x0040201008040201}) & {0x0080808080808080}), 7) | shiftleft({row(bit)} & 1, 56))"
+    whole = " + ".join(f"{1 << bit} * {bytes_(bit)}" for bit in range(4))
+    # a variable, so that masks are made once and not for each rank
+    codes = f"element_at(transform(array(array({planes})), p -> array_join(transform(sequence(0, 56, 8), r -> lpad(hex({whole}), 16, '0')), '')), 1)"
+    return F.expr(f"unhex(concat_ws('', {codes}, IF(side = 'w', '00', '01'), lpad(hex(castling), 2, '0'), lpad(hex(coalesce(ep, 255)), 2, '0')))")
 
 
 def from_record(df: DataFrame, column: str = "record") -> DataFrame:
     """The masks, side, castling and ep of a record."""
-    held = df.withColumn("_hex", F.hex(column)).withColumn("_board", F.regexp_replace(F.substring("_hex", 1, 128), "0(.)", "$1"))
+    held = made_once(df, _hex=F.hex(column))
+    held = held.withColumn("_board", F.regexp_replace(F.substring("_hex", 1, 128), "0(.)", "$1"))
     held = _masked(held, F.col("_board"), "0123456789ABC").drop("_board")
     byte = lambda i: F.conv(F.substring("_hex", 2 * i + 1, 2), 16, 10).cast("int")
     return held.withColumn("side", F.when(byte(64) == 0, "w").otherwise("b")).withColumn("castling", byte(65)).withColumn("ep", F.when(byte(66) < 64, byte(66))).drop("_hex")

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.once import made_once
 from ..sources import pgn
 from . import replay
 
@@ -35,8 +36,8 @@ def tokens(games: DataFrame) -> DataFrame:
     """_id, own, place (from 1), token, kind (open, close, move, glyph, comment, none, or what is wrong with it), san and glyph of
     games(_id, own, pgn); own is carried along."""
     held = games.select("_id", "own", F.posexplode(F.regexp_extract_all(pgn.movetext(F.col("pgn")), F.lit(f"({TOKEN})"), F.lit(1))).alias("place", "token"))
-    held = pgn.made_once(held, _word=F.regexp_replace("token", r"^\d+\.(?:\.\.)?", ""))
-    held = pgn.made_once(held, _suffix=F.regexp_extract("_word", r"([!?]+)$", 1))
+    held = made_once(held, _word=F.regexp_replace("token", r"^\d+\.(?:\.\.)?", ""))
+    held = made_once(held, _suffix=F.regexp_extract("_word", r"([!?]+)$", 1))
     word, suffix = F.col("_word"), F.col("_suffix")
     first = F.substring("token", 1, 1)
     symbols = F.create_map(*[F.lit(x) for pair in SYMBOLS.items() for x in pair])

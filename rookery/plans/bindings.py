@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boards
+from ..functions.once import made_once
 
 #: 48 bits on ranks 2 to 7, about a quarter set; no product passes 63 bits.
 P48 = 1 << 48
@@ -113,11 +114,12 @@ def _whole(rows: DataFrame) -> DataFrame:
 
 
 def _named(df: DataFrame) -> DataFrame:
+    df = made_once(df.select("id", *[F.col(m).alias(f"_{m}") for m in boards.MASKS], "side", "castling", "ep"), **{m: F.col(f"_{m}") for m in boards.MASKS})
     return df.select("id", *boards.MASKS, "side", "castling", "ep", F.col("wp").alias("white"), F.col("bp").alias("black"), boards.record().alias("record"))
 
 
 def whole_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = _whole(table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_size"))
+    held = _whole(dealt(spark, sf_dir, "part", "p_partkey", "p_size").selectExpr("p_partkey AS id", "p_size"))
     forms = [held.where("v NOT IN (1, 2, 7)"), boards.color_swapped(held.where("v IN (1, 7)")), boards.file_reflected(held.where("v = 2"))]
     return _named(forms[0].unionByName(forms[1]).unionByName(forms[2]))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boards, features
+from ..functions.once import made_once
 from ..operators import moves
 from . import bindings as b
 from .queries import query
@@ -48,8 +49,9 @@ def placed(spark: SparkSession, d: str) -> DataFrame:
     """id (the part's key), masks, side, castling and ep. Keys are dealt out first: a split of a table is small for its scan, but
     its positions are milliseconds of work each."""
     held = b.table(spark, d, "part").selectExpr("CAST(p_partkey AS BIGINT) AS id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
-    held = held.selectExpr("id", f"array({_SQUARES}) AS sq", f"array({_CODES}) AS men", f"CAST({_TO_MOVE} AS INT) AS side", f"CAST({_RIGHTS} AS INT) AS castling", f"CAST({_FILE} AS INT) AS file")
-    held = held.withColumn("board", F.expr("transform(sequence(0L, 63L), x -> coalesce(get(men, CAST(array_position(sq, x) AS INT) - 1), 0))"))
+    # within a function over squares, names would stand for all that makes them
+    held = made_once(held, sq=F.expr(f"array({_SQUARES})"), side=F.expr(f"CAST({_TO_MOVE} AS INT)"), castling=F.expr(f"CAST({_RIGHTS} AS INT)"), file=F.expr(f"CAST({_FILE} AS INT)"))
+    held = made_once(held, board=F.expr(f"transform(sequence(0L, 63L), x -> coalesce(get(array({_CODES}), CAST(array_position(sq, x) AS INT) - 1), 0))"))
     held = held.withColumn("bytes", F.expr(f"concat(board, array(side, castling, CAST({_PASSED.format('element_at')} AS INT)))"))
     return boards.from_record(held.select("id", F.expr("unhex(array_join(transform(bytes, c -> lpad(hex(c), 2, '0')), ''))").alias("record"))).drop("record")
 

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.once import made_once
+
 OPENING = "[Event "
 #: Longer games are malformed.
 MOST_BYTES = 100_000
@@ -56,12 +58,6 @@ def counters(games: DataFrame, rating: int | None = None, allow_bullet: bool = F
     return games.agg(F.count("*").alias("read")).join(malformed, F.lit(True)).select("read", (F.col("read") - F.col("passed")).alias("filtered"), "malformed", (F.col("passed") - F.col("malformed")).alias("imported"))
 
 
-def made_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are made once for each row, however many later columns and filters read them: names of a select are replaced
-    by their expressions, and filters go before it, but neither passes a generator."""
-    return df.select("*", F.stack(F.lit(1), *columns.values()).alias(*columns))
-
-
 def with_headers(games: DataFrame) -> DataFrame:
     return games if "headers" in games.columns else made_once(games, headers=headers(F.col("pgn")))
 

@@ -1,6 +1,7 @@
 """Plans: what reaches the scan, and what is shuffled."""
 
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from rookery.functions import boards, features
 from rookery.operators import moves, search, store, variations
@@ -47,3 +48,18 @@ def test_trees_are_grown_once(spark):
     games = spark.createDataFrame([(1, '[Event "x"]\n\n1. e4 e5 *')], "id int, pgn string")
     text = variations.tree(games, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("MapInArrow") == 1
+
+
+def test_masks_are_made_once_for_a_record(spark):
+    """Not for each square of it: a name within a function over squares would stand for all that makes the mask."""
+    text = b.whole_positions(spark, SMALL).select("id", "record")._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line for line in text.split("\n") if "unhex(" in line]
+    assert lines and not any("p_size" in line for line in lines)
+
+
+def test_records_have_any_square_of_any_man(spark):
+    rows = [("." * s + p + "." * (63 - s), s, i) for i, p in enumerate(boards.PIECES, 1) for s in range(64)]
+    held = boards._masked(spark.createDataFrame(rows, "text string, s int, code int"), F.col("text"), "." + boards.PIECES)
+    held = held.selectExpr("*", "'b' AS side", "s % 16 AS castling", "IF(code % 2 = 0, NULL, s) AS ep")
+    for r in held.select("s", "code", boards.record().alias("record")).collect():
+        assert bytes(r["record"]) == bytes([*(r["code"] if s == r["s"] else 0 for s in range(64)), 1, r["s"] % 16, r["s"] if r["code"] % 2 else 255])
