@@ -98,8 +98,8 @@ def king_attacks(mask: str) -> str:
 
 
 def squares(mask: str) -> str:
-    """Ascending square numbers."""
-    return f"filter(sequence(0, 63), s -> ((shiftrightunsigned({mask}, s) & 1) = 1))"
+    """Ascending square numbers. The mask is a variable, so that it is made once and not for each square."""
+    return f"transform(array({mask}), m -> filter(sequence(0, 63), s -> ((shiftrightunsigned(m, s) & 1) = 1)))[0]"
 
 
 def name_of(square: str) -> str:

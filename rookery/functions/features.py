@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import attacks, bits, geometry
 from .attacks import signed
+from .once import spread
 
 CENTER = sum(1 << 8 * r + f for r in range(2, 6) for f in range(2, 6))
 KEY = sum(1 << s for s in (27, 28, 35, 36))
@@ -286,12 +287,11 @@ def extract(positions: DataFrame, key: str, ids: list[str] | None = None) -> Dat
     chosen = [f for f in CATALOGUE.values() if ids is None or f.id in ids or f.section in ids]
     columns = [F.expr(rendered(f)).alias(f.id) for f in chosen]
     texts = " ".join(side_text(f.text, s) if f.per_side else f.text for f in chosen for s in "wb")
-    held = staged(positions)
     if _MOVED.search(texts):
         from ..operators import moves
 
-        held = held.join(moves.forcing(positions, key), key)
-    return held.select(key, *columns)
+        positions = spread(positions.join(moves.forcing(positions, key), key), key)
+    return staged(positions).select(key, *columns)
 
 
 #: Sections and features that give no atoms.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boards, features, similarity
+from ..functions.once import spread
 from ..operators import corpus, moves, replay
 from ..sources import pgn
 from . import bindings as b
@@ -164,10 +165,10 @@ def positions_validated(spark, d):
 
 def _boards(spark: SparkSession, d: str) -> DataFrame:
     """Each position of the parts and of the orders' games once, by the hexadecimal text of its record. Equal games are played
-    once."""
+    once. What follows works long on each, so they are dealt out."""
     lists = _move_lists(spark, d).select("moves").distinct().withColumn("game", F.array_join("moves", " "))
     played = replay.positions(replay.played(lists, "game"), "game").select("record")
-    records = played.unionAll(b.whole_positions(spark, d).select("record")).distinct()
+    records = spread(played.unionAll(b.whole_positions(spark, d).select("record")).distinct(), "record")
     return boards.from_record(records).withColumn("id", F.hex("record"))
 
 

@@ -3,9 +3,10 @@
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from rookery.functions import boards, features
+from rookery.functions import bits, boards, features
 from rookery.operators import moves, search, store, variations
 from rookery.plans import bindings as b
+from rookery.plans.queries import games
 from rookery.sources import pgn
 
 
@@ -63,3 +64,20 @@ def test_records_have_any_square_of_any_man(spark):
     held = held.selectExpr("*", "'b' AS side", "s % 16 AS castling", "IF(code % 2 = 0, NULL, s) AS ep")
     for r in held.select("s", "code", boards.record().alias("record")).collect():
         assert bytes(r["record"]) == bytes([*(r["code"] if s == r["s"] else 0 for s in range(64)), 1, r["s"] % 16, r["s"] if r["code"] % 2 else 255])
+
+
+def test_masks_are_made_once_for_their_squares(spark):
+    """Not for each of 64 squares: a mask may be long to make."""
+    text = bits.names("MADE")
+    assert text.count("MADE") == 1 and "MADE" not in text[text.index("filter(") :]
+    rows = spark.createDataFrame([(1, -(1 << 63) + 5), (2, 0), (3, None)], "id int, m long").select("id", F.expr(bits.names("m")).alias("n"))
+    assert {r["id"]: r["n"] for r in rows.collect()} == {1: ["a1", "c1", "h8"], 2: [], 3: []}
+
+
+def test_long_work_on_boards_is_dealt_out(spark):
+    """Few short rows are one task otherwise, behind the search for different boards and behind the join with counted moves."""
+    held = games._boards(spark, SMALL)
+    assert held.select(F.spark_partition_id().alias("p")).distinct().count() == 8
+    some = held.limit(40).repartition(1)
+    text = plan(features.extract(some, "id", ["tactics.fork", "threats.aantal_checks"]))
+    assert "REPARTITION_BY_NUM" in text[: text.index("Join")]
