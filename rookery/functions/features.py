@@ -319,5 +319,7 @@ def atoms(vectors: DataFrame, key: str) -> DataFrame:
 def compared(vectors: DataFrame, key: str, other: DataFrame) -> DataFrame:
     """key, feature, equal: the features of two extractions of the same keys, side by side."""
     names = [c for c in vectors.columns if c != key]
-    text = lambda df: df.select(key, F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in names]), F.array(*[F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) for c in names]))).alias("feature", "value"))
-    return text(vectors).join(text(other).withColumnRenamed("value", "other"), [key, "feature"]).select(key, "feature", F.col("value").eqNullSafe(F.col("other")).alias("equal"))
+    texts = lambda df, name: df.select(key, F.array(*[F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) for c in names]).alias(name))
+    both = texts(vectors, "value").join(texts(other, "other"), key)  # one row for a position, not for each of its features
+    pairs = both.select(key, F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in names]).alias("feature"), "value", "other")).alias("p"))
+    return pairs.select(key, "p.feature", F.col("p.value").eqNullSafe(F.col("p.other")).alias("equal"))

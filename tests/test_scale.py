@@ -81,3 +81,10 @@ def test_long_work_on_boards_is_dealt_out(spark):
     some = held.limit(40).repartition(1)
     text = plan(features.extract(some, "id", ["tactics.fork", "threats.aantal_checks"]))
     assert "REPARTITION_BY_NUM" in text[: text.index("Join")]
+
+
+def test_compared_features_join_by_position(spark):
+    p = boards.with_masks(spark.createDataFrame([(1, boards.START)], "id int, fen string"))
+    got = features.extract(p, "id", ["center"])
+    text = plan(features.compared(got, "id", got))
+    assert text.count("Generate explode(arrays_zip") == 1 and text.index("Generate explode(arrays_zip") < text.index("Join")
