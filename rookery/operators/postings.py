@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.once import made_once
 from . import search
 
 #: Ids of a bucket, and parts by the hash of atoms.
@@ -86,20 +87,24 @@ def without(left: DataFrame, right: DataFrame) -> DataFrame:
     return held.select("bucket", F.when(F.col("_less").isNull(), F.col("bits")).otherwise(less).alias("bits")).where(F.bitmap_count("bits") > 0)
 
 
-def ids(found: DataFrame) -> DataFrame:
-    """id of each bit of (bucket, bits)."""
+def ids(found: DataFrame, *kept: str) -> DataFrame:
+    """id of each bit of (bucket, bits), and columns that are kept."""
     byte = lambda i: F.struct(i.alias("at"), F.conv(F.hex(F.substring("bits", i + 1, F.lit(1))), 16, 10).cast("int").alias("b"))
     some = F.filter(F.transform(F.sequence(F.lit(0), F.lit(BUCKET // 8 - 1)), byte), lambda x: x["b"] > 0)
-    bytes_ = found.select("bucket", F.explode(some).alias("x"))
+    bytes_ = found.select(*kept, "bucket", F.explode(some).alias("x"))
     bit = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.getbit(F.col("x.b"), k) == 1)
-    place = bytes_.select("bucket", F.col("x.at").alias("at"), F.explode(bit).alias("k")).select("bucket", (F.col("at") * 8 + F.col("k")).cast("long").alias("place"))
-    return place.select(F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * BUCKET + F.col("place") + 1).otherwise(F.col("bucket") * BUCKET - F.col("place")).alias("id"))
+    place = bytes_.select(*kept, "bucket", F.col("x.at").alias("at"), F.explode(bit).alias("k")).select(*kept, "bucket", (F.col("at") * 8 + F.col("k")).cast("long").alias("place"))
+    return place.select(*kept, F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * BUCKET + F.col("place") + 1).otherwise(F.col("bucket") * BUCKET - F.col("place")).alias("id"))
 
 
 def pieces(text: Column) -> Column:
-    """The different trigrams of a text in lower case; none of a shorter or null one."""
-    low = F.lower(text)
-    return F.coalesce(F.when(F.char_length(low) >= PIECE, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(low) - (PIECE - 1)), lambda i: F.substring(low, i, F.lit(PIECE))))), F.array().cast("array<string>"))
+    """The different trigrams of a text in lower case; none of a shorter or null one. The text is a variable, so that it is made once
+    and not for each trigram."""
+
+    def cut(low: Column) -> Column:
+        return F.when(F.char_length(low) >= PIECE, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(low) - (PIECE - 1)), lambda i: F.substring(low, i, F.lit(PIECE)))))
+
+    return F.coalesce(F.element_at(F.transform(F.array(F.lower(text)), cut), 1), F.array().cast("array<string>"))
 
 
 def field_pieces(metadata: Column, fields: list[str]) -> Column:
@@ -120,3 +125,30 @@ def containing(rows: DataFrame, id: str, postings: DataFrame, field: str, part:
         some = ids(all_of(postings, [f"{field}:{p}" for p in wanted])).withColumnRenamed("id", id)
         rows = rows.join(some, id, "left_semi")
     return rows.where(search.value_contains(F.col(metadata), field, part))
+
+
+def containing_each(rows: DataFrame, id: str, postings: DataFrame, asked: list[tuple[str, str]], metadata: str = "metadata") -> DataFrame:
+    """id, field and part: containing() for many (field, part), each row for each that it contains. Lists are read once for all
+    parts together, rows once for those with trigrams and once for the shorter ones."""
+    asked = list(dict.fromkeys(asked))
+    spark = rows.sparkSession
+    named = spark.createDataFrame([(i, f, p) for i, (f, p) in enumerate(asked)], "asked int, field string, part string")
+    atoms = [(r[0], [f"{r[1]}:{p}" for p in r[2]]) for r in named.select("asked", "field", pieces(F.col("part"))).collect()]
+    wanted = spark.createDataFrame([(a, i, len(of)) for i, of in atoms for a in of], "atom string, asked int, need int")
+    lists = _asked(postings, [a for _, of in atoms for a in of]).groupBy("bucket", "atom").agg(F.bitmap_or_agg("bits").alias("bits"))
+    all_held = lists.join(F.broadcast(wanted), "atom").groupBy("asked", "need", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n"))
+    some = ids(all_held.where((F.col("n") == F.col("need")) & (F.bitmap_count("bits") > 0)), "asked").withColumnRenamed("id", id)
+    # maps are made once for a row
+    held = made_once(rows.select(id, F.col(metadata).alias("_metadata")), _held=F.col("_metadata")).select(id, "_held")
+    contains = {i: search.value_contains(F.col("_held"), *asked[i]) for i, _ in atoms}
+    long, short = ([i for i, of in atoms if bool(of) == has] for has in (True, False))
+    found = spark.createDataFrame([], f"{id} {rows.schema[id].dataType.simpleString()}, asked int")
+    if long:
+        test = F.lit(False)
+        for i in long:
+            test = F.when(F.col("asked") == i, contains[i]).otherwise(test)
+        found = found.unionByName(held.join(some, id).where(test).select(id, "asked"))
+    if short:
+        which = F.filter(F.array(*[F.when(contains[i], F.lit(i)) for i in short]), lambda i: i.isNotNull())
+        found = found.unionByName(held.select(id, F.explode(which).alias("asked")))
+    return found.join(F.broadcast(named), "asked").select(id, "field", "part")

@@ -55,9 +55,5 @@ def trigram_contains(spark, d):
     """Parts of names and events in records, with signs that other matches give a meaning, and shorter than a trigram."""
     records = b.records(spark, d)
     lists = postings.built(records.select("id", postings.field_pieces(F.col("metadata"), list(_PARTS)).alias("atoms")), "id", "atoms")
-    found = None
-    for field, parts in _PARTS.items():
-        for part in parts:
-            own = postings.containing(records, "id", lists, field, part).select("id", F.lit(field).alias("field"), F.lit(part).alias("part"))
-            found = own if found is None else found.unionByName(own)
+    found = postings.containing_each(records, "id", lists, [(field, part) for field, parts in _PARTS.items() for part in parts])
     return found.groupBy("field", "part").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))

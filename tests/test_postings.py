@@ -73,3 +73,16 @@ def test_parts_of_texts_by_trigrams(spark):
         assert got == {r["id"] for r in rows.where(search.value_contains(F.col("metadata"), "white", part)).collect()}, part
     narrowed = postings.containing(rows, "id", p, "white", "rlsen")._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in narrowed and "LeftSemi" not in postings.containing(rows, "id", p, "white", "rl")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_parts_are_looked_for_together(spark):
+    names = ["Carlsen, Magnus", "CARLSEN", "100%_sure", "100 sure", "ab", "", None, "MÜLLER-Thurgau"]
+    rows = spark.createDataFrame([(i + 1, {"white": n, "black": "Carlsen"} if n is not None else {"event": "Carlsen"}) for i, n in enumerate(names)] + [(2, {"white": "Carlsen"})], "id long, metadata map<string,string>")
+    p = postings.built(rows.select("id", postings.field_pieces(F.col("metadata"), ["white", "black"]).alias("atoms")), "id", "atoms")
+    asked = [(f, part) for f in ("white", "black") for part in ("carlsen", "RLS", "%_s", "0%", "a", "", "mÜL", "absent")]
+    for some in (asked, asked[:3], [("white", "a")], [], asked[:2] * 2):
+        got = sorted(tuple(r) for r in postings.containing_each(rows, "id", p, some).select("id", "field", "part").collect())
+        assert got == sorted((r["id"], f, part) for f, part in set(some) for r in postings.containing(rows, "id", p, f, part).collect()), some
+    text = postings.containing_each(rows, "id", p, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("bitmap_construct_agg(") == 1  # lists aren't built again for each part
+    assert text.count("lower(") and not any(line.count("substring(lower(") for line in text.split("\n"))  # nor a text made again for each trigram
