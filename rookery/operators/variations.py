@@ -1,125 +1,109 @@
 """Annotated games as trees: side lines, comments, glyphs, clocks and evaluations at the moves that they belong to.
 
-Text becomes rows of tokens. A running sum of brackets gives each token its depth, and
-the last bracket opened at that depth its line. A move follows the one before it in
-its line; the first of a line follows what the move follows that it stands in for.
-Once all rows of a game know their parents, its tree is played out in one loop over
-them.
+A game's tree depends on no other game: its text is taken apart in one loop with a
+stack of open brackets, and its moves are played out in a second one. So games need
+no shuffle, and what a batch makes is as long as its games. A move follows the one
+before it in its line; the first of a line follows what the move follows that it
+stands in for. Texts that a batch holds more than once are taken apart once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import boards
 from ..functions.once import made_once
 from ..sources import pgn
 from . import replay
 
 # The notation's tokens (comments, rests of lines, brackets, numeric glyphs, words, and what is left over of an
-# unclosed comment or a lonely glyph sign), the glyphs of its symbols, and how many glyphs a move has, and the largest.
+# unclosed comment or a lonely glyph sign), the glyphs of its symbols, what is wrong with lonely signs, and how many glyphs a move has, and the largest.
 TOKEN = r"\{[^}]*\}|;[^\r\n]*|[()]|\$\d+|[^\s{}();$]+|[{}$]"
 SYMBOLS = {"!": 1, "?": 2, "!!": 3, "??": 4, "!?": 5, "?!": 6}
+LONELY = {"{": "unclosed_comment", "}": "bad_move", "$": "bad_glyph"}
 MOST_GLYPHS, LARGEST_GLYPH = 8, 255
 ROOT = 0
-
-
-def _command(name: str) -> Column:
-    return F.nullif(F.regexp_extract("token", rf"\[%{name}\s+([^\]]+)\]", 1), F.lit(""))
-
-
-def tokens(games: DataFrame) -> DataFrame:
-    """_id, own, place (from 1), token, kind (open, close, move, glyph, comment, none, or what is wrong with it), san and glyph of
-    games(_id, own, pgn); own is carried along."""
-    held = games.select("_id", "own", F.posexplode(F.regexp_extract_all(pgn.movetext(F.col("pgn")), F.lit(f"({TOKEN})"), F.lit(1))).alias("place", "token"))
-    held = made_once(held, _word=F.regexp_replace("token", r"^\d+\.(?:\.\.)?", ""))
-    held = made_once(held, _suffix=F.regexp_extract("_word", r"([!?]+)$", 1))
-    word, suffix = F.col("_word"), F.col("_suffix")
-    first = F.substring("token", 1, 1)
-    symbols = F.create_map(*[F.lit(x) for pair in SYMBOLS.items() for x in pair])
-    kind = (
-        F.when(F.col("token") == "(", "open")
-        .when(F.col("token") == ")", "close")
-        .when(F.col("token") == "{", "unclosed_comment")
-        .when((first == "{") | (first == ";"), "comment")
-        .when(F.col("token").isin("}"), "bad_move")
-        .when(F.col("token") == "$", "bad_glyph")
-        .when(first == "$", "glyph")
-        .when((word == "") | word.isin(*pgn.RESULTS), "none")
-        .when(word.isin(*SYMBOLS), "glyph")
-        .otherwise("move")
-    )
-    numeric = F.substring("token", 2, 12).try_cast("int")
-    return held.withColumns({"place": F.col("place") + 1, "kind": kind, "san": F.regexp_replace(word, r"[!?]+$", ""), "glyph": F.coalesce(F.when(first == "$", F.coalesce(numeric, F.lit(LARGEST_GLYPH + 1))), F.try_element_at(symbols, suffix), F.when(suffix != "", F.lit(LARGEST_GLYPH + 1)))}).drop("_word", "_suffix")
-
-
-def nodes(rows: DataFrame) -> DataFrame:
-    """A row for each game of tokens(): own, fault (null, or why it has no tree), about (comments before its first move) and
-    moves, in the order of the text: (node, parent, ply, depth, san, glyphs, comment, clock, evaluation), from node 1; ROOT is
-    the first position. One shuffle by games serves all windows."""
-    game = Window.partitionBy("_id").orderBy("place")
-    opened, closed = F.when(F.col("kind") == "open", 1).otherwise(0), F.when(F.col("kind") == "close", 1).otherwise(0)
-    held = rows.withColumn("after", F.sum(opened - closed).over(game)).withColumn("depth", F.col("after") + closed)
-    # a bracket opens a line at its own depth, and marks one move of the line around it
-    roles = F.when(F.col("kind") == "open", F.array(F.lit("opens"), F.lit("marks"))).otherwise(F.array(F.lit("is")))
-    held = held.withColumn("role", F.explode(roles)).withColumn("depth", F.col("depth") - F.when(F.col("role") == "marks", 1).otherwise(0))
-    within = Window.partitionBy("_id", "depth").orderBy("place")
-    held = held.withColumn("line", F.coalesce(F.last(F.when(F.col("role") == "opens", F.col("place")), ignorenulls=True).over(within), F.lit(ROOT)))
-    # the line so far: its last move, the one before that, and how many
-    line = Window.partitionBy("_id", "line").orderBy("place", "role")
-    move = F.col("kind") == "move"
-    held = held.withColumn("count", F.count(F.when(move, 1)).over(line)).withColumn("prev", F.last(F.when(move, F.col("place")), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)))
-    # what the last move of the line followed in it
-    held = held.withColumn("before", F.last(F.when(move, F.struct(F.col("prev").alias("p"))), ignorenulls=True).over(line)["p"])
-    wrong = (
-        F.when(F.col("after") < 0, "unexpected_ending")
-        .when((F.col("role") == "marks") & (F.col("count") == 0), "variation_without_move")
-        .when((F.col("kind") == "glyph") & (F.col("count") == 0), "annotation_without_move")
-        .when(F.col("kind").isin("unclosed_comment", "bad_move", "bad_glyph"), F.col("kind"))
-    )
-    comment = F.nullif(F.trim(F.regexp_replace(F.regexp_replace("token", r"\[%[^\]]*\]", ""), r"^\{|\}$|^;", "")), F.lit(""))
-    is_comment = F.col("kind") == "comment"
-    # annotations belong to the last move of their line; comments before its first one to that one, or in the main line to the game
-    to = F.when(is_comment & (F.col("count") == 0) & (F.col("line") != ROOT), 1).otherwise(F.col("count"))
-    held = held.withColumns({"wrong": wrong, "to": to})
-    marked = F.col("role") == "marks"
-    one = held.groupBy("_id", "line", "to").agg(
-        F.first("own").alias("own"),
-        F.min(F.when(F.col("wrong").isNotNull(), F.struct("place", "wrong"))).alias("wrong"),
-        F.sum(F.when(F.col("role") != "opens", opened - closed)).alias("open"),
-        F.max(F.when(move, F.col("place"))).alias("place"),
-        F.max(F.when(move, F.struct("san", "prev", "depth"))).alias("m"),
-        F.collect_list(F.when(marked, F.struct("place", F.col("line").alias("up"), "before", "count"))).alias("lines"),
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind").isin("move", "glyph") & F.col("glyph").isNotNull(), F.struct("place", "glyph")))), lambda x: x["glyph"])).alias("glyphs"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(is_comment & comment.isNotNull(), F.struct("place", comment.alias("c"))))), lambda x: x["c"]), "\n").alias("comment"),
-        *(F.max_by(F.when(is_comment & (F.col("count") > 0), _command(n)), F.when(is_comment & (F.col("count") > 0) & _command(n).isNotNull(), F.col("place"))).alias(name) for n, name in (("clk", "clock"), ("eval", "evaluation"))),
-    )
-    # lines in the order of the text: where each branches off, a move of its own line's or that of the line around it
-    got = one.groupBy("_id").agg(
-        F.first("own").alias("own"),
-        F.min("wrong")["wrong"].alias("wrong"),
-        F.sum("open").alias("open"),
-        F.max(F.when((F.col("line") == ROOT) & (F.col("to") == 0), F.nullif("comment", F.lit("")))).alias("about"),
-        F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "line", F.col("to").alias("n"), "m", "glyphs", F.nullif("comment", F.lit("")).alias("comment"), "clock", "evaluation")))).alias("entries"),
-        F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines"),
-    )
-    bases = "map<int,struct<base:int,ply:bigint>>"
-    start = F.create_map(F.lit(ROOT), F.struct(F.lit(ROOT), F.lit(0))).cast(bases)
-    branch = lambda held, x: F.map_concat(held, F.create_map(x["place"], F.struct(F.coalesce(x["before"], held[x["up"]]["base"]), held[x["up"]]["ply"] + x["count"] - 1)).cast(bases)).cast(bases)
-    got = got.withColumn("bases", F.aggregate("lines", start, branch))
-    places = F.transform("entries", lambda e: e["place"])
-    node = lambda place: F.coalesce(F.nullif(F.array_position(places, place), F.lit(0)), F.lit(ROOT)).cast("int")
-    tree = F.transform("entries", lambda e, i: F.struct(
-        (i + 1).cast("int").alias("node"), node(F.coalesce(e["m"]["prev"], F.col("bases")[e["line"]]["base"])).alias("parent"), (F.col("bases")[e["line"]]["ply"] + e["n"]).cast("int").alias("ply"),
-        e["m"]["depth"].cast("int").alias("depth"), e["m"]["san"].alias("san"), e["glyphs"].alias("glyphs"), e["comment"].alias("comment"), e["clock"].alias("clock"), e["evaluation"].alias("evaluation"),
-    ))
-    too_many = F.exists("entries", lambda e: (F.size(e["glyphs"]) > MOST_GLYPHS) | F.exists(e["glyphs"], lambda g: g > LARGEST_GLYPH))
-    fault = F.coalesce("wrong", F.when(F.col("open") != 0, "unclosed_variation"), F.when(F.size("entries") == 0, "no_moves"), F.when(too_many, "bad_annotations"))
-    return got.select("own", fault.alias("fault"), F.when(fault.isNull(), F.col("about")).alias("about"), F.when(fault.isNull(), tree).alias("moves"))
+#: How many rows go out together, if no single game has more, and how many steps of games are remembered.
+ROWS, STEPS = 20_000, 20_000
+
+_TOKEN = re.compile(TOKEN, re.ASCII)
+_NUMBER = re.compile(r"\A\d+\.(?:\.\.)?", re.ASCII)
+_SUFFIX = re.compile(r"[!?]+" + pgn.END)
+_COMMANDS, _EDGES = re.compile(r"\[%[^\]]*\]"), re.compile(r"\A\{|\}" + pgn.END + r"|\A;")
+_CLOCK, _EVALUATION = (re.compile(rf"\[%{name}\s+([^\]]+)\]", re.ASCII) for name in ("clk", "eval"))
+
+
+@lru_cache(10_000)
+def _word(token: str) -> tuple[str, str, int | None]:
+    """Kind (move, glyph or none), move and glyph of a word."""
+    word = _NUMBER.sub("", token)
+    if word == "" or word in pgn.RESULTS:
+        return "none", "", None
+    suffix = _SUFFIX.search(word)
+    glyph = SYMBOLS.get(suffix[0], LARGEST_GLYPH + 1) if suffix else None
+    return "glyph" if word in SYMBOLS else "move", _SUFFIX.sub("", word), glyph
+
+
+def nodes(text: str) -> tuple[tuple[list, ...] | None, str | None]:
+    """parent, ply, depth, san, glyphs, comment, clock and evaluation of the first position (node ROOT, with the comments before the
+    first move) and of all moves of a move text, in its order; or why it has no tree."""
+    parents, plies, depths, sans, glyphs, comments, clocks, evaluations = [None], [0], [0], [None], [[]], [[]], [None], [None]
+    # the last move of this line, or what its first one will follow; those of the lines around; comments before the first move
+    last, fresh, around, before = ROOT, True, [], []
+    for token in _TOKEN.findall(text):
+        first = token[0]
+        if token == "(":
+            if fresh:
+                return None, "variation_without_move"
+            around.append(last)
+            last, fresh, before = parents[last], True, []
+        elif token == ")":
+            if not around:
+                return None, "unexpected_ending"
+            last, fresh, before = around.pop(), False, []
+        elif token in LONELY:
+            return None, LONELY[token]
+        elif first == "{" or first == ";":
+            comment = _EDGES.sub("", _COMMANDS.sub("", token)).strip(" ")
+            if comment:
+                (before if fresh and around else comments[last]).append(comment)
+            if not fresh and "[%" in token:
+                for values, command in ((clocks, _CLOCK), (evaluations, _EVALUATION)):
+                    if found := command.search(token):
+                        values[last] = found[1]
+        else:
+            if first == "$":
+                kind, san, glyph = "glyph", "", min(int(token[1:13]), LARGEST_GLYPH + 1)
+            else:
+                kind, san, glyph = _word(token)
+            if kind == "move":
+                parents.append(last)
+                plies.append(plies[last] + 1)
+                depths.append(len(around))
+                sans.append(san)
+                glyphs.append([])
+                comments.append(before)
+                clocks.append(None)
+                evaluations.append(None)
+                last, fresh, before = len(sans) - 1, False, []
+            elif kind == "glyph" and fresh:
+                return None, "annotation_without_move"
+            if glyph is not None and glyph not in glyphs[last]:
+                glyphs[last].append(glyph)
+    if around:
+        return None, "unclosed_variation"
+    if len(sans) == 1:
+        return None, "no_moves"
+    if any(len(of) > MOST_GLYPHS or max(of, default=0) > LARGEST_GLYPH for of in glyphs):
+        return None, "bad_annotations"
+    return (parents, plies, depths, sans, glyphs, ["\n".join(of) or None for of in comments], clocks, evaluations), None
 
 
 TREE = "node int, parent int, ply int, depth int, path array<int>, record binary, move string, uci string, glyphs array<int>, comment string, clock string, evaluation string"
@@ -133,51 +117,71 @@ def tree(games: DataFrame, key: str, comments: bool = True, side_lines: bool = T
     each move, side lines too; a side line's first move is a sibling of the move that it follows in the text. A game that is
     malformed or holds a move that isn't legal, in whatever line, has one row with error alone. comments, side_lines: whether
     these are kept; commands: whether clocks and evaluations are. Null texts are malformed, repeated rows repeat, and a null
-    key is a key. Other columns aren't read."""
-    held = games.select(key, F.coalesce("pgn", F.lit("")).alias("pgn")).groupBy(key, "pgn").agg(F.count("*").alias("_copies"))
-    framed = pgn.framed(held)
-    # first positions are looked up before the text is taken apart, so that what follows is one chain and runs once
-    begun = replay.started(framed.where("error IS NULL").select(key, "_copies", "pgn", F.try_element_at("headers", F.lit("fen")).alias("fen")))
-    first = F.when(F.col("fen").isNotNull(), F.col("record"))  # else the usual one, which rows of tokens needn't carry
-    own = F.struct(F.col(key).alias("key"), "_copies", first.alias("record"), "valid")
-    good = begun.select(F.sha2(F.to_json(F.struct(key, "pgn")), 256).alias("_id"), own.alias("own"), "pgn")
-    found = nodes(tokens(good)).select(F.col("own.key").alias(key), "own._copies", "about", "moves", "own.record", "own.valid", "fault")
-    bad = framed.where("error IS NOT NULL").select(key, "_copies", "error")
+    key is a key. Other columns aren't read. No row is shuffled."""
+    held = games.select(F.col(key).alias("_key"), F.coalesce("pgn", F.lit("")).alias("pgn"))
+    # most games begin at the usual first position: only texts that seem to have tags of another one have their headers read
+    tags = made_once(held, _tags=F.when(F.rlike("pgn", F.lit(r"(?i)\[(?:set_?up|fen)\s")), pgn.headers(F.col("pgn"))))
+    tags = made_once(tags, _fen=F.try_element_at("_tags", F.lit("fen")), _set_up=F.coalesce(pgn.set_up_without_fen(F.col("_tags")), F.lit(False)))
+    begun, other = boards.with_masks(tags, "_fen"), F.col("_fen").isNotNull()
+    text = F.when(F.octet_length("pgn") <= pgn.MOST_BYTES, F.make_valid_utf8("pgn"))
+    begun = begun.select(F.col("_key").alias(key), text.alias("pgn"), F.when(other, boards.record()).alias("record"), (~other | F.coalesce("valid", F.lit(False))).alias("valid"), "_set_up")
     kind = games.schema[key].dataType.simpleString()
-    names = [x.split()[0] for x in TREE.split(", ")]
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string())
+    names = [*(x.split()[0] for x in TREE.split(", ")), "error"]
+    lists, text = pa.list_(pa.int32()), pa.string()
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), lists, pa.binary(), text, text, lists, text, text, text, text)
     usual = bytes.fromhex(replay.FIRST)
 
+    def made(text: str | None, record: bytes | None, valid: bool, set_up: bool, known: dict) -> tuple[tuple[list, ...] | None, str | None]:
+        """Columns of a game, or its error."""
+        if text is None:
+            return None, "too_long"
+        if error := pgn.fault(text, set_up):
+            return None, error
+        found, error = nodes(pgn.move_text(text))
+        if error or not valid:
+            return None, error or "bad_start"
+        parents, plies, depths, sans, *said = found
+        out, error = grown(record or usual, sans[1:], parents[1:], known)
+        return (range(len(sans)), parents, plies, depths, *out, *said) if out else None, error
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[bytes, str], tuple | None] = {}  # of one batch: side lines often play the same
+        known: dict[tuple[bytes, str], tuple | None] = {}  # side lines and openings often play the same
         for batch in batches:
-            known.clear()
-            about, moves = batch.column(2), batch.column(3)
-            held, count = moves.flatten(), [n or 0 for n in pc.list_value_length(moves).to_pylist()]
-            sans, parents = held.field("san").to_pylist(), held.field("parent").to_pylist()
-            # of each row that goes out: its game, and its move, or behind these its game's first position, or None
-            game, at, errors, made, begin = [], [], [], ([], [], [], []), 0
-            for i, (n, record, valid, fault) in enumerate(zip(count, *(batch.column(c).to_pylist() for c in (4, 5, 6)), strict=True)):
-                out, error = (None, fault) if fault else grown(record or usual, sans[begin : begin + n], parents[begin : begin + n], known) if valid else (None, "bad_start")
-                game += [i] * (n + 1 if out else 1)
-                at += [len(sans) + i, *range(begin, begin + n)] if out else [None]
-                errors += [None] * (n + 1) if out else [error]
-                for column, values in zip(made, out or ([None],) * 4, strict=True):
+            held = batch.column(1).dictionary_encode("encode")
+            at = held.indices.to_numpy()
+            games, ends = np.argsort(at, kind="stable"), np.cumsum(np.bincount(at, minlength=len(held.dictionary)))
+            one = batch.take(pa.array(games[ends - np.bincount(at, minlength=len(ends))])) if len(batch) else batch
+            columns, sizes, begin = [[] for _ in names], [], 0
+            for i, row in enumerate(zip(*(one.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True)):
+                if len(known) > STEPS:
+                    known.clear()
+                out, error = made(*row, known)
+                sizes.append(len(out[0]) if out else 1)
+                for column, values in zip(columns, (*(out or [[None]] * (len(names) - 1)), [error] * sizes[-1]), strict=True):
                     column += values
-                begin += n
-            game, at, none = pa.array(game, pa.int32()), pa.array(at, pa.int32()), len(batch)
-            first = {"node": [ROOT] * none, "parent": [None] * none, "ply": [0] * none, "depth": [0] * none, "glyphs": [[]] * none, "comment": about, "clock": [None] * none, "evaluation": [None] * none}
-            columns = dict(zip(("path", "record", "move", "uci"), made, strict=True))
-            columns = {name: pa.array(columns[name], kind) if name in columns else pa.concat_arrays([held.field(name).cast(kind), pa.array(first[name], kind) if isinstance(first[name], list) else first[name].cast(kind)]).take(at) for name, kind in zip(names, types, strict=True)}
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(game), batch.column(1).take(game), *columns.values(), pa.array(errors, pa.string())], [key, "_copies", *columns, "error"])
-
-    whole = found.mapInArrow(run, f"{key} {kind}, _copies long, {TREE}, error string")
+                if len(columns[0]) >= ROWS or i + 1 == len(one):
+                    arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                    for game, rows in _dealt(games[begin : ends[i]], at, np.array(sizes), i + 1 - len(sizes)):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(game), *(a.take(rows) for a in arrays)], [key, *names])
+                    columns, sizes, begin = [[] for _ in names], [], ends[i]
+
+    whole = begun.mapInArrow(run, f"{key} {kind}, {TREE}, error string")
     if not side_lines:
         whole = whole.where("depth = 0 OR error IS NOT NULL")
     lost = [c for c, stays in (("comment", comments), ("clock", commands), ("evaluation", commands)) if not stays]
-    whole = whole.withColumns({c: F.lit(None).cast("string") for c in lost})
-    out = whole.unionByName(bad, allowMissingColumns=True)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "_copy")
+    return whole.withColumns({c: F.lit(None).cast("string") for c in lost})
+
+
+def _dealt(games: np.ndarray, at: np.ndarray, sizes: np.ndarray, base: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """For each row that goes out its game, and its place among the rows of different texts, about ROWS at a time. games: with these
+    texts; at: each game's text, from base; sizes: rows of each text."""
+    starts, of = np.cumsum(sizes) - sizes, at[games] - base
+    counts = sizes[of]
+    pieces = np.cumsum(counts) // ROWS
+    for piece in np.split(np.arange(len(games)), np.flatnonzero(np.diff(pieces)) + 1):
+        n = counts[piece]
+        rows = np.arange(n.sum()) + np.repeat(starts[of[piece]] - (np.cumsum(n) - n), n)
+        yield pa.array(np.repeat(games[piece], n)), pa.array(rows)
 
 
 def grown(record: bytes, sans: list[str], parents: list[int], known: dict) -> tuple[tuple[list, list, list, list] | None, str | None]:

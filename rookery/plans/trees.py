@@ -75,7 +75,7 @@ def annotated_tree(spark, d):
     held = variations.tree(annotated(spark, d), "id", commands=True)
     error = F.regexp_replace("error", "(illegal).*|bad_move", "$1")
     error = F.when(F.col("error").isin("bad_move", "unclosed_variation"), "unclosed_variation").otherwise(error)
-    return held.select("id", "node", "parent", "ply", "depth", "move", F.array_join(F.transform("glyphs", lambda g: g.cast("string")), ",").alias("glyphs"), "comment", "clock", "evaluation", error.alias("error"))
+    return held.select("id", "node", "parent", "ply", "depth", "move", F.array_join(F.col("glyphs").cast("array<string>"), ",").alias("glyphs"), "comment", "clock", "evaluation", error.alias("error"))
 
 
 @query(f"""{_WALK}, kids AS (SELECT id, parent, node, row_number() OVER (PARTITION BY id, parent ORDER BY node) AS k FROM tree WHERE node > 0),

@@ -7,7 +7,9 @@ move text is looked at.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -132,7 +134,7 @@ def framed(games: DataFrame) -> DataFrame:
         .when(F.regexp_count(bare, F.lit(r"(?m)^\s*\[\w+ \"")) > 0, "several_games")
         .when(F.regexp_count(bare, F.lit(r"(?:^|\s)1\.(?!\d)(?!\.\.)")) > 1, "several_games")
         .when(F.regexp_like(bare, F.lit(r"(?:1-0|0-1|1/2-1/2|\*)\s+\S")), "content_after_result")
-        .when((F.coalesce(F.try_element_at("headers", F.lit("set_up")), F.lit("0")) == "1") != F.try_element_at("headers", F.lit("fen")).isNotNull(), "setup_without_fen")
+        .when(set_up_without_fen(F.col("headers")), "setup_without_fen")
         .when(F.size("moves") == 0, "no_moves")
         .when(F.exists("moves", lambda m: ~F.regexp_like(m, F.lit(SAN))), "bad_move")
     )
@@ -140,6 +142,52 @@ def framed(games: DataFrame) -> DataFrame:
     return made_once(held, result=result, error=error).select(*own.columns, "moves", "result", "error")
 
 
+def set_up_without_fen(headers: Column) -> Column:
+    """Whether one of the tags of another first position is there without the other."""
+    return (F.coalesce(F.try_element_at(headers, F.lit("set_up")), F.lit("0")) == "1") != F.try_element_at(headers, F.lit("fen")).isNotNull()
+
+
+#: What Java's $ says in Python: the end, or in front of a last line terminator (words have no others).
+END = r"(?=[\x85\u2028\u2029]?\Z)"
+_HEAD = re.compile(r"\A\s*(?:\[[^\n]*\]\s*\n?)*", re.ASCII)
+_COMMENTS, _RESTS, _GLYPHS, _INNER = (re.compile(x, re.ASCII) for x in (r"\{[^}]*\}", r";[^\n]*", r"\$\d+", r"\([^()]*\)"))
+_TAG = re.compile(r'(?:\A|(?<=[\n\r\x85\u2028\u2029]))\s*\[\w+ "', re.ASCII)
+_FIRST, _BEHIND = re.compile(r"(?:\A|\s)1\.(?!\d)(?!\.\.)", re.ASCII), re.compile(r"(?:1-0|0-1|1/2-1/2|\*)\s+\S", re.ASCII)
+_NUMBER, _WORD = re.compile(r"\d+\.(?:\.\.)?", re.ASCII), re.compile(r"\S+", re.ASCII)
+_SUFFIX, _MOVE = re.compile(r"(?:e\.p\.)?[!?]*" + END), re.compile(SAN.removesuffix("$") + END)
+
+
+def move_text(text: str) -> str:
+    """movetext() of one text."""
+    return _HEAD.sub("", text, count=1).strip(" ")
+
+
+@lru_cache(10_000)
+def _legible(word: str) -> bool | None:
+    """Whether a word of bare text is a move; None if it says nothing."""
+    word = _SUFFIX.sub("", word.replace("0-0-0", "O-O-O").replace("0-0", "O-O")) if word not in RESULTS else ""
+    return _MOVE.match(word) is not None if word else None
+
+
+def fault(text: str, set_up: bool = False, depth: int = 20) -> str | None:
+    """The error that framed() gives a text of at most MOST_BYTES, for work on it in Python. set_up: set_up_without_fen() of its headers."""
+    if not text.lstrip(" ").startswith("["):
+        return "no_headers"
+    bare = _GLYPHS.sub(" ", _RESTS.sub(" ", _COMMENTS.sub(" ", move_text(text))))
+    for _ in range(depth):
+        if "(" not in bare:
+            break
+        bare = _INNER.sub(" ", bare)
+    if ("[" in bare and _TAG.search(bare)) or len(_FIRST.findall(bare)) > 1:
+        return "several_games"
+    if _BEHIND.search(bare):
+        return "content_after_result"
+    if set_up:
+        return "setup_without_fen"
+    moves = [m for m in map(_legible, _WORD.findall(_NUMBER.sub(" ", bare))) if m is not None]
+    return "no_moves" if not moves else None if all(moves) else "bad_move"
+
+
 def _passes(rating: int | None, allow_bullet: bool) -> Column:
     tag = lambda k: F.try_element_at("headers", F.lit(k))
     terms = F.lit(True)

@@ -51,6 +51,13 @@ def test_trees_are_grown_once(spark):
     assert text.count("MapInArrow") == 1
 
 
+def test_trees_shuffle_nothing(spark):
+    """A game's tree depends on no other game, whatever its first position."""
+    games = spark.createDataFrame([(1, '[Event "x"]\n\n1. e4 e5 *')], "id int, pgn string")
+    text = plan(variations.tree(games, "id"))
+    assert "Exchange" not in text and "Window" not in text and "Join" not in text and "Union" not in text
+
+
 def test_masks_are_made_once_for_a_record(spark):
     """Not for each square of it: a name within a function over squares would stand for all that makes the mask."""
     text = b.whole_positions(spark, SMALL).select("id", "record")._jdf.queryExecution().optimizedPlan().toString()

@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from rookery.sources import pgn
 from rookery.streaming import ingest
@@ -64,3 +67,14 @@ def test_stream_equals_batch_and_runs_again(spark, path, tmp_path):
     ingest.ingest(spark, str(path), target, check, 2200).awaitTermination()
     got = spark.read.parquet(target)
     assert got.count() == 3 and got.select("record_id").distinct().count() == 3
+
+
+def test_faults_of_one_text_are_those_of_frames(spark):
+    r = random.Random(7)
+    heads = ['[Event "x"]\n\n'] * 4 + ['[SetUp "1"]\n\n', '[set_up "1"]\n[Fen\t"8/8 w"]\n', '[SetUp "0"]\r\n[Event "q\\"x"]\r\n', "", "  [", '[FEN "a]\n']
+    bits = ["(", ")", "{", "}", "$3", "0-0", "e3e.p.!", "1.", "1...", "1. ", '\n[Event "y"]\n', "* ", "1-0 ", "\x85", "\u2028", "\x1c", ";x} \n", "\r", "h3!? ", "N1f3+", "Zz9", "é", "({c})", '[x "', "0-0-0!?"]
+    texts = {r.choice(heads) + "1. e4 " + "".join(r.choice(bits) + " " * r.randrange(2) for _ in range(r.randrange(5))) + " e5 *" for _ in range(1_500)}
+    texts |= {'[Event "x"]\n\n*', '[Event "x"]\n\n' + "(" * 25 + "a3" + ")" * 25 + " e4", ""}
+    rows = pgn.framed(spark.createDataFrame([(t,) for t in sorted(texts)], "pgn string")).select("pgn", "error", pgn.set_up_without_fen(F.col("headers")).alias("set_up")).collect()
+    assert {r["pgn"]: pgn.fault(r["pgn"], r["set_up"]) for r in rows} == {r["pgn"]: r["error"] for r in rows}
+    assert len({r["error"] for r in rows}) == 7

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from rookery.operators import variations
 
 HEAD = '[Event "x"]\n[Result "*"]\n\n'
@@ -106,3 +108,25 @@ def test_nulls_repeats_starts_and_options(spark):
     bare = trees(spark, rows[2:3], comments=False, side_lines=False, commands=True)
     assert sorted((r["node"], r["move"], r["comment"], r["evaluation"]) for r in bare) == [(0, None, None, None), (1, "e4", None, "0.2"), (3, "Kd7", None, None)]
     assert trees(spark, []) == []
+
+
+def test_texts_that_repeat_within_a_batch(spark):
+    texts = [HEAD + "1. e4 (1. d4 d5) 1... e5 *", HEAD + "1. e4 {} {[%clk 1]} ( *", HEAD + "1. e4 {} {{} *", HEAD + "1. a3 *"]
+    held = spark.createDataFrame([(i, texts[i % 4]) for i in range(400)], "id int, pgn string").coalesce(1)
+    found = {}
+    for row in variations.tree(held, "id").orderBy("id", "node").collect():
+        found.setdefault(row["id"], []).append((row["node"], row["move"], row["error"]))
+    forms = [[(0, None, None), (1, "e4", None), (2, "d4", None), (3, "d5", None), (4, "e5", None)], [(None, None, "bad_move")], [(None, None, None)], [(0, None, None), (1, "a3", None)]]
+    forms[2] = [(0, None, None), (1, "e4", None)]
+    assert found == {i: forms[i % 4] for i in range(400)}
+
+
+def test_rows_go_out_in_pieces_of_a_bounded_size():
+    r = np.random.default_rng(5)
+    at, sizes = r.integers(3, 40, 5_000), r.integers(1, 90, 37)
+    games = np.flatnonzero(at < 30)
+    got = [(g.to_numpy(), rows.to_numpy()) for g, rows in variations._dealt(games, at, sizes, 3)]
+    starts = np.cumsum(sizes) - sizes
+    want = [(g, starts[at[g] - 3] + k) for g in games for k in range(sizes[at[g] - 3])]
+    assert [(g, x) for gs, xs in got for g, x in zip(gs, xs, strict=True)] == want
+    assert len(got) > 3 and max(len(g) for g, _ in got) <= variations.ROWS + max(sizes)
