@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.once import spread
 from ..operators import variations
 from . import bindings as b
 from .games import LINES
@@ -83,5 +84,8 @@ def annotated_tree(spark, d):
     SELECT path, count(*) AS games, count(DISTINCT move) AS moves FROM paths JOIN tree USING (id, node) GROUP BY path""")
 def annotated_paths(spark, d):
     """How often a place in the tree is taken, by the numbers of children on the way to it."""
-    held = variations.tree(annotated(spark, d), "id", comments=False).where("node > 0")
-    return held.groupBy(F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path")).agg(F.count("*").alias("games"), F.count_distinct("move").alias("moves"))
+    # texts that are alike have one tree, which counts for all of their games; different ones are long work each
+    texts = annotated(spark, d).groupBy("pgn").agg(F.count("*").alias("games"))
+    held = variations.tree(spread(texts, "pgn"), "games", comments=False).where("node > 0")
+    places = held.groupBy("path", "move").agg(F.sum("games").alias("games"))
+    return places.groupBy(F.array_join(F.col("path").cast("array<string>"), ".").alias("path")).agg(F.sum("games").alias("games"), F.count_distinct("move").alias("moves"))

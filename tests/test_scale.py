@@ -1,12 +1,14 @@
 """Plans: what reaches the scan, and what is shuffled."""
 
+import re
+
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from rookery.functions import bits, boards, features
 from rookery.operators import moves, search, store, variations
 from rookery.plans import bindings as b
-from rookery.plans.queries import games
+from rookery.plans.queries import games, trees
 from rookery.sources import pgn
 
 
@@ -58,6 +60,11 @@ def test_trees_shuffle_nothing(spark):
     assert "Exchange" not in text and "Window" not in text and "Join" not in text and "Union" not in text
 
 
+def test_texts_that_are_alike_have_one_tree(spark):
+    text = plan(trees.annotated_paths(spark, SMALL))
+    assert re.search(r"Aggregate\(keys=\[pgn#\d+\]", text[text.index("MapInArrow") :])
+
+
 def test_masks_are_made_once_for_a_record(spark):
     """Not for each square of it: a name within a function over squares would stand for all that makes the mask."""
     text = b.whole_positions(spark, SMALL).select("id", "record")._jdf.queryExecution().optimizedPlan().toString()
